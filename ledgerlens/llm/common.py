@@ -127,3 +127,16 @@ def hash_runs(words: np.ndarray, n: int) -> np.ndarray:
     for k in range(n):
         out = out + words[k : len(words) - n + 1 + k] * _SEQ[k]
     return mix(out)
+
+
+# ---------------------------------------------------------------- arrays that travel between tasks
+
+
+def pack(x: np.ndarray) -> bytes:
+    """The bytes of an array, the i-th of every element together: sorted or small numbers then shrink in a shuffle."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() if len(x) else b""
+
+
+def unpack(raw: bytes, dtype) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, len(raw) // size).T).view(dtype).reshape(-1)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, langid, mixing, url_filter, warc
+from . import decontaminate, exact_dedup, langid, lm, mixing, ngram_join, url_filter, warc
 from .url_filter import Rule
 
 #: (verdict, host, path)
@@ -26,6 +26,10 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_read(spark, sf_dir, "documents"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_held_out(_read(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(_read(spark, sf_dir, "pages"))
 
@@ -42,8 +46,12 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_read(spark, sf_dir, "documents"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_ngrams(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_exact_dedup, op2_mix_sources, op4_warc, op5_url_filter, op6_decontaminate, op9_language)}
+    op1_exact_dedup, op2_mix_sources, op3_lm_score, op4_warc, op5_url_filter, op6_decontaminate, op9_language, op10_ngram_join)}
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
