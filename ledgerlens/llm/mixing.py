@@ -83,11 +83,26 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The hash is of the id, so rows that repeat an id go together; null ids share one hash, a null source is a source of
     its own, null text has size 0. The same rows give the same mix, in any order and partitioning.
     """
+    base, cut = _plan(docs, id_col, text_col, source_col, weights, share, most)
+    return base.join(cut, F.col("_source").eqNullSafe(F.col("_s"))).select(
+        F.col("_id").alias(id_col), F.col("_w").alias("size"), F.col("_size").alias("source_size"), F.col("_target").alias("target"), _taken().alias("taken"))
+
+
+def _taken() -> Column:
+    return F.col("_w") * (F.col("_times") + (F.col("_h") <= F.col("_upto")).cast("long"))
+
+
+def _plan(docs: DataFrame, id_col: str, text_col: str, source_col: str, weights: tuple[float, ...], share: float, most: float) -> tuple[DataFrame, DataFrame]:
     base = stage(docs.select(docs[id_col].alias("_id"), docs[source_col].alias("_source"), word_count(docs[text_col]).alias("_w"),
                              doc_hash(docs[id_col]).alias("_h")), "mix-base")
     sizes = base.groupBy("_source").agg(F.sum("_w").alias("_size"))
-    cut = _thresholds(base, source_targets(sizes, weights, share, most)).withColumnRenamed("_source", "_s")
-    taken = F.col("_w") * (F.col("_times") + (F.col("_h") <= F.col("_upto")).cast("long"))
-    return base.join(cut, F.col("_source").eqNullSafe(F.col("_s"))).select(
-        F.col("_id").alias(id_col), F.col("_w").alias("size"), F.col("_size").alias("source_size"), F.col("_target").alias("target"),
-        taken.alias("taken"))
+    return base, _thresholds(base, source_targets(sizes, weights, share, most)).withColumnRenamed("_source", "_s")
+
+
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+                  weights: tuple[float, ...] = (5.0, 2.0, 1.0), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """The documents that the mix takes, all columns as they were, then mix_size, mix_target and mix_taken; see mix_sources."""
+    _, cut = _plan(docs, id_col, text_col, source_col, weights, share, most)
+    packed = docs.select(F.struct("*").alias("_row"), docs[source_col].alias("_source"), word_count(docs[text_col]).alias("_w"), doc_hash(docs[id_col]).alias("_h"))
+    out = packed.join(cut, F.col("_source").eqNullSafe(F.col("_s"))).withColumn("_taken", _taken()).where("_taken > 0")
+    return out.select("_row.*", F.col("_w").alias("mix_size"), F.col("_target").alias("mix_target"), F.col("_taken").alias("mix_taken"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact_dedup, langid, lm, mixing, ngram_join, suffix_dedup, url_filter, warc
+from . import decontaminate, exact_dedup, langid, lm, mixing, ngram_join, suffix_dedup, token_count, url_filter, warc
 from .url_filter import Rule
 
 #: (verdict, host, path)
@@ -42,6 +42,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.token_counts(_read(spark, sf_dir, "documents"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents"))
 
@@ -55,7 +59,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_exact_dedup, op2_mix_sources, op3_lm_score, op4_warc, op5_url_filter, op6_decontaminate, op8_suffix_dedup, op9_language, op10_ngram_join)}
+    op1_exact_dedup, op2_mix_sources, op3_lm_score, op4_warc, op5_url_filter, op6_decontaminate, op7_token_counts, op8_suffix_dedup, op9_language, op10_ngram_join)}
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
