@@ -23,7 +23,7 @@ def percent(part: Column, whole: Column) -> Column:
 
 def wilson(f: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Wilson score interval of f successes in n."""
-    f, n = f.cast("double"), n.cast("double")
+    f, n = f.cast("double"), F.nullif(n.cast("double"), F.lit(0.0))
     p = rate(f, n)
     scale = 1 + z * z / n
     centre = (p + z * z / (2 * n)) / scale
