@@ -70,7 +70,7 @@ def write_gold(df: DataFrame, path: str, *, fmt: str = "parquet", run_id: str |
     draft, old = f"{path}__staging/{run_id}", f"{path}__old/{run_id}"
     w = df.write.mode("error")
     if fmt == "csv":
-        w.csv(draft, header=True, timestampNTZFormat=_NTZ)
+        w.option("timestampNTZFormat", _NTZ).csv(draft, header=True)
     else:
         w.format(fmt).save(draft)
     jvm = spark.sparkContext._jvm
