@@ -461,12 +461,12 @@ def model_scores(spark, sf):
 
 
 @_add("quality_gate", f"""with {X.RAW_CTE} select avg((merchant_category is null)::int) * 100 <= 50 and avg((time_since_last_transaction is null)::int) * 100 <= 10 as passed,
- list_filter([case when avg((time_since_last_transaction is null)::int) * 100 > 10 then 'time_since_last_transaction is incomplete' end], lambda x: x is not null) as reasons from raw""")
+ case when avg((time_since_last_transaction is null)::int) * 100 > 10 then 'time_since_last_transaction is incomplete' else '' end as reasons from raw""")
 def quality_gate(spark, sf):
     m = P.missing_summary(X.raw(spark, sf)).select(F.col("column").alias("metric"), F.col("missing_percent").alias("value"))
     rules = spark.createDataFrame([("merchant_category", ">", 50.0, "merchant_category is incomplete"), ("time_since_last_transaction", ">", 10.0, "time_since_last_transaction is incomplete")],
                                   "metric string, op string, bound double, reason string")
-    return M.gate(m, rules)
+    return M.gate(m, rules).withColumn("reasons", F.array_join("reasons", "; "))
 
 
 @_add("feature_retrieval", f"with {X.RAW_CTE} select is_fraud, transaction_id, round(ln(1 + amount), 9) as amount_log1p from raw")
