@@ -32,7 +32,7 @@ GROUP = 1000
 #: Share of the hash space that the first round looks at.
 FIRST = 0.35
 #: Numbers that one task of the counting rounds holds, about.
-TASK = 1_500_000
+TASK = 750_000
 
 
 def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
@@ -127,7 +127,7 @@ def _first_batches(batches: Iterator[pa.RecordBatch], parts: int, salt: int) ->
             docs.append((sig, len(s)))
             tokens.append(s[s < limit])
             held += len(tokens[-1])
-        if held > 3_000_000:
+        if held > 2 * TASK:
             yield flush()
             base += len(docs)
             tokens, docs, held = [], [], 0
@@ -313,8 +313,8 @@ def _large(sets: DataFrame, group: int) -> DataFrame:
     half = max(1, group // 2)
     blocks = F.ceil(F.col("size") / half).cast("int")
     rest = sets.join(held.where("not linked").select("sig"), "sig").withColumn("blocks", blocks)
-    rest = stage(rest.withColumn("i", F.pmod(F.xxhash64("sig", F.lit(1)), F.col("blocks"))), "join-rest")
-    mine = rest.select("sig", "grams", "root", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).cast("long").alias("j"))
+    rest = stage(rest.withColumn("i", F.pmod(F.xxhash64("sig", F.lit(1)), F.col("blocks").cast("long"))), "join-rest")
+    mine = rest.select("sig", "grams", "root", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("j"))
     some = rest.select("root", "i").distinct()
     every = sets.withColumn("j", F.pmod(F.xxhash64("sig"), blocks.cast("long"))).join(some, "root").select("sig", "grams", "root", "i", "j")
     found = mine.unionByName(every).groupBy("root", "i", "j").applyInPandas(_links, "a long, b long")
