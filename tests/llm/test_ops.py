@@ -247,3 +247,13 @@ def test_empty_tables(spark, docs):
     for f in (exact_dedup.exact_groups, exact_dedup.exact_dedup, mixing.mix_sources, lm.score_held_out, token_count.token_counts, suffix_dedup.remove_repeats,
               ngram_join.join_ngrams, ngram_join.dedup_ngrams):
         assert f(none).count() == 0, f
+
+
+def test_null_ids_and_clashing_columns(spark):
+    d = spark.createDataFrame([(None, "a b c", None, None, 1, "x"), (None, None, "en", "s", None, None), (1, "", "en", "s", 2, "y"), (1, "a b c", "en", "s", 2, "y")],
+                              SCHEMA).withColumnsRenamed({"_row": "sig", "kept": "_text"})
+    for f in (exact_dedup.exact_groups, mixing.mix_sources, lm.score_held_out, token_count.token_counts, suffix_dedup.remove_repeats, ngram_join.join_ngrams, langid.identify):
+        assert f(d).count() == 4, f
+    for f in (exact_dedup.exact_dedup, ngram_join.dedup_ngrams, langid.keep_identified):
+        assert f(d).columns == d.columns, f
+    assert mixing.mix_documents(d).columns[:6] == d.columns
