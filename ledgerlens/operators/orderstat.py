@@ -114,7 +114,7 @@ def sample_n(df: DataFrame, n: int, seed: int, id_col: str, *, by: str | None =
         if not short:
             raise ValueError(f"fewer than {n} rows")
     g = F.col(by) if by else F.lit(0)
-    j = keyed.join(F.broadcast(cut), g.eqNullSafe(F.col("_cg")))
+    j = keyed.join(cut, g.eqNullSafe(F.col("_cg")))
     sure = j.where(F.col("_h") < F.col("_cut"))
     tie = Window.partitionBy("_cg").orderBy(F.col(id_col))  # rows of one hash value
     edge = j.where(F.col("_h") == F.col("_cut")).withColumn("_r", F.row_number().over(tie)).where(F.col("_r") <= n - F.col("_below")).drop("_r")
