@@ -26,7 +26,7 @@ LENGTH = 400
 #: Anchors of one gram that are merged in one task; windows of more frequent grams are dealt out by their own hash.
 FREQUENT = 2000
 #: Anchors of one part of a counting round, and bytes of suffixes of one merging part, about.
-ANCHORS, SUFFIXES = 1_000_000, 16_000_000
+ANCHORS, SUFFIXES = 500_000, 4_000_000
 _PIECE = 1 << 22
 _OTHER = np.uint64(0xD6E8FEB86659FD93)
 
@@ -62,7 +62,8 @@ def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndar
         place = (np.minimum(right[:windows], left[span - 1 : span - 1 + windows]) & np.uint64((1 << 23) - 1)).astype(np.int64)
         first = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
         last = np.r_[first[1:], windows] - 1
-        out.append((keys[place[first]], place[first] + at, first + at, last + at))
+        # least hashes are small: mixed again, they spread evenly over parts
+        out.append((mix(keys[place[first]] ^ _OTHER), place[first] + at, first + at, last + at))
     if not out:
         return (np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3)))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
@@ -124,7 +125,7 @@ def _ask_batches(batches: Iterator[pa.RecordBatch], parts: int, length: int) ->
                 who.append(np.full(len(found), len(tids), np.uint32))
                 tids.append(tid)
                 held += len(found)
-        if held > 3_000_000:
+        if held > 2 * ANCHORS:
             yield flush()
             keys, who, tids, held = [], [], [], 0
     if tids:
@@ -253,13 +254,12 @@ def _run_batches(batches: Iterator[pa.RecordBatch], parts: int, length: int) ->
                     entry = entries.setdefault((int(keys[i]), raw[lo:hi], int(place[i]) - lo), [])
                     held += 24 if entry else hi - lo + 150
                     entry.append((me, lo))
-                for i in chosen[is_hot].tolist():
-                    s = np.arange(first[i], last[i] + 1)
-                    piece = text[first[i] : last[i] + length]
-                    hot.append((_window_hashes(piece, s - first[i], length), _window_hashes(piece, s - first[i], length, other),
-                                np.full(len(s), me, np.int64), s))
+                if is_hot.any():
+                    lo, n = first[chosen[is_hot]], (last - first + 1)[chosen[is_hot]]
+                    s = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+                    hot.append((_window_hashes(text, s, length), _window_hashes(text, s, length, other), np.full(len(s), me, np.int64), s))
                     held += 32 * len(s)
-                if held > 48_000_000:
+        if held > 4 * SUFFIXES:
                     yield flush()
                     entries, tids, hot, held = {}, [], [], 0
     if tids:
