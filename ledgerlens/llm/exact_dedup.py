@@ -51,7 +51,8 @@ def _ranked(docs: DataFrame, id_col: str, text_col: str, digest: Digest) -> Data
                 .unionByName(hit.select("_id", "_n", "_h", "_sha", "_key")))
     rows = base.groupBy("_key", "_h", "_id", "_n", "_sha").agg(F.count(F.lit(1)).alias("_same"))
     order = F.struct((-F.col("_n")).alias("a"), F.col("_id").isNull().alias("b"), F.col("_id").alias("c"))
-    best = (rows.groupBy("_key").agg(F.sum("_same").alias("_size"), F.min(order).alias("_best")).where("_size > 1"))
+    # staged, so that the join is of plain exchanges and a hot class can be split
+    best = stage(rows.groupBy("_key").agg(F.sum("_same").alias("_size"), F.min(order).alias("_best")).where("_size > 1"), "exact-best")
     out = rows.join(best, "_key", "left")
     alone = F.col("_size").isNull()
     return out.select("_key", "_h", "_id", "_n", "_sha", "_same",
