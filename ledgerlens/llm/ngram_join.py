@@ -357,7 +357,8 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = (blocked.groupBy("block").applyInPandas(lambda x: _tally(x, parts), "part int, block int, grams binary, df binary")
               .groupBy("part").applyInPandas(_sum_part, "block int, grams binary, df binary"))
     prefix = stage(blocked.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(_prefixes, "gram long, sig long, common double"), "join-prefix")
-    met = prefix.groupBy("gram").agg(F.min("sig").alias("b"), F.max("sig").alias("_m")).where("b <> _m").select("gram", "b")
+    # staged, so that the join is of plain exchanges and a hot 5-gram can be split
+    met = stage(prefix.groupBy("gram").agg(F.min("sig").alias("b"), F.max("sig").alias("_m")).where("b <> _m").select("gram", "b"), "join-met")
     near = stage(components(prefix.join(met, "gram").select(F.col("sig").alias("a"), "b")), "join-near")
     sets = (full.join(near.withColumnRenamed("node", "sig"), "sig")
             .join(near.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "root"))
