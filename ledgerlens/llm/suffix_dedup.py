@@ -499,9 +499,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     base, cut = _removals(docs, id_col, text_col, length, frequent)
     copies = base.where(F.col("n") >= length).groupBy("tid").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    out = base.join(cut.drop("kept").unionByName(copies.select("tid", F.lit(-1).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"),
-                                                               F.sha2(F.lit("").cast("binary"), 256).alias("kept_sha256")))
-                    .groupBy("tid").agg(F.min_by(F.struct("n_removed", "n_spans", "kept_sha256"), "n_removed").alias("x")), "tid", "left")
+    whole = copies.select("tid", F.lit(-1).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit("").cast("binary"), 256).alias("kept_sha256"))
+    # staged, so that the join is of plain exchanges and a text with very many copies can be split
+    each = stage(cut.drop("kept").unionByName(whole).groupBy("tid").agg(F.min_by(F.struct("n_removed", "n_spans", "kept_sha256"), "n_removed").alias("x")), "suffix-result")
+    out = base.join(each, "tid", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_bytes"),
                       F.when(F.col("x").isNull(), F.lit(0)).when(F.col("x.n_removed") < 0, F.col("n")).otherwise(F.col("x.n_removed")).cast("long").alias("n_removed"),
                       F.coalesce(F.col("x.n_spans"), F.lit(0)).cast("long").alias("n_spans"),
