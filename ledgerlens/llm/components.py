@@ -22,9 +22,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         if mark == was or not mark[0]:
             break
         was = mark
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # a pair (a, b) hands a to the smallest node that b knows; staged, so that the join can be split where b is a hub
+        low = stage(now.groupBy("a").agg(F.min("b").alias("m")), "star-low").select(F.col("a").alias("b"), "m")
+        large = now.join(low, "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = stage(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "stars")

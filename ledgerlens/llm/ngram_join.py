@@ -360,8 +360,10 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # staged, so that the join is of plain exchanges and a hot 5-gram can be split
     met = stage(prefix.groupBy("gram").agg(F.min("sig").alias("b"), F.max("sig").alias("_m")).where("b <> _m").select("gram", "b"), "join-met")
     near = stage(components(prefix.join(met, "gram").select(F.col("sig").alias("a"), "b")), "join-near")
-    sets = (full.join(near.withColumnRenamed("node", "sig"), "sig")
-            .join(near.groupBy("root").agg(F.count(F.lit(1)).alias("size")), "root"))
+    # only numbers meet by group, and the large groups are staged, so that the join can be split where one group is hot
+    large = stage(near.groupBy("root").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > group), "join-sizes")
+    near = near.join(large, "root", "left").select(F.col("node").alias("sig"), "root", F.coalesce("size", F.lit(0)).alias("size"))
+    sets = full.join(near, "sig")
     tasks = spark.sparkContext.defaultParallelism * 4 + parts
     small = (sets.where(F.col("size") <= group).withColumn("part", F.pmod(F.xxhash64("root"), F.lit(tasks)))
              .select("part", "root", "sig", "grams").groupBy("part").applyInPandas(_links, "a long, b long"))
@@ -382,9 +384,11 @@ def join_ngrams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     give empty results; other columns are ignored. 5-grams are compared by 64-bit hashes, sets of equal texts by 128.
     """
     base, roots = link_classes(docs, id_col, text_col, group)
-    of = base.where("n > 0").groupBy("sig").agg(F.min("id").alias("low")).join(roots, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
-    named = of.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_sig = of.join(named, "root").select("sig", "component_id")
+    of = base.where("n > 0").groupBy("sig").agg(F.min("id").alias("low")).join(roots, "sig", "left")
+    # one row for each linked component, staged so that the join can be split where one component is hot
+    named = stage(of.where("root is not null").groupBy("root").agg(F.min("low").alias("component_id")), "join-named")
+    by_sig = (of.withColumn("root", F.coalesce("root", "sig")).join(named, "root", "left")
+              .select("sig", F.coalesce("component_id", "low").alias("component_id")))
     out = base.join(by_sig, "sig", "left")
     alone = F.col("n") == 0
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
