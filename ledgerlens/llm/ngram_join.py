@@ -389,6 +389,7 @@ def join_ngrams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named = stage(of.where("root is not null").groupBy("root").agg(F.min("low").alias("component_id")), "join-named")
     by_sig = (of.withColumn("root", F.coalesce("root", "sig")).join(named, "root", "left")
               .select("sig", F.coalesce("component_id", "low").alias("component_id")))
+    by_sig = stage(by_sig, "join-names")  # the same where one set has very many documents
     out = base.join(by_sig, "sig", "left")
     alone = F.col("n") == 0
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
