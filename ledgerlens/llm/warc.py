@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import new_dir, small_batches, stage
 
 CHUNK = 1 << 16
+#: Bytes of a header line that are read; the rest of a longer one is passed over.
+LINE = 1 << 16
 #: Payloads of fewer bytes are always written in full.
 LEAST_REVISIT = 100
 CHUNK_SCHEMA = ("path string, record long, record_id string, record_type string, target_uri string, refers_to string, "
@@ -73,17 +75,21 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     Of pages with equal payloads of LEAST_REVISIT bytes or more, that with the smallest id is a response and the others
     revisit it. A null payload is empty, a null url an empty one. A null id comes after all others and counts as equal
-    to another null; rows that repeat the smallest id are all responses.
+    to another null; rows that repeat the smallest id are all responses, those that repeat another are all revisits.
+    Other columns are ignored and empty tables give no records. Only ids and digests meet by digest, so neither a very
+    long nor a very frequent payload makes a task large.
     """
     payload = F.coalesce(pages[payload_col], F.lit("")).cast("binary")
     url = F.regexp_replace(F.coalesce(pages[url_col].cast("string"), F.lit("")), r"[\r\n]+", " ")
     p = pages.select(pages[id_col].alias("key"), url.alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
-    small = pages.select(pages[id_col].alias("key"), F.sha2(payload, 256).alias("_d")).where(F.octet_length(payload) >= LEAST_REVISIT)
-    first = small.groupBy("_d").agg(F.count(F.lit(1)).alias("_c"), F.min("key").alias("_first")).where("_c > 1")
-    j = p.join(first, p["digest"] == first["_d"], "left")
-    again = F.col("_d").isNotNull() & ~F.col("key").eqNullSafe(F.col("_first"))
+    keys = stage(pages.where(F.octet_length(payload) >= LEAST_REVISIT).select(pages[id_col].alias("k"), F.sha2(payload, 256).alias("d")), "warc-keys")
+    # staged, so that the join is of plain exchanges and a hot digest can be split
+    first = stage(keys.groupBy("d").agg(F.count(F.lit(1)).alias("c"), F.min("k").alias("first")).where("c > 1").select(F.col("d").alias("fd"), "first"), "warc-first")
+    again = keys.join(first, F.col("d") == F.col("fd")).where(~F.col("k").eqNullSafe(F.col("first"))).select("k", "d", "first")
+    again = stage(again.dropDuplicates(["k", "d"]), "warc-again")
+    j = p.join(again, p["key"].eqNullSafe(again["k"]) & (p["digest"] == again["d"]), "left")
     return j.select(F.col("key").cast("string").alias("key"), "url", "payload", "digest",
-                    F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("_first").cast("string")).alias("refers"))
+                    F.when(F.col("d").isNotNull(), "revisit").otherwise("response").alias("kind"), F.col("first").cast("string").alias("refers"))
 
 
 def write_warc(records: DataFrame, folder: str | None = None) -> DataFrame:
@@ -122,17 +128,27 @@ class _Members(io.RawIOBase):
         return True
 
 
+def _line(f: io.BufferedReader, most: int | None = None) -> tuple[bytes, int]:
+    """The start of the next line and the whole line's length; at most `most` bytes are read, LINE are kept."""
+    line = f.readline(LINE if most is None else min(LINE, most))
+    size, part = len(line), line
+    while part and not part.endswith(b"\n") and (most is None or size < most):
+        part = f.readline(LINE if most is None else min(LINE, most - size))
+        size += len(part)
+    return line, size
+
+
 def _head(f: io.BufferedReader) -> dict[str, str] | None:
     """The next header; None at the end."""
-    line = f.readline()
+    line, _ = _line(f)
     while line in (b"\r\n", b"\n"):
-        line = f.readline()
+        line, _ = _line(f)
     if not line:
         return None
     if not line.startswith(b"WARC/"):
         raise ValueError(f"not a WARC record: {line[:40]!r}")
     head = {}
-    while (line := f.readline()) not in (b"\r\n", b"\n", b""):
+    while (line := _line(f)[0]) not in (b"\r\n", b"\n", b""):
         k, _, v = line.decode("utf-8", "replace").partition(":")
         head[k.strip().lower()] = v.strip()
     return head
@@ -145,14 +161,15 @@ def chunks_of(f: io.BufferedReader, path: str, data: bool) -> Iterator[tuple]:
         kind, left = head.get("warc-type", ""), int(head.get("content-length", 0))
         if "http" in head.get("content-type", ""):
             while left:
-                line = f.readline(min(left, 1 << 20))
-                left -= len(line)
+                line, size = _line(f, left)
+                left -= size
                 if line in (b"\r\n", b"\n", b""):
                     break
         own = (path, n, head.get("warc-record-id"), kind, head.get("warc-target-uri"), head.get("warc-refers-to"))
         sha, size, no = hashlib.sha256(), 0, 0
         if kind == "revisit":
-            f.read(left)
+            while left and (part := f.read(min(left, CHUNK))):
+                left -= len(part)
             yield *own, 0, True, None, int(head.get("x-payload-length", -1)), head.get("warc-payload-digest", "").removeprefix("sha256:")
         else:
             while True:
@@ -196,14 +213,26 @@ def read_warc(manifest: DataFrame, data: bool = True) -> DataFrame:
     payload_bytes and payload_digest of a row are those of the payload up to and including its chunk; a revisit has one
     row, with the length and digest its header states.
     """
-    files = manifest.select("folder", "path").repartition(F.col("path"))
-    return files.mapInArrow(lambda b: _read_batches(b, data), CHUNK_SCHEMA)
+    # one task an archive: by number, which is kept as it is, since a row of the manifest stands for a whole archive
+    archives = max(1, manifest.count())
+    return manifest.select("folder", "path").repartition(archives).mapInArrow(lambda b: _read_batches(b, data), CHUNK_SCHEMA)
+
+
+def record_table(chunks: DataFrame) -> DataFrame:
+    """One row a record of read_warc's chunk rows: length by its chunks (a revisit's by its header), digest by its last one."""
+    size = F.when(F.col("record_type") == "revisit", F.col("payload_bytes")).otherwise(F.coalesce(F.octet_length("data"), F.lit(0)).cast("long"))
+    return chunks.groupBy("path", "record").agg(
+        F.first("record_id").alias("record_id"), F.first("record_type").alias("record_type"), F.first("target_uri").alias("target_uri"), F.first("refers_to").alias("refers_to"),
+        F.count(F.lit(1)).alias("chunks"), F.sum(size).alias("payload_bytes"), F.max(F.when(F.col("last"), F.col("payload_digest"))).alias("payload_digest"))
 
 
 def archived(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """Write the pages, read the archives back: id, payload_bytes, payload_digest, record_type, refers_to of each page."""
+    """Write the pages, read the archives back as chunk rows: id, payload_bytes, payload_digest, record_type, refers_to of each page.
+
+    Payloads of any length come back as chunks of CHUNK bytes; for other odd inputs see plan_records.
+    """
     kind = pages.schema[id_col].dataType
     name = lambda c: F.nullif(F.regexp_extract(c, r"^<urn:x-page:(.*)>$", 1), F.lit("null")).cast(kind)
-    last = read_warc(write_warc(plan_records(pages, id_col, url_col, payload_col)), data=False).where("last")
-    return last.select(name(F.col("record_id")).alias(id_col), "payload_bytes", "payload_digest", "record_type",
-                       name(F.col("refers_to")).alias("refers_to"))
+    records = record_table(read_warc(write_warc(plan_records(pages, id_col, url_col, payload_col))))
+    return records.select(name(F.col("record_id")).alias(id_col), "payload_bytes", "payload_digest", "record_type",
+                          name(F.col("refers_to")).alias("refers_to"))
