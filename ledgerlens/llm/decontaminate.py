@@ -52,7 +52,7 @@ class WuManber:
         words = np.bincount(text, minlength=len(items))
         first = np.cumsum(words) - words
         owner = np.array([number[name] for name, _ in items], np.int64)
-        #: length -> (block words, bits, jumps, bucket keys of the windows in order, their first words, their items)
+        #: length -> (block words, bits, jumps, which bucket keys there may be, those of the windows in order, their first words, their items)
         self.by_length = {}
         length = np.minimum(words, window)
         for n in sorted(set(length[length > 0].tolist())):
@@ -68,28 +68,30 @@ class WuManber:
                 np.minimum.at(jump, (blocks[at + k] >> np.uint64(64 - bits)).astype(np.int64), jump.dtype.type(most - 1 - k))
             bucket = _bucket(blocks[at + most - 1], hash_runs(hashes, min(n, HEAD))[at])
             order = np.argsort(bucket, kind="stable")
-            self.by_length[n] = size, bits, jump, bucket[order], at[order], np.repeat(owner[mine], count)[order]
+            there = np.zeros(1 << bits, bool)
+            there[(bucket >> np.uint64(64 - bits)).astype(np.int64)] = True
+            self.by_length[n] = size, bits, jump, there, bucket[order], at[order], np.repeat(owner[mine], count)[order]
 
     def _window(self, first: int, n: int) -> bytes:
         return self.text[self.begin[first] : self.end[first + n - 1]]
 
     def search(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray, text: np.ndarray) -> Iterator[tuple[int, int, set[int]]]:
         """(first word, words, items) of each occurrence, over the words of several texts; none crosses a text's end."""
-        for n, (size, bits, jump, buckets, first_of, owner_of) in self.by_length.items():
+        for n, (size, bits, jump, there, buckets, first_of, owner_of) in self.by_length.items():
             blocks = hash_runs(hashes, size)
             if len(blocks) < n - size + 1:
                 continue
             jumps = jump[(blocks >> np.uint64(64 - bits)).astype(np.int64)].tolist()
+            keys = _bucket(blocks[n - size :], hash_runs(hashes, min(n, HEAD))[: len(blocks) - (n - size)])
+            maybe = there[(keys >> np.uint64(64 - bits)).astype(np.int64)].tolist()
             i, last = n - size, len(blocks)
             while i < last:
                 if jumps[i]:
                     i += jumps[i]
                     continue
                 first = i - (n - size)
-                if text[first] == text[first + n - 1]:
-                    m = min(n, HEAD)
-                    key = _bucket(blocks[i : i + 1], hash_runs(hashes[first : first + m], m))[0]
-                    lo, hi = np.searchsorted(buckets, key), np.searchsorted(buckets, key, "right")
+                if maybe[first] and text[first] == text[first + n - 1]:
+                    lo, hi = np.searchsorted(buckets, keys[first]), np.searchsorted(buckets, keys[first], "right")
                     if lo < hi:
                         span = b" ".join(data[a:b].tobytes() for a, b in zip(starts[first : first + n].tolist(), ends[first : first + n].tolist(), strict=True))
                         who = {int(owner_of[k]) for k in range(lo, hi) if self._window(int(first_of[k]), n) == span}
@@ -224,7 +226,7 @@ def _is_clean(shared, key: str, window: int):
             yield pa.array([not spans for _, spans, _ in _spans_of(column, machine)], pa.bool_())
 
     # not repeated by the optimiser, whatever is selected later
-    return F.arrow_udf(clean, "boolean", F.ArrowUDFType.SCALAR_ITER).asNondeterministic()
+    return F.arrow_udf(clean, "boolean").asNondeterministic()
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
