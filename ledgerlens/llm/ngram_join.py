@@ -4,7 +4,8 @@ A document's set holds the 64-bit hashes of its word 5-grams. Equal sets are one
 its own that no other set can overlap it enough is out (first over a third of the hash space, then over all of it).
 What is left is ordered from rare to frequent, the prefixes of that order give candidate groups, and each group is
 joined over a trie: sets are stored in one global order, overlaps are summed once per shared path, and subtrees are
-left as soon as the remaining lengths cannot reach the bound, or once all below is linked already.
+left as soon as the remaining lengths cannot reach the bound, or once all below is linked already. A group with more
+sets than one task should hold is first held against its most common set; what is left is joined by prefixes and sizes.
 
 Numbers travel as packed arrays, combined in each task first: a 5-gram that a third of all documents share costs one
 entry a task.
@@ -82,18 +83,18 @@ def _class_batches(batches: Iterator[pa.RecordBatch], salt: int) -> Iterator[pa.
                                          names=["id", "th", "sig", "wide", "n"])
 
 
-_FIRST = "part int, base long, ones binary, who binary, table binary, many binary"
+_FIRST = "part int, ones binary, who binary, table binary, many binary"
 
 
 def _first_batches(batches: Iterator[pa.RecordBatch], parts: int, salt: int) -> Iterator[pa.RecordBatch]:
     """What this task knows of the 5-grams below FIRST: those that one of its sets has, with the set, and those that more have.
 
-    Parts below zero carry the sets' own sizes. Sets are numbered by task, so that one that several tasks see is counted
-    in each by itself; the numbers depend on the partition alone, so a repeated attempt gives the same.
+    Parts below zero carry the sets' own sizes. A set that several tasks see is reported by each; how many 5-grams it has
+    alone is the same in all of them, so the sums in `link_classes` need no numbering of rows or tasks.
     """
     from pyspark import TaskContext
 
-    limit, base = np.uint64(int(FIRST * 2**64)), TaskContext.get().partitionId() << 40
+    limit, negative = np.uint64(int(FIRST * 2**64)), -1 - TaskContext.get().partitionId() % parts
     tokens, docs, seen, held = [], [], set(), 0
 
     def flush() -> pa.RecordBatch:
@@ -104,15 +105,14 @@ def _first_batches(batches: Iterator[pa.RecordBatch], parts: int, salt: int) ->
         first, size = _runs(keys)
         dup = np.bincount(who[np.repeat(size > 1, size)], minlength=len(tokens))
         sets = np.array([(d[0], d[1], len(t), k) for d, t, k in zip(docs, tokens, dup, strict=True)], np.int64)
-        rows = [(-1 - TaskContext.get().partitionId() % parts, base, None, None, pack(sets.reshape(-1)), None)]
+        rows = [(negative, None, None, pack(sets.reshape(-1)), None)]
         ones, owner, many = keys[first[size == 1]], who[first[size == 1]], keys[first[size > 1]]
         of = {i: many[s] for i, s in _by(many, parts)}
         for i, s in _by(ones, parts):
             used, short = np.unique(owner[s], return_inverse=True)
-            table = np.concatenate([sets[used, 0], used.astype(np.int64)])
-            rows.append((i, base, pack(ones[s]), pack(short.astype(np.uint32)), pack(table), pack(of.pop(i, many[:0]))))
-        rows += [(i, base, b"", b"", b"", pack(x)) for i, x in of.items()]
-        types = [pa.int32(), pa.int64()] + [pa.binary()] * 4
+            rows.append((i, pack(ones[s]), pack(short.astype(np.uint32)), pack(sets[used, 0]), pack(of.pop(i, many[:0]))))
+        rows += [(i, b"", b"", b"", pack(x)) for i, x in of.items()]
+        types = [pa.int32()] + [pa.binary()] * 4
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)],
                                           names=[c.split()[0] for c in _FIRST.split(", ")])
 
@@ -129,7 +129,6 @@ def _first_batches(batches: Iterator[pa.RecordBatch], parts: int, salt: int) ->
             held += len(tokens[-1])
         if held > 2 * TASK:
             yield flush()
-            base += len(docs)
             tokens, docs, held = [], [], 0
             seen.clear()
     if docs:
@@ -137,29 +136,22 @@ def _first_batches(batches: Iterator[pa.RecordBatch], parts: int, salt: int) ->
 
 
 def _first_part(pdf: pd.DataFrame) -> pd.DataFrame:
-    """(inst, sig, n, asked, dup): a set's sizes, or the number of its 5-grams in this part that another set has."""
+    """(sig, n, asked, dup, seen): a set's sizes as one task saw it, or the number of its 5-grams in this part that another set has."""
     if pdf["part"].iloc[0] < 0:
-        out = []
-        for base, table in zip(pdf["base"], pdf["table"], strict=True):
-            t = unpack(table, np.int64).reshape(-1, 4)
-            out.append(pd.DataFrame({"inst": base + np.arange(len(t)), "sig": t[:, 0], "n": t[:, 1], "asked": t[:, 2], "dup": t[:, 3]}))
-        return pd.concat(out)
-    keys, sigs, inst, many = [], [], [], []
+        t = np.concatenate([unpack(table, np.int64).reshape(-1, 4) for table in pdf["table"]])
+        return pd.DataFrame({"sig": t[:, 0], "n": t[:, 1], "asked": t[:, 2], "dup": t[:, 3], "seen": 1})
+    keys, sigs, many = [], [], []
     for r in pdf.itertuples():
-        t = unpack(r.table, np.int64).reshape(2, -1)
-        k, w = unpack(r.ones, np.uint64), unpack(r.who, np.uint32)
-        keys.append(k), sigs.append(t[0][w]), inst.append(r.base + t[1][w]), many.append(unpack(r.many, np.uint64))
-    keys, sigs, inst, many = map(np.concatenate, (keys, sigs, inst, many))
+        keys.append(unpack(r.ones, np.uint64)), sigs.append(unpack(r.table, np.int64)[unpack(r.who, np.uint32)]), many.append(unpack(r.many, np.uint64))
+    keys, sigs, many = map(np.concatenate, (keys, sigs, many))
     at = np.argsort(keys, kind="stable")
-    keys, sigs, inst = keys[at], sigs[at], inst[at]
+    keys, sigs = keys[at], sigs[at]
     first, size = _runs(keys)
     if not len(first):
-        return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("inst", "sig", "n", "asked", "dup")})
+        return pd.DataFrame({c: np.zeros(0, np.int64) for c in ("sig", "n", "asked", "dup", "seen")})
     low, high = np.minimum.reduceat(sigs, first), np.maximum.reduceat(sigs, first)
-    dup = np.repeat((low != high) | np.isin(keys[first], many), size)
-    who, n = np.unique(inst[dup], return_counts=True)
-    zero = np.zeros(len(who), np.int64)
-    return pd.DataFrame({"inst": who, "sig": zero, "n": zero, "asked": zero, "dup": n})
+    who, n = np.unique(sigs[np.repeat((low != high) | np.isin(keys[first], many), size)], return_counts=True)
+    return pd.DataFrame({"sig": who, "n": 0, "asked": 0, "dup": n, "seen": 0})
 
 
 def _full_batches(batches: Iterator[pa.RecordBatch], salt: int) -> Iterator[pa.RecordBatch]:
@@ -299,11 +291,35 @@ def _pivot_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf[["sig", "pivot"]].assign(linked=linked)
 
 
-def _large(sets: DataFrame, group: int) -> DataFrame:
-    """Links in candidate groups of more than `group` sets (sig, grams, root, common, size), as edges (a, b).
+def _near(sets: DataFrame, rest: DataFrame, prefix: DataFrame) -> DataFrame:
+    """(block, sig): the sets that may link with one of a block of `rest`, by a shared prefix 5-gram and by size."""
+    asked = prefix.join(rest.select("sig", "block", "steps"), "sig").select("gram", "block", "steps").distinct()
+    every = prefix.join(sets.select("sig", _steps().alias("_k")), "sig").select("gram", "sig", "_k")
+    return every.join(asked, "gram").where(F.abs(F.col("_k") - F.col("steps")) <= 1).select("block", "sig").distinct()
 
-    Every set is held against the group's most common one. What links to it is one component; the rest, in blocks, is
-    held against all blocks of its group, so no task holds more than `group` sets and no link is lost.
+
+def _steps() -> "F.Column":
+    """Size class of a set: linked sets are in the same one or in neighbours."""
+    return F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / PERCENT)) - 1e-9).cast("int")
+
+
+def _blocks(sets: DataFrame, held: DataFrame, prefix: DataFrame, half: int) -> DataFrame:
+    """The sets that did not link with their pivot, in blocks of about `half` sets or fewer that share rare 5-grams and sizes."""
+    rare = prefix.groupBy("sig").agg(F.min("gram").alias("rare"))
+    rest = sets.join(held.where("not linked").select("sig"), "sig").join(rare, "sig").withColumn("steps", _steps())
+    crowd = stage(rest.groupBy("root", "rare", "steps").agg(F.count(F.lit(1)).alias("c")).withColumnsRenamed({"root": "_r", "rare": "_g", "steps": "_s"}), "join-crowd")
+    rest = rest.join(crowd, (F.col("root") == F.col("_r")) & (F.col("rare") == F.col("_g")) & (F.col("steps") == F.col("_s")))
+    piles = F.ceil(F.col("size") / half).cast("long")
+    split = F.pmod(F.xxhash64("sig", F.lit(1)), F.ceil(F.col("c") / half).cast("long"))
+    return rest.select("sig", "grams", "steps", F.xxhash64("root", F.pmod(F.xxhash64("rare"), piles), "steps", split).alias("block"))
+
+
+def _large(sets: DataFrame, prefix: DataFrame, group: int) -> DataFrame:
+    """Links in candidate groups of more than `group` sets (sig, n, grams, root, common, size), as edges (a, b).
+
+    Every set is held against the group's most common one. What links to it is one component; the rest, in blocks that
+    share rare 5-grams and sizes, is held against those sets of the group alone that share a prefix 5-gram with the block
+    and are in a neighbouring size class, again in pieces: no task holds more than about `group` sets, and no link is lost.
     """
     sets = stage(sets, "join-large")
     pivots = sets.groupBy("root").agg(F.max_by("sig", F.struct("common", "sig")).alias("pivot"))
@@ -311,13 +327,12 @@ def _large(sets: DataFrame, group: int) -> DataFrame:
     held = stage(sets.join(pivots, "root").select("sig", "grams", "pivot", "pivot_grams")
                  .mapInPandas(_pivot_batches, "sig long, pivot long, linked boolean"), "join-pivot")
     half = max(1, group // 2)
-    blocks = F.ceil(F.col("size") / half).cast("int")
-    rest = sets.join(held.where("not linked").select("sig"), "sig").withColumn("blocks", blocks)
-    rest = stage(rest.withColumn("i", F.pmod(F.xxhash64("sig", F.lit(1)), F.col("blocks").cast("long"))), "join-rest")
-    mine = rest.select("sig", "grams", "root", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("j"))
-    some = rest.select("root", "i").distinct()
-    every = sets.withColumn("j", F.pmod(F.xxhash64("sig"), blocks.cast("long"))).join(some, "root").select("sig", "grams", "root", "i", "j")
-    found = mine.unionByName(every).groupBy("root", "i", "j").applyInPandas(_links, "a long, b long")
+    rest = stage(_blocks(sets, held, prefix, half), "join-rest")
+    near = stage(_near(sets, rest, prefix), "join-near-blocks")
+    pieces = stage(near.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / half).cast("long").alias("pieces")), "join-pieces")
+    mine = rest.join(pieces, "block").select("sig", "grams", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("j"))
+    every = near.join(pieces, "block").withColumn("j", F.pmod(F.xxhash64("sig"), "pieces")).join(sets.select("sig", "grams"), "sig").select("sig", "grams", "block", "j")
+    found = mine.unionByName(every).withColumn("root", F.lit(0)).groupBy("block", "j").applyInPandas(_links, "a long, b long")
     return held.where("linked").select(F.col("sig").alias("a"), F.col("pivot").alias("b")).unionByName(found)
 
 
@@ -342,10 +357,9 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     slots = int(max(1, -(-total * FIRST // TASK)))
     text = docs.select(F.coalesce(docs[text_col], F.lit("")).alias("text"))
     first = (text.mapInArrow(lambda b: _first_batches(b, slots, salt), _FIRST)
-             .groupBy("part").applyInPandas(_first_part, "inst long, sig long, n long, asked long, dup long"))
-    of = first.groupBy("inst").agg(F.max("asked").alias("asked"), F.max("n").alias("n"), F.sum("dup").alias("dup"),
-                                   F.max(F.when(F.col("n") > 0, F.col("sig"))).alias("sig"))
-    alive = of.where(F.col("asked") - F.col("dup") <= F.floor((100 - PERCENT) * F.col("n") / 100)).select("sig").distinct()
+             .groupBy("part").applyInPandas(_first_part, "sig long, n long, asked long, dup long, seen long"))
+    of = first.groupBy("sig").agg(F.sum("asked").alias("asked"), F.max("n").alias("n"), F.sum("dup").alias("dup"), F.sum("seen").alias("seen"))
+    alive = of.where(F.col("asked") - F.col("dup") <= F.col("seen") * F.floor((100 - PERCENT) * F.col("n") / 100)).select("sig")
     reps = base.where("n > 0").groupBy("sig").agg(F.min(F.struct("id", "th")).alias("r"))
     want = alive.join(reps, "sig").select("sig", F.col("r.id").alias("id"), F.col("r.th").alias("th"))
     seen = docs.select(docs[id_col].alias("_id"), F.coalesce(docs[text_col], F.lit("")).alias("_text"))
@@ -371,7 +385,7 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     big = sets.where(F.col("size") > group)
     if not big.isEmpty():
         common = prefix.groupBy("sig").agg(F.max("common").alias("common"))
-        links = links.unionByName(_large(big.join(common, "sig"), group))
+        links = links.unionByName(_large(big.join(common, "sig"), prefix, group))
     return base, components(links).withColumnRenamed("node", "sig")
 
 
@@ -381,7 +395,7 @@ def join_ngrams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Two documents link when PERCENT * union <= 100 * intersection of their sets of distinct word 5-grams (A-Z lower-cased,
     words separated by [\\x20\\x09-\\x0D]; fewer words are one n-gram). Null and empty texts have an empty set and link
     with nothing. Repeated rows are one class. Null ids never name a component unless all its ids are null; empty tables
-    give empty results; other columns are ignored. 5-grams are compared by 64-bit hashes, sets of equal texts by 128.
+    give empty results; other columns are ignored; a text of any length is read whole by one task. 5-grams are compared by 64-bit hashes, sets of equal texts by 128.
     """
     base, roots = link_classes(docs, id_col, text_col, group)
     of = base.where("n > 0").groupBy("sig").agg(F.min("id").alias("low")).join(roots, "sig", "left")
