@@ -8,21 +8,23 @@ length where the profile lacks it, and the language with the least sum is predic
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import small_batches, stage
 
 #: n-grams of a profile, and of a document, that are ranked.
 RANKED = 400
-#: Languages whose profiles one pass holds in each task (RANKED rows each); more are matched in further passes.
+#: Languages whose profiles one pass holds in each worker (RANKED rows each); more are matched in further passes.
 LANGUAGES_AT_ONCE = 500
 UNKNOWN = "und"
+#: A document below this score is in no learned language, see keep_identified.
+LEAST = 0.3
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 _CODE = np.uint64(21)
 
@@ -56,8 +58,9 @@ def counted(s: str) -> tuple[np.ndarray, np.ndarray]:
         for k in range(n):
             key |= wide[rest % a] << (_CODE * np.uint64(k))
             rest = rest // a
-        # a lone space says nothing
-        keep = key != 32
+        # a lone space says nothing, and two are where texts that are counted together meet
+        one, two = key & np.uint64(0x1FFFFF), (key >> _CODE) & np.uint64(0x1FFFFF)
+        keep = (key != 32) & ~((one == 32) & (two == 32)) & ~((two == 32) & (key >> (_CODE * np.uint64(2)) == 32))
         keys.append(key[keep])
         counts.append(c[keep])
     return np.concatenate(keys).astype(np.int64), np.concatenate(counts).astype(np.int64)
@@ -124,39 +127,45 @@ class Profiles:
         return self.langs[k], float(off[k]) / (self.ranked * len(top))
 
 
-def _predict_batches(batches: Iterator[pa.RecordBatch], shared, ranked: int) -> Iterator[pa.RecordBatch]:
-    profiles = Profiles(shared.value, ranked)
-    for batch in batches:
-        col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-        lang, off = [], []
-        for text, was, far in zip(col["_text"].to_pylist(), col["_lang"].to_pylist(), col["_off"].to_pylist(), strict=True):
-            x, d = profiles.nearest(text)
-            better = x is not None and (was is None or (d, x) < (far, was))
-            lang.append(x if better else was)
-            off.append(d if better else far)
-        made = {"_lang": pa.array(lang, pa.string()), "_off": pa.array(off, pa.float64())}
-        yield pa.RecordBatch.from_arrays([made.get(n, x) for n, x in col.items()], names=list(col))
+#: The profiles of the last broadcast that this worker process met.
+_profiles: dict[str, Profiles] = {}
+
+
+def _nearest(shared, key: str, ranked: int):
+    def nearest(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        if key not in _profiles:
+            _profiles.clear()
+            _profiles[key] = Profiles(shared.value, ranked)
+        for column in texts:
+            found = [_profiles[key].nearest(x) for x in column.to_pylist()]
+            yield pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["lang", "off"])
+
+    # not repeated by the optimiser, whatever is selected later
+    return F.arrow_udf(nearest, "lang string, off double").asNondeterministic()
 
 
 def predict(docs: DataFrame, profiles: DataFrame, text_col: str = "text", ranked: int = RANKED, at_once: int = LANGUAGES_AT_ONCE) -> DataFrame:
     """docs with lang_pred and score (0 to 1: one less the distance as a share of the largest possible one).
 
     Null texts and texts without a letter are `und` with score 0, as is everything when no profile was learned. Equal
-    distances go to the first language by name. Each row is judged by its text alone.
+    distances go to the first language by name. Each row is judged by its whole text alone, which is read whole by one
+    task. Only texts go to Python. More than `at_once` languages are matched in passes, staged in between, so that one
+    pass's profiles are in memory at a time.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    out = docs.withColumns({"_text": docs[text_col], "_lang": F.lit(None).cast("string"), "_off": F.lit(1.0)})
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in out.schema])
-    n = profiles.select("lang").distinct().count()
-    passes = -(-n // at_once)
+    columns = [F.col(c) for c in docs.columns]
+    out = docs.select(F.struct(*columns).alias("_row"), docs[text_col].alias("_text"), F.lit(None).cast("struct<off:double,lang:string>").alias("_best"))
+    passes = -(-profiles.select("lang").distinct().count() // at_once)
     for k in range(passes):
+        if k:
+            out = stage(out, "lang-pass")
         part = profiles if passes == 1 else profiles.where(F.pmod(F.xxhash64("lang"), F.lit(passes)) == k)
         shared = spark.sparkContext.broadcast([tuple(r) for r in part.select("lang", "gram", "rank").collect()])  # about at_once * ranked rows
-        out = out.mapInArrow(lambda batches, shared=shared: _predict_batches(batches, shared, ranked), schema)
-    und = F.col("_lang").isNull()
-    return out.withColumns({"lang_pred": F.when(und, F.lit(UNKNOWN)).otherwise(F.col("_lang")),
-                            "score": F.when(und, F.lit(0.0)).otherwise(1.0 - F.col("_off"))}).drop("_text", "_lang", "_off")
+        out = out.withColumn("_p", _nearest(shared, uuid.uuid4().hex, ranked)("_text"))
+        mine = F.when(F.col("_p.lang").isNotNull(), F.struct(F.col("_p.off").alias("off"), F.col("_p.lang").alias("lang")))
+        out = out.select("_row", "_text", F.least("_best", mine).alias("_best") if k else mine.alias("_best"))
+    return out.select("_row.*", F.coalesce("_best.lang", F.lit(UNKNOWN)).alias("lang_pred"), F.coalesce(1.0 - F.col("_best.off"), F.lit(0.0)).alias("score"))
 
 
 def held_out(id_col: Column, folds: int = 3, fold: int = 1) -> Column:
@@ -165,15 +174,23 @@ def held_out(id_col: Column, folds: int = 3, fold: int = 1) -> Column:
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per document: id, held_out, lang_pred, score; profiles come from the rows that are not held out."""
+    """One row per document: id, held_out, lang_pred, score; profiles come from the rows that are not held out.
+
+    Other columns are ignored; repeated rows and ids are judged row by row; empty tables give no rows. For odd texts see
+    predict.
+    """
     profiles = stage(train_profiles(docs.where(~held_out(docs[id_col])), text_col, lang_col), "lang-profiles")
-    seen = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_doc"))
-    found = predict(seen, profiles, "_doc")
+    found = predict(docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_doc")), profiles, "_doc")
     return found.select(F.col("_id").alias(id_col), held_out(F.col("_id")).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.0) -> DataFrame:
-    """The documents in a language that was learned, with score `least` or more; all columns as they were, whatever their names."""
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = LEAST,
+                    languages: tuple[str, ...] | None = None) -> DataFrame:
+    """The documents in a learned language (one of `languages` if given) with score `least` or more, columns as they were.
+
+    A text in a language that was not learned shares few n-grams with any profile and is far from all of them.
+    """
     profiles = stage(train_profiles(docs.where(~held_out(docs[id_col])), text_col, lang_col), "lang-profiles")
-    packed = docs.select(F.struct("*").alias("_row"), docs[text_col].alias("_doc"))
-    return predict(packed, profiles, "_doc").where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("_row.*")
+    found = predict(docs.select(F.struct("*").alias("_row"), docs[text_col].alias("_doc")), profiles, "_doc")
+    wanted = F.col("lang_pred").isin(*languages) if languages is not None else F.col("lang_pred") != UNKNOWN
+    return found.where(wanted & (F.col("score") >= least)).select("_row.*")

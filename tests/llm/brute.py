@@ -85,3 +85,31 @@ def exact(rows):
     for i, t in rows:
         groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append((-len(t or ""), i))
     return sorted((i, min(g)[1], len(g), hashlib.sha256(n.encode()).hexdigest()) for n, g in groups.items() for _, i in g)
+
+
+def letters(text):
+    s = re.sub(r"[\W\d_]+", " ", (text or "").lower())
+    return f" {s.strip()} " if any(map(str.isalpha, s)) else ""
+
+
+def profile(texts, ranked):
+    """The most frequent n-grams, ties by length and code points."""
+    c = Counter(s[k : k + n] for s in map(letters, texts) for n in (1, 2, 3) for k in range(len(s) - n + 1))
+    del c[" "]
+    return sorted(c, key=lambda g: (-c[g], len(g), [ord(x) for x in g]))[:ranked]
+
+
+def languages(rows, learn, ranked=400):
+    """(id, language, score) of each (id, text, lang) row by out-of-place distance to the profiles of the rows in `learn`."""
+    by = defaultdict(list)
+    for i, text, lang in rows:
+        if lang is not None and i in learn and letters(text):
+            by[lang].append(text)
+    ranks = {lang: {g: r for r, g in enumerate(profile(texts, ranked))} for lang, texts in by.items()}
+    out = []
+    for i, text, _ in rows:
+        own = profile([text], ranked)
+        off = {lang: sum(min(abs(p.get(g, 2 * ranked) - r), ranked) for r, g in enumerate(own)) for lang, p in ranks.items()}
+        best = min(off, key=lambda x: (off[x], x)) if own and off else None
+        out.append((i, best or "und", 1 - off[best] / (ranked * len(own)) if best else 0.0))
+    return out

@@ -195,6 +195,13 @@ def test_repeats(docs, rows, length, frequent):
     assert _got(suffix_dedup.remove_repeats(docs, length=length, frequent=frequent)) == sorted(brute.repeats(rows, length), key=repr)
 
 
+def test_repeats_in_many_parts(docs, rows, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "ANCHORS", 500)
+    monkeypatch.setattr(suffix_dedup, "SUFFIXES", 20_000)
+    for frequent in (2000, 3):
+        assert _got(suffix_dedup.remove_repeats(docs, length=40, frequent=frequent)) == sorted(brute.repeats(rows, 40), key=repr)
+
+
 def test_repeats_of_repeated_rows(spark):
     d = [(1, "ab" * 300), (1, "ab" * 300), (None, "q" * 50), (2, None)]
     assert _got(suffix_dedup.remove_repeats(_docs(spark, d), length=40)) == sorted(brute.repeats(d, 40), key=repr)
@@ -226,6 +233,13 @@ def test_language(spark):
     p = langid.train_profiles(docs)
     one, two = langid.predict(docs, p).collect(), langid.predict(docs, p, at_once=1).collect()
     assert sorted((x.doc_id, x.lang_pred, x.score) for x in one) == sorted((x.doc_id, x.lang_pred, x.score) for x in two)
+    want = brute.languages(d, {i for i, _, _ in d if zlib.crc32(str(i).encode()) % 3 != 1})
+    assert [(i, k) for i, k, _ in want] == [(i, got[i].lang_pred) for i, _, _ in d] and all(abs(got[i].score - s) < 1e-9 for i, _, s in want)
+    again = {x.doc_id: (x.lang_pred, x.score) for x in langid.identify(docs.repartition(7)).collect()}
+    assert again == {i: (x.lang_pred, x.score) for i, x in got.items()}  # whatever the partitions
+    assert {x.doc_id for x in langid.keep_identified(docs, languages=("aa",)).collect()} == {i for i, _, k in d[:150] if k == "aa"}
+    mixed = docs.limit(90).unionByName(docs.limit(1).select(F.lit(999).cast("long").alias("doc_id"), F.lit("жук щука " * 30).alias("text"), F.lit(None).cast("string").alias("lang")))
+    assert 999 not in {x.doc_id for x in langid.keep_identified(mixed).collect()}
     assert langid.identify(docs.limit(0)).count() == 0
 
 
@@ -234,6 +248,28 @@ def test_near(docs, rows, group):
     assert _got(ngram_join.join_ngrams(docs, group=group)) == sorted(brute.near(rows), key=repr)
 
 
+def test_near_in_many_parts(docs, rows, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TASK", 3000)
+    assert _got(ngram_join.join_ngrams(docs, group=20)) == sorted(brute.near(rows), key=repr)
+
+
+def test_near_chain(spark, monkeypatch):
+    """A chain of sets, each linked with its neighbours alone, is one group; what is compared grows about as the chain does."""
+    compared, plain = [], ngram_join._near
+
+    def counting(*args):
+        out = plain(*args)
+        compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "_near", counting)
+    for n in (1250, 5000):
+        words = [f"w{k}" for k in range(3 * n + 60)]
+        d = spark.createDataFrame([(k, " ".join(words[3 * k : 3 * k + 60])) for k in range(n)], "doc_id long, text string").repartition(8)
+        assert {x.component_id for x in ngram_join.join_ngrams(d, group=100).collect()} == {0}
+    assert compared[1] <= 6 * compared[0], compared
+
+
 def test_near_keeps_one_of_each(spark, docs, rows):
     want = {c if n else i for i, n, c in brute.near(rows)}
     kept = ngram_join.dedup_ngrams(docs)

@@ -4,10 +4,11 @@ import hashlib
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
-from ledgerlens.llm import lm, token_count
+from ledgerlens.llm import langid, lm, token_count
 
 from . import brute
 
@@ -66,8 +67,13 @@ def test_tokens(spark, rows):
 
 
 def test_language(spark):
-    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    held = [(r.lang_pred, lang[r.doc_id]) for r in _run(spark, "op9_language").collect() if r.held_out]
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    out = {r.doc_id: r for r in _run(spark, "op9_language").collect()}
+    want = brute.languages(rows, {i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1})
+    assert len(out) == len(rows)
+    for i, lang, score in want:
+        assert out[i].lang_pred == lang and abs(out[i].score - score) < 1e-9 and out[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1)
+    held = [(out[i].lang_pred, lang) for i, _, lang in rows if out[i].held_out]
     assert sum(a == b for a, b in held) >= 0.95 * len(held)
 
 
@@ -99,7 +105,10 @@ def _mixed(docs):
 def test_pipeline(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source").collect()]
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
-    docs = [d for d in docs if any(map(str.isalpha, d[1] or ""))]
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").collect()]
+    found = brute.languages(rows, {i for i, _, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1})
+    known = {i for i, lang, score in found if lang != "und" and score >= langid.LEAST}
+    docs = [d for d in docs if d[0] in known]
     stay = {k for _, k, _, _ in brute.exact([d[:2] for d in docs])}
     docs = [d for d in docs if d[0] in stay]
     stay = {c if n else i for i, n, c in brute.near([d[:2] for d in docs])}
@@ -111,3 +120,12 @@ def test_pipeline(spark):
     out = corpus_pipeline.run(spark, SF)
     assert {r.doc_id: r.mix_taken for r in out.collect()} == want
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "exact dedup", "n-gram Jaccard join", "benchmark decontamination", "mixing sources"]
+
+
+def test_pipeline_rejects_other_languages(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(120)
+    strange = docs.limit(3).withColumns({"doc_id": docs.doc_id + 1_000_000, "text": F.lit("съешь ещё этих мягких французских булок да выпей чаю " * 20), "lang": F.lit(None).cast("string")})
+    kept = corpus_pipeline.identify_language(spark, docs.unionByName(strange), SF)
+    assert kept.columns == docs.columns
+    ids = {r.doc_id for r in kept.collect()}
+    assert not any(i >= 1_000_000 for i in ids) and len(ids) > 100
