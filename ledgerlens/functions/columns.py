@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Texts that stand for a missing value in CSV input.
+#: Texts that stand for a missing value in CSV input, the public default list of the reader whose results are matched.
 NULL_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None",
                "n/a", "nan", "null")
 WEEKDAYS = ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")
@@ -22,13 +22,18 @@ def percent(part: Column, whole: Column) -> Column:
 
 
 def wilson(f: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
-    """Wilson score interval of f successes in n."""
-    f, n = f.cast("double"), F.nullif(n.cast("double"), F.lit(0.0))
-    p = rate(f, n)
-    scale = 1 + z * z / n
-    centre = (p + z * z / (2 * n)) / scale
-    margin = z * F.sqrt(F.greatest((p * (1 - p) + z * z / (4 * n)) / n, F.lit(0.0))) / scale
-    return centre - margin, centre + margin
+    """Wilson score interval of f successes in n, from the counts; null where n is 0."""
+    hits, trials, zz = f.cast("double"), F.nullif(n.cast("double"), F.lit(0.0)), z * z
+    middle = F.try_divide(hits + zz / 2, trials + zz)
+    spread = F.sqrt(F.greatest(F.try_divide(hits * (trials - hits), trials) + zz / 4, F.lit(0.0)))
+    half = F.try_divide(z * spread, trials + zz)
+    return middle - half, middle + half
+
+
+def hash52(seed: int, key: Column) -> Column:
+    """52 bits of the MD5 of seed and key, exact as a double; a null key hashes as an empty text."""
+    text = F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("long")
 
 
 def parse_iso(text: Column, strict: bool = True) -> Column:

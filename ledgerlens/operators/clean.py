@@ -45,6 +45,15 @@ def cleaning_stats(df: DataFrame, spec: TableSpec, *, strict_iso: bool = True) -
 
 
 def duplicate_count(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """One row, duplicates: rows beyond the first of each group of equal keys (default: all columns); nulls are equal."""
-    g = df.groupBy(*(keys or df.columns)).agg(F.count(F.lit(1)).alias("_c"))
+    """One row, duplicates: rows beyond the first of each group of equal keys (default: all columns); nulls are equal.
+
+    Whole rows are grouped by two 64-bit hashes first; only rows whose hashes meet are moved and compared in full.
+    """
+    names = keys or df.columns
+    rows = df
+    if len(names) > 2:
+        hashes = {"_h1": F.xxhash64(*[F.col(c) for c in names]), "_h2": F.xxhash64(F.lit(1), *[F.col(c) for c in reversed(names)])}
+        met = df.select(*[v.alias(k) for k, v in hashes.items()]).groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1")
+        rows = df.withColumns(hashes).join(met, ["_h1", "_h2"], "left_semi")
+    g = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_c"))
     return g.agg(F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).cast("long").alias("duplicates"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import hash52
+
 BUCKETS = 64
 
 
@@ -102,9 +104,7 @@ def sample_n(df: DataFrame, n: int, seed: int, id_col: str, *, by: str | None =
     Too few rows raise unless clamp. The cut is found by the rank kernel on the hash, so no task sorts a whole group;
     rows that tie at the cut are taken by id.
     """
-    h = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"))
-    # 52 bits, exact as a double
-    keyed = df.withColumn("_h", F.shiftrightunsigned(h, 12).cast("double"))
+    keyed = df.withColumn("_h", hash52(seed, F.col(id_col)).cast("double"))
     r = ranked(keyed, "_h", by)
     cut = r.where(F.col("_upto") >= F.least(F.lit(n), F.col("_total"))).groupBy("_g").agg(
         F.min_by(F.struct("_x", (F.col("_upto") - F.col("_n")).alias("below")), "_x").alias("_c"), F.max("_total").alias("_t"))

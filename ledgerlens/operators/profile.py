@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import one, parse_iso, percent, rate, weekday
 from ..spec import TableSpec
 from .orderstat import quantiles
+from .schema import check_schema, value_counts
 
 
 def _y(spec: TableSpec) -> Column:
@@ -19,22 +20,31 @@ def long_values(row: DataFrame, names: list[str]) -> DataFrame:
     return row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("string").alias("value")) for c in names])))
 
 
-def overview(df: DataFrame, spec: TableSpec, *, parsed: bool = False) -> DataFrame:
-    """(metric, value): size, time range, unreadable times, duplicates, negative and zero amounts, missing values."""
+def overview(df: DataFrame, spec: TableSpec, *, parsed: bool = False, expected: list[str] | None = None) -> DataFrame:
+    """(metric, value): size, time range, unreadable times, duplicates, negative and zero amounts, missing values, positives.
+
+    With `expected` names also the missing and unexpected columns, comma-separated.
+    """
     ts = F.col(spec.timestamp) if parsed else parse_iso(F.col(spec.timestamp))
     amount = F.col(spec.amount)
     missing = sum((F.count_if(F.col(c).isNull()) for c in df.columns[1:]), F.count_if(F.col(df.columns[0]).isNull()))
     shape = lambda x: F.date_format(x, "yyyy-MM-dd HH:mm:ss.SSSSSS")
     a = df.agg(F.count(F.lit(1)).alias("rows"), shape(F.min(ts)).alias("date_min"), shape(F.max(ts)).alias("date_max"),
                F.count_if(ts.isNull()).alias("invalid_timestamps"), F.count_if(amount < 0).alias("negative_amount_rows"),
-               F.count_if(amount == 0).alias("zero_amount_rows"), missing.alias("missing_values_total"), F.coalesce(F.sum(_y(spec)), F.lit(0)).alias("positive_rows"))
+               F.count_if(amount == 0).alias("zero_amount_rows"), missing.alias("missing_values_total"), F.coalesce(F.sum(_y(spec)), F.lit(0)).alias("positive_rows"),
+               F.format_string("%.4f", F.avg(_y(spec)) * 100).alias("positive_percent"))
     from .clean import duplicate_count
 
     d = duplicate_count(df).withColumnRenamed("duplicates", "exact_duplicate_rows")
     i = duplicate_count(df, [spec.id]).withColumnRenamed("duplicates", "duplicate_ids")
     row = a.crossJoin(F.broadcast(d)).crossJoin(F.broadcast(i)).withColumn("columns", F.lit(len(df.columns)))  # one row each
-    return long_values(row, ["rows", "columns", "date_min", "date_max", "invalid_timestamps", "exact_duplicate_rows", "duplicate_ids",
-                             "negative_amount_rows", "zero_amount_rows", "missing_values_total", "positive_rows"])
+    names = ["rows", "columns", "date_min", "date_max", "invalid_timestamps", "exact_duplicate_rows", "duplicate_ids",
+             "negative_amount_rows", "zero_amount_rows", "missing_values_total", "positive_rows", "positive_percent"]
+    if expected is not None:
+        found = check_schema(df.columns, expected, strict=False)
+        row = row.withColumns({f"{k}_columns": F.lit(", ".join(v)) for k, v in found.items()})
+        names += [f"{k}_columns" for k in found]
+    return long_values(row, names)
 
 
 def class_distribution(df: DataFrame, spec: TableSpec) -> DataFrame:
@@ -57,8 +67,10 @@ def missing_total(df: DataFrame) -> DataFrame:
 
 def cardinality(df: DataFrame, columns: list[str], *, approx: bool = False) -> DataFrame:
     """(column, unique_count, cardinality_ratio, repeated_non_missing_values); nulls are no value."""
-    d = F.approx_count_distinct if approx else F.count_distinct
-    a = df.agg(F.count(F.lit(1)).alias("_n"), *[e for i, c in enumerate(columns) for e in (d(F.col(c)).alias(f"_u{i}"), F.count(F.col(c)).alias(f"_c{i}"))])
+    if not approx:
+        return value_counts(df, columns).select("column", F.col("distinct").alias("unique_count"), rate(F.col("distinct"), F.col("rows")).alias("cardinality_ratio"),
+                                                (F.col("rows") - F.col("missing") - F.col("distinct")).alias("repeated_non_missing_values"))
+    a = df.agg(F.count(F.lit(1)).alias("_n"), *[e for i, c in enumerate(columns) for e in (F.approx_count_distinct(F.col(c)).alias(f"_u{i}"), F.count(F.col(c)).alias(f"_c{i}"))])
     return a.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_u{i}").alias("unique_count"), rate(F.col(f"_u{i}"), F.col("_n")).alias("cardinality_ratio"),
                                                 (F.col(f"_c{i}") - F.col(f"_u{i}")).alias("repeated_non_missing_values")) for i, c in enumerate(columns)])))
 

@@ -70,16 +70,13 @@ def weekly_stability(df: DataFrame, spec: TableSpec, window: int = 4) -> DataFra
 
 
 def correlation(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, r) for all pairs, each over the rows that have both, in one pass; null where a column is constant."""
-    x = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
-    aggs = []
-    for i, a in enumerate(columns):
-        for j in range(i, len(columns)):
-            p, q = F.when(x[columns[j]].isNotNull(), x[a]), F.when(x[a].isNotNull(), x[columns[j]])
-            aggs.append(F.try_divide(F.covar_pop(p, q), F.stddev_pop(p) * F.stddev_pop(q)).alias(f"_r{i}_{j}"))
-    pairs = [(i, j) for i in range(len(columns)) for j in range(len(columns))]
-    return df.agg(*aggs).select(F.inline(F.array(*[
-        F.struct(F.lit(columns[i]).alias("a"), F.lit(columns[j]).alias("b"), F.col(f"_r{min(i, j)}_{max(i, j)}").alias("r")) for i, j in pairs])))
+    """(a, b, r) for all pairs, each over the rows that have both, in one pass of one aggregate a pair; null where a column is constant."""
+    rows = df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in columns])
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    row = rows.agg(*[F.corr(columns[i], columns[j]).alias(f"_r{i}_{j}") for i, j in pairs])
+    r = lambda i, j: F.nanvl(F.col(f"_r{min(i, j)}_{max(i, j)}"), F.lit(None))
+    return row.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r(i, j).alias("r"))
+                                         for i, a in enumerate(columns) for j, b in enumerate(columns)])))
 
 
 def strongest(corr: DataFrame, target: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import one, rate
+from ..functions.columns import hash52, one, percent, rate
 from ..operators.orderstat import quantile_edges, quantiles
 from ..spec import TableSpec
 
@@ -79,7 +79,7 @@ def oversample(df: DataFrame, spec: TableSpec, share: float, seed: int = 42) ->
     y = one(F.col(spec.target))
     n = df.agg(F.count_if(y == 0).alias("_neg"), F.sum(y).alias("_pos"))
     want = F.greatest(F.lit(1.0), F.coalesce(F.try_divide(F.col("_neg") * share / (1 - share), F.col("_pos")), F.lit(1.0)))
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(spec.id)), F.lit(1_000_000)) / 1e6
+    u = hash52(seed, F.col(spec.id)) / F.lit(float(1 << 52))
     times = F.when(y == 1, F.floor(want) + (u < want - F.floor(want)).cast("long")).otherwise(F.lit(1).cast("long"))
     return df.crossJoin(F.broadcast(n)).withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), times))).drop("_i", "_neg", "_pos")  # one row
 
@@ -168,6 +168,27 @@ def drift(reference: DataFrame, current: DataFrame, columns: list[str], q: int =
     return out
 
 
+def monitoring_batch(reference: DataFrame, current: DataFrame, spec: TableSpec, columns: list[str], score_col: str, threshold: float, false_alarm: float) -> DataFrame:
+    """(section, metric, reference, current): quality, drift, predictions, performance and expected cost of two scored windows.
+
+    Drift rows hold the index of a column in `current`, their reference is 0. Performance counts rows whose label is known.
+    """
+    y, s = one(F.col(spec.target)), F.col(score_col)
+    flagged = s >= threshold
+
+    def measured(df: DataFrame, name: str) -> DataFrame:
+        aggs = {("quality", f"missing_percent {c}"): percent(F.count_if(F.col(c).isNull()), F.count(F.lit(1))) for c in columns}
+        tp, fp, fn = (F.count_if(x) for x in (flagged & (y == 1), flagged & (y == 0), ~flagged & (y == 1)))
+        aggs |= {("quality", "rows"): F.count(F.lit(1)).cast("double"), ("prediction", "flagged_percent"): percent(F.count_if(flagged), F.count(s)),
+                 ("prediction", "score_mean"): F.avg(s), ("performance", "precision"): rate(tp, tp + fp), ("performance", "recall"): rate(tp, tp + fn),
+                 ("cost", "expected_cost"): F.coalesce(F.sum(F.when(~flagged & (y == 1), F.col(spec.amount))), F.lit(0.0)) + fp * false_alarm}
+        row = df.agg(*[v.alias(f"_{i}") for i, v in enumerate(aggs.values())])
+        return row.select(F.inline(F.array(*[F.struct(F.lit(a).alias("section"), F.lit(b).alias("metric"), F.col(f"_{i}").alias(name)) for i, (a, b) in enumerate(aggs)])))
+
+    moved = drift(reference, current, columns).select(F.lit("drift").alias("section"), F.concat(F.lit("psi "), F.col("column")).alias("metric"), F.lit(0.0).alias("reference"), F.col("psi").alias("current"))
+    return measured(reference, "reference").join(measured(current, "current"), ["section", "metric"]).unionByName(moved)
+
+
 def flags(metrics: DataFrame, rules: DataFrame) -> DataFrame:
     """(metric, value, flagged, reason): rules (metric, op, bound, reason) with op `>` or `<`, held against (metric, value)."""
     hit = F.when(F.col("op") == ">", F.col("value") > F.col("bound")).otherwise(F.col("value") < F.col("bound"))
@@ -192,5 +213,5 @@ def log_run(spark: SparkSession, path: str, run_id: str, metrics: DataFrame, par
     rows.unionByName(given).write.mode("append").parquet(path)
 
 
-__all__ = ["add_features", "best_threshold", "class_weights", "drift", "evaluate", "feature_sets", "fit", "flags", "gate", "log_run", "model_rows", "oversample",
+__all__ = ["add_features", "best_threshold", "class_weights", "drift", "evaluate", "feature_sets", "fit", "flags", "gate", "log_run", "model_rows", "monitoring_batch", "oversample",
            "preparation", "ranked_outcomes", "retrieve", "score", "threshold_cost", "time_split"]

@@ -13,12 +13,13 @@ from ..operators import clean as C
 from ..operators import orderstat as O
 from ..operators import profile as P
 from ..operators import risk as R
-from ..operators.schema import schema_profile
-from ..spec import GOLD, RAW, TableSpec
+from ..operators.schema import schema_differences, schema_profile
+from ..sources.io import read_transactions, verify_gold, work_dir, write_gold
+from ..spec import GOLD, RAW, RAW_SCHEMA, TableSpec
 from . import fixtures as X
 from . import modeling as M
 from . import report
-from .pipeline import to_gold, with_event_time
+from .pipeline import run_cleaning, to_gold, with_event_time
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -90,6 +91,62 @@ def amount_counts(spark, sf):
                                               "invalid_timestamps": parse_iso(F.col("timestamp")).isNull()})
 
 
+# ---------------------------------------------------------------- sources and sinks
+
+def _raw_csv(spark, sf) -> str:
+    """The dirty table as CSV with a header, in the shared folder."""
+    path = work_dir(spark, "raw-csv")
+    X.dirty(spark, sf).write.csv(path, header=True)
+    return path
+
+
+_GOLD_SQL = ORACLES["gold_table"]
+
+
+@_add("published_gold", _GOLD_SQL)
+def published_gold(spark, sf):
+    """Read typed CSV, check, clean, publish, report, verify, and read what was published."""
+    done = run_cleaning(spark, _raw_csv(spark, sf), work_dir(spark, "gold"), work_dir(spark, "report"))
+    return done.gold.withColumn("event_timestamp", F.date_format("event_timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+@_add("published_checks", f"""with {_CLEANED}, x as (select count(*)::double as n, sum(is_fraud::int)::double as p, """ + " + ".join(f"(count(*) - count({c}))" for c in RAW.gold) + """ as m from k)
+ select unnest(['rows', 'columns', 'missing_values_total', 'positive_rows']) as "check", unnest([n, 13.0::double, m::double, p]) as expected, unnest([n, 13.0::double, m::double, p]) as actual, unnest([true, true, true, true]) as ok from x""")
+def published_checks(spark, sf):
+    """A table that replaces an older one, verified against counts of what was to be written."""
+    gold, path = to_gold(X.dirty(spark, sf)), work_dir(spark, "gold")
+    write_gold(gold.limit(0), path)
+    write_gold(gold, path)
+    n = gold.agg(F.count(F.lit(1)).alias("rows"), F.sum("is_fraud").alias("positive_rows"), sum(F.count_if(F.col(c).isNull()) for c in gold.columns).alias("missing_values_total")).first()
+    return verify_gold(spark, path, {"rows": n["rows"], "columns": len(gold.columns), "missing_values_total": n["missing_values_total"], "positive_rows": n["positive_rows"]}, "is_fraud")
+
+
+@_add("csv_preview", f"with {X.DIRTY_CTE} select least(5, count(*)) as rows, 18 as columns, 18 as text_columns from dirty")
+def csv_preview(spark, sf):
+    seen = read_transactions(spark, _raw_csv(spark, sf), RAW_SCHEMA, preview=5)
+    return seen.agg(F.count(F.lit(1)).alias("rows"), F.lit(len(seen.columns)).alias("columns"), F.lit(sum(t == "string" for _, t in seen.dtypes)).alias("text_columns"))
+
+
+@_add("input_guard", f"with {X.DIRTY_CTE} select 'there' as path, count(*) as rows, '' as error from dirty union all select 'not there', 0, 'FileNotFoundError'")
+def input_guard(spark, sf):
+    """Rows of a table that is there, and the error for one that is not."""
+    path = _raw_csv(spark, sf)
+    out = read_transactions(spark, path, RAW_SCHEMA).agg(F.lit("there").alias("path"), F.count(F.lit(1)).alias("rows"), F.lit("").alias("error"))
+    try:
+        read_transactions(spark, f"{path}-none", RAW_SCHEMA)
+        error = ""
+    except FileNotFoundError as e:
+        error = type(e).__name__
+    return out.unionByName(out.limit(0).unionByName(spark.range(1).select(F.lit("not there").alias("path"), F.lit(0).cast("long").alias("rows"), F.lit(error).alias("error"))))
+
+
+@_add("schema_contract", f"""with {X.RAW_CTE}, have as (select column_name as c from (describe select * exclude (device_hash), device_hash as device_key, 1 as extra from raw)), want as (select column_name as c from (describe select * from raw))
+ select 'missing' as kind, c as "column" from (select c from want except select c from have) union all select 'unexpected', c from (select c from have except select c from want)""")
+def schema_contract(spark, sf):
+    changed = X.raw(spark, sf).withColumnRenamed("device_hash", "device_key").withColumn("extra", F.lit(1))
+    return schema_differences(changed, RAW_SCHEMA.names)
+
+
 # ---------------------------------------------------------------- profiles
 
 @_add("class_distribution", f"with {X.RAW_CTE} select is_fraud::bigint as is_fraud, count(*) as row_count, count(*)::double / (select count(*) from raw) * 100 as percentage from raw group by 1")
@@ -140,9 +197,10 @@ def id_cardinality(spark, sf):
  union all select 'exact_duplicate_rows', ((select count(*) from dirty) - (select count(*) from (select distinct * from dirty)))::varchar
  union all select 'duplicate_ids', (count(*) - count(distinct transaction_id))::varchar from t
  union all select 'negative_amount_rows', (count(*) filter (amount < 0))::varchar from t union all select 'zero_amount_rows', (count(*) filter (amount = 0))::varchar from t
- union all select 'missing_values_total', sum(m)::varchar from (""" + _each("dirty", _COLS, "count(*) - count({c}) as m") + """) union all select 'positive_rows', sum(is_fraud::int)::varchar from t""")
+ union all select 'missing_values_total', sum(m)::varchar from (""" + _each("dirty", _COLS, "count(*) - count({c}) as m") + """) union all select 'positive_rows', sum(is_fraud::int)::varchar from t
+ union all select 'positive_percent', printf('%.4f', avg(is_fraud::int) * 100) from t union all select 'missing_columns', '' union all select 'unexpected_columns', ''""")
 def overview(spark, sf):
-    return P.overview(X.dirty(spark, sf), RAW)
+    return P.overview(X.dirty(spark, sf), RAW, expected=RAW_SCHEMA.names)
 
 
 def _describe_sql(table: str, columns, probabilities) -> str:
@@ -368,29 +426,97 @@ def series_hours(spark, sf):
  union all select 'missing', c, unnest(['missing_count', 'missing_percent']), unnest([n, p]) from m where n > 0
  union all select 'target', is_fraud::int::varchar, unnest(['row_count', 'percentage']), unnest([count(*)::double, count(*)::double / (select count(*) from dirty) * 100]) from dirty group by is_fraud
  union all select 'kind', k, unnest(['row_count', 'positive_rate']), unnest([n::double, r]) from t
- union all select 'numeric', feature, unnest(['mean', 'std', 'min', 'p50', 'max']), unnest([mean, std, min, p50, max]) from q)
+ union all select 'numeric', feature, unnest(['mean', 'std', 'min', 'p50', 'max']), unnest([mean, std, min, p50, max]) from q
+ union all select 'decision', 'missing kept: time_since_last_transaction', 'rows', (select count(*) - count(time_since_last_transaction) from k)::double
+ union all select 'decision', unnest(['identifiers dropped: device_hash, ip_address, receiver_account, sender_account', 'label-derived dropped: fraud_type', 'features added']), 'columns', unnest([4.0::double, 1.0::double, 0.0::double])
+ union all select 'decision', 'postponed: ' || unnest([""" + ", ".join(f"'{x}'" for x in report.POSTPONED) + """]), 'applied', 0.0::double)
  select section, item, metric, round(value, 6) as value from x""")
 def quality_report(spark, sf):
     dirty = X.dirty(spark, sf)
     return _rounded(report.quality_report(dirty, to_gold(dirty), RAW), "value")
 
 
-@_add("findings")
+_FACTS = """select count(*) as n, avg(is_fraud::int) * 100 as pos, avg((time_since_last_transaction is null)::int) * 100 as miss, avg(amount) as mean, median(amount) as med,
+ coalesce(avg(is_fraud::int) filter (time_since_last_transaction is null) * 100, 0) as bias"""
+
+
+def _said(column: str, rows: dict[str, str], source: str) -> str:
+    """Union of one row a sentence: name, printf of its numbers."""
+    return " union all ".join(f"select '{k}' as {column}, {v} as evidence from {source}" for k, v in rows.items())
+
+
+_SAID = {
+    "size": "printf('%d rows and %d columns', n, 19)", "class imbalance": "printf('%.4f%% of the rows are positive', pos)",
+    "missingness": "printf('%.2f%% of %s is missing, with %.4f%% positive rows', miss, 'time_since_last_transaction', bias)",
+    "amount": "printf('mean %.2f, median %.2f, lift range %.4f', mean, med, (select value from rng where metric = 'amount_lift_range'))",
+    "categories": "printf('rates range over %.4f percentage points', (select value from rng where metric = 'category_rate_range') * 100)",
+    "time": "printf('the rolling weekly rate ranges over %.4f percentage points', (select value from rng where metric = 'weekly_rate_range'))",
+    "correlation": "(select printf('strongest with the target: %s (%.6f)', a, r) from top)",
+}
+_RANGES = ORACLES["metric_ranges"].replace("round((max(r) - min(r)) / (select avg(is_fraud::int) from raw), 6)", "(max(r) - min(r)) / (select avg(is_fraud::int) from raw)").replace("round(max(r) - min(r), 6)", "max(r) - min(r)")
+
+
+@_add("findings", f"""with {X.RAW_CTE}, rng as ({_RANGES}), top as (with {_corr_sql().removeprefix("with ")} select a, r from m where b = 'is_fraud' and a <> 'is_fraud' order by abs(m.r) desc, a limit 1),
+ f as ({_FACTS} from raw), s as ({_said("topic", _SAID, "f")}), i as (""" + " union all ".join(f"select '{k}' as topic, '{v}' as implication" for k, v in report.IMPLICATIONS.items()) + """)
+ select topic, evidence, implication from s join i using (topic)""")
 def findings(spark, sf):
     return report.findings(_ev(spark, sf), TIMED)
 
 
-@_add("sample_n")
+@_add("observations", f"""with {X.DIRTY_CTE}, f as ({_FACTS}, count(*) filter (try_cast(timestamp as timestamp) is null) as times, count(*) filter (amount < 0) as neg, count(*) filter (amount = 0) as zero,
+ count(*) filter (time_since_last_transaction is null and is_fraud) as mp, count(*) filter (fraud_type is not null and not is_fraud) as told,
+ count(*) - (select count(*) from (select distinct * from dirty)) as same, count(*) - count(distinct transaction_id) as ids,
+ least(""" + ", ".join(f"count(distinct {c})" for c in RAW.identifiers) + """) as least_ids from dirty)
+ select unnest([printf('%d timestamps cannot be read', times), printf('%d exact duplicates, %d repeated ids, %d negative and %d zero amounts', same, ids, neg, zero), printf('the amount has mean %.2f and median %.2f', mean, med),
+  printf('%.2f%% of time_since_last_transaction is missing, %d of it on positive rows', miss, mp), printf('fraud_type is present on %d negative rows', told), printf('each identifier has %d values or more', least_ids),
+  'timestamps hold an hour and a weekday']) as observation, unnest(['parse with one explicit ISO-8601 parser and drop only what it cannot read', 'remove only what is there and keep the checks',
+  'keep it plain in the baseline and test its logarithm apart', 'keep it missing until training rows can be imputed, and test a flag apart', 'leave it out of every feature set if that is none',
+  'leave identifiers out of the first baseline', 'test time features once the plain baseline is recorded']) as action from f""")
+def observations(spark, sf):
+    return report.observations(X.dirty(spark, sf), RAW)
+
+
+_HASH = "('0x' || substr(md5('42:' || transaction_id), 1, 13))::bigint"
+
+
+@_add("sample_n", f"with {X.RAW_CTE} select * from raw qualify row_number() over (order by {_HASH}, transaction_id) <= 2500")
 def sample_n(spark, sf):
     raw = X.raw(spark, sf)
     return O.sample_n(raw, 2500, 42, "transaction_id", clamp=True)
 
 
-@_add("sample_by_class")
+@_add("sample_by_class", f"with {X.RAW_CTE} select * from raw qualify row_number() over (partition by is_fraud order by {_HASH}, transaction_id) <= 300")
 def sample_by_class(spark, sf):
     return O.sample_n(X.raw(spark, sf), 300, 42, "transaction_id", by="is_fraud", clamp=True)
 
 
+@_add("ecdf_lines", f"""with {X.LINES_CTE}, g as (select returned, price as value, count(*) as n from li group by 1, 2),
+ r as (select *, sum(n) over (partition by returned order by value) as upto, sum(n) over (partition by returned) as total from g), t as (select *, greatest(1, total // 1000) as step from r)
+ select returned, value, upto::double / total as cumulative, round(log10(value), 9) as log10_value from t where upto // step > (upto - n) // step or upto = total""")
+def ecdf_lines(spark, sf):
+    return _rounded(report.series_ecdf(X.lines(spark, sf), LINES), "log10_value", digits=9)
+
+
+@_add("series_classes", f"with {X.LINES_CTE} select returned::bigint::varchar as label, count(*) as row_count from li group by 1")
+def series_classes(spark, sf):
+    return report.series_classes(X.lines(spark, sf), LINES)
+
+
+@_add("series_lift", f"select quantile, lift from ({ORACLES['amount_lift']})")
+def series_lift(spark, sf):
+    return _rounded(report.series_lift(X.lines(spark, sf), LINES), "lift", digits=9)
+
+
+@_add("series_weekly", ORACLES["weekly_stability_raw"])
+def series_weekly(spark, sf):
+    return _rounded(report.series_weekly(_ev(spark, sf), TIMED), "positive_percent", "rolling_percent").withColumn("week", F.to_date("week").cast("string"))
+
+
+@_add("series_correlation", ORACLES["correlation_long"])
+def series_correlation(spark, sf):
+    return _rounded(report.series_correlation(X.raw(spark, sf).withColumn("is_fraud", F.col("is_fraud").cast("int")), RAW), "r")
+
+
 _SPLIT = "u as (select *, epoch_us(event_timestamp)::double as us from ev), q as (select quantile_cont(us, 0.7) as a, quantile_cont(us, 0.85) as b from u)"
 
 
@@ -423,6 +549,31 @@ def psi_drift(spark, sf):
     return _rounded(M.drift(a, b, ["amount", "geo_anomaly_score"]), "psi", "ecdf_gap")
 
 
+_WINDOW = """select count(*)::double as rows, (count(*) - count(amount))::double / count(*) * 100 as m1, (count(*) - count(geo_anomaly_score))::double / count(*) * 100 as m2,
+ avg((geo_anomaly_score >= 0.9)::int) * 100 as flagged, avg(geo_anomaly_score) as mean, (count(*) filter (geo_anomaly_score >= 0.9 and is_fraud))::double / count(*) filter (geo_anomaly_score >= 0.9) as prec,
+ (count(*) filter (geo_anomaly_score >= 0.9 and is_fraud))::double / count(*) filter (is_fraud) as rec, coalesce(sum(amount) filter (geo_anomaly_score < 0.9 and is_fraud), 0) + 5.0 * count(*) filter (geo_anomaly_score >= 0.9 and not is_fraud) as cost"""
+_METRICS = {("quality", "missing_percent amount"): "m1", ("quality", "missing_percent geo_anomaly_score"): "m2", ("quality", "rows"): "rows", ("prediction", "flagged_percent"): "flagged",
+            ("prediction", "score_mean"): "mean", ("performance", "precision"): "prec", ("performance", "recall"): "rec", ("cost", "expected_cost"): "cost"}
+
+
+@_add("monitoring_batch", f"""with drifted as ({ORACLES["psi_drift"]}), {X.RAW_CTE}, a as ({_WINDOW} from raw where cast(substr(transaction_id, 2) as bigint) % 2 = 0), b as ({_WINDOW} from raw where cast(substr(transaction_id, 2) as bigint) % 2 = 1) """
+      + " union all ".join(f"select '{x}' as section, '{m}' as metric, round(a.{c}::double, 6) as reference, round(b.{c}::double, 6) as current from a, b" for (x, m), c in _METRICS.items())
+      + """ union all select 'drift', 'psi ' || "column", 0.0::double, psi from drifted""")
+def monitoring_batch(spark, sf):
+    a, b = _halves(spark, sf)
+    return _rounded(M.monitoring_batch(a, b, RAW, ["amount", "geo_anomaly_score"], "geo_anomaly_score", 0.9, 5.0), "reference", "current")
+
+
+@_add("run_log", f"""select 'run 1' as run_id, 'parameter' as kind, 'threshold' as name, '0.9' as value union all
+ select 'run 1', 'metric', unnest(['initial_rows', 'final_rows']), unnest([initial_rows::varchar, final_rows::varchar]) from ({ORACLES["cleaning_stats"]})""")
+def run_log(spark, sf):
+    """Metrics and parameters of a run, logged and read again."""
+    path = work_dir(spark, "runs")
+    stats = C.cleaning_stats(X.dirty(spark, sf), RAW)
+    M.log_run(spark, path, "run 1", stats.select(F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in ("initial_rows", "final_rows")]))), {"threshold": "0.9"})
+    return spark.read.parquet(path)
+
+
 @_add("threshold_cost", f"""with {X.RAW_CTE}, g as (select geo_anomaly_score as s, sum(is_fraud::int) as p, count(*) as n, sum(case when is_fraud then amount else 0 end) as v from raw group by 1),
  w as (select s, sum(p) over o as tp, sum(n) over o - sum(p) over o as fp, (select sum(case when is_fraud then amount else 0 end) from raw) - sum(v) over o as fn from g window o as (order by s desc))
  select s as threshold, tp::bigint as tp, fp::bigint as fp, round(fn, 4) as missed_value, round(fn + fp * 5.0, 4) as cost from w""")
@@ -447,7 +598,8 @@ def class_weights(spark, sf):
     return _rounded(w, "weight", digits=9)
 
 
-@_add("oversample")
+@_add("oversample", f"""with {X.RAW_CTE}, n as (select count(*) filter (not is_fraud)::double as neg, count(*) filter (is_fraud)::double as pos from raw), w as (select greatest(1.0::double, neg * 0.2::double / (1 - 0.2::double) / pos) as want from n)
+ select raw.* from raw, w, unnest(generate_series(1, case when is_fraud then floor(want)::bigint + ({_HASH} / {1 << 52}.0::double < want - floor(want))::bigint else 1 end)) u(i)""")
 def oversample(spark, sf):
     return M.oversample(X.raw(spark, sf), RAW, 0.2)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import label, weekday
+from ..functions.columns import label, parse_iso, weekday
 from ..operators import clean as C
 from ..operators import orderstat as O
 from ..operators import profile as P
@@ -29,6 +29,7 @@ def quality_report(raw: DataFrame, gold: DataFrame, spec: TableSpec) -> DataFram
         _section(P.class_distribution(raw, spec), "target", F.col(spec.target), ["row_count", "percentage"]),
         _section(top, "kind", F.col(spec.kind), ["row_count", "positive_rate"]),
         _section(P.describe(raw, list(spec.numerics), [0.5]), "numeric", F.col("feature"), ["mean", "std", "min", "p50", "max"]),
+        _decisions(raw, gold, spec),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -36,17 +37,49 @@ def quality_report(raw: DataFrame, gold: DataFrame, spec: TableSpec) -> DataFram
     return out
 
 
-def findings(df: DataFrame, spec: TableSpec) -> DataFrame:
-    """(topic, evidence): sentences with their numbers, from one-row aggregates."""
+#: Steps that are learned from data or change it, and so wait until training rows are split off.
+POSTPONED = ("imputation", "scaling", "category encoding", "resampling", "log amount", "time features", "missing flags", "feature selection", "threshold choice")
+
+
+def _decisions(raw: DataFrame, gold: DataFrame, spec: TableSpec) -> DataFrame:
+    """What cleaning left out, kept and put off: columns dropped as identifiers or as giving the label away, missing values kept, steps not applied."""
+    named = lambda names: ", ".join(sorted(names))
+    ids = [c for c in spec.identifiers if c in raw.columns and c not in gold.columns]
+    told = [c for c in spec.suspects if c in raw.columns and c not in gold.columns]
+    rows = [(f"identifiers dropped: {named(ids)}", "columns", float(len(ids))), (f"label-derived dropped: {named(told)}", "columns", float(len(told))),
+            ("features added", "columns", 0.0), *((f"postponed: {x}", "applied", 0.0) for x in POSTPONED)]
+    fixed = F.array(*[F.struct(F.lit(i).alias("item"), F.lit(m).alias("metric"), F.lit(v).alias("value")) for i, m, v in rows])
+    kept = gold.agg(F.count_if(F.col(spec.incomplete).isNull()).cast("double").alias("_k"))
+    more = F.array(F.struct(F.lit(f"missing kept: {spec.incomplete}").alias("item"), F.lit("rows").alias("metric"), F.col("_k").alias("value")))
+    return kept.select(F.lit("decision").alias("section"), F.inline(F.concat(fixed, more)))
+
+
+#: What a finding is a reason for.
+IMPLICATIONS = {
+    "size": "take this table, as verified, for the baseline",
+    "class imbalance": "judge by precision, recall and PR-AUC at a chosen threshold, not by accuracy",
+    "missingness": "test a missing flag on its own: it may only show how the data were made",
+    "amount": "keep the plain amount in the baseline and test its logarithm apart",
+    "categories": "read small differences with their intervals and on validation rows",
+    "time": "split by time and test time features as an experiment of their own",
+    "correlation": "choose features inside the training rows only",
+}
+
+
+def _facts(df: DataFrame, spec: TableSpec) -> DataFrame:
+    """One row: rows, share of positives, share missing, mean and median amount."""
     a = df.agg(F.count(F.lit(1)).alias("n"), (F.avg(F.col(spec.target).cast("int")) * 100).alias("pos"), (F.avg(F.col(spec.incomplete).isNull().cast("int")) * 100).alias("miss"),
                F.avg(spec.amount).alias("mean"))
     m = O.quantiles(df, spec.amount, [0.5]).select(F.get("quantiles", F.lit(0)).alias("median"))
-    ranges = R.metric_ranges(df, spec).groupBy().pivot("metric", ["amount_lift_range", "category_rate_range", "weekly_rate_range"]).agg(F.first("value"))
     bias = P.missingness_bias(df, spec, spec.incomplete).agg(F.max(F.when(F.col("status") == "missing", F.col("positive_percent"))).alias("bias"))
+    return a.join(F.broadcast(m), F.lit(True), "left").crossJoin(F.broadcast(bias))  # one row each
+
+
+def findings(df: DataFrame, spec: TableSpec) -> DataFrame:
+    """(topic, evidence, implication): sentences with their numbers, from one-row aggregates, and what follows from them."""
+    ranges = R.metric_ranges(df, spec).groupBy().pivot("metric", ["amount_lift_range", "category_rate_range", "weekly_rate_range"]).agg(F.first("value"))
     top = R.strongest(R.correlation(df, [*spec.numerics, spec.target]), spec.target).agg(F.first("a").alias("a"), F.first("r").alias("r"))
-    row = a
-    for x in (m, ranges, bias, top):
-        row = row.crossJoin(F.broadcast(x))  # one row each
+    row = _facts(df, spec).crossJoin(F.broadcast(ranges)).crossJoin(F.broadcast(top))  # one row each
     said = {
         "size": F.format_string("%d rows and %d columns", F.col("n"), F.lit(len(df.columns))),
         "class imbalance": F.format_string("%.4f%% of the rows are positive", F.col("pos")),
@@ -56,7 +89,30 @@ def findings(df: DataFrame, spec: TableSpec) -> DataFrame:
         "time": F.format_string("the rolling weekly rate ranges over %.4f percentage points", F.col("weekly_rate_range")),
         "correlation": F.format_string("strongest with the target: %s (%.6f)", F.col("a"), F.col("r")),
     }
-    return row.select(F.inline(F.array(*[F.struct(F.lit(k).alias("topic"), v.alias("evidence")) for k, v in said.items()])))
+    return row.select(F.inline(F.array(*[F.struct(F.lit(k).alias("topic"), v.alias("evidence"), F.lit(IMPLICATIONS[k]).alias("implication")) for k, v in said.items()])))
+
+
+def observations(raw: DataFrame, spec: TableSpec) -> DataFrame:
+    """(observation, action): what the first look at a raw table says, counted, and what to do about it."""
+    counts = raw.agg(F.count_if(parse_iso(F.col(spec.timestamp)).isNull()).alias("times"), F.count_if(F.col(spec.amount) < 0).alias("negative"), F.count_if(F.col(spec.amount) == 0).alias("zero"),
+                     F.count_if(F.col(spec.incomplete).isNull() & (F.col(spec.target).cast("int") == 1)).alias("missing_positive"),
+                     *[F.count_if(F.col(c).isNotNull() & (F.col(spec.target).cast("int") == 0)).alias(f"told_{i}") for i, c in enumerate(spec.suspects)])
+    same = C.duplicate_count(raw).withColumnRenamed("duplicates", "same")
+    ids = C.duplicate_count(raw, [spec.id]).withColumnRenamed("duplicates", "ids")
+    wide = P.cardinality(raw, list(spec.identifiers)).agg(F.min("unique_count").alias("least_ids"))
+    row = _facts(raw, spec)
+    for x in (counts, same, ids, wide):
+        row = row.crossJoin(F.broadcast(x))  # one row each
+    said = [
+        (F.format_string("%d timestamps cannot be read", F.col("times")), "parse with one explicit ISO-8601 parser and drop only what it cannot read"),
+        (F.format_string("%d exact duplicates, %d repeated ids, %d negative and %d zero amounts", F.col("same"), F.col("ids"), F.col("negative"), F.col("zero")), "remove only what is there and keep the checks"),
+        (F.format_string("the amount has mean %.2f and median %.2f", F.col("mean"), F.col("median")), "keep it plain in the baseline and test its logarithm apart"),
+        (F.format_string("%.2f%% of %s is missing, %d of it on positive rows", F.col("miss"), F.lit(spec.incomplete), F.col("missing_positive")), "keep it missing until training rows can be imputed, and test a flag apart"),
+        *((F.format_string("%s is present on %d negative rows", F.lit(c), F.col(f"told_{i}")), "leave it out of every feature set if that is none") for i, c in enumerate(spec.suspects)),
+        (F.format_string("each identifier has %d values or more", F.col("least_ids")), "leave identifiers out of the first baseline"),
+        (F.lit("timestamps hold an hour and a weekday"), "test time features once the plain baseline is recorded"),
+    ]
+    return row.select(F.inline(F.array(*[F.struct(o.alias("observation"), F.lit(a).alias("action")) for o, a in said])))
 
 
 def series_missing(df: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
@@ -13,6 +14,18 @@ from ..functions.columns import NULL_TOKENS, no_nan, no_token
 from ..operators.schema import check_schema
 
 _NTZ = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+_own_dirs: dict[str, str] = {}
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir); a local session without one gets a temporary folder."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = _own_dirs.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="spark-work-")
+        _own_dirs[spark.sparkContext.applicationId] = shared
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def _header(spark: SparkSession, path: str) -> list[str]:
@@ -24,7 +37,8 @@ def read_transactions(spark: SparkSession, path: str, schema: T.StructType, *, f
     """A table with exactly the schema's columns, in any order in the file.
 
     CSV fields that are null tokens are null, numbers out of range or unreadable fail (PERMISSIVE: are null, and the row
-    is kept as text in `corrupt` if that is named); NaN is null. preview: that many rows, all as text, unchecked.
+    is kept as text in `corrupt` if that is named); lines with too many or too few fields fail too (PERMISSIVE: what is
+    there is read, the rest is null). NaN is null. preview: that many rows, all as text, unchecked.
     A path that is not there raises FileNotFoundError.
     """
     try:
@@ -34,7 +48,7 @@ def read_transactions(spark: SparkSession, path: str, schema: T.StructType, *, f
             if preview:
                 return spark.read.csv(path, header=True, schema=text).limit(preview)
             check_schema(header, schema.names)
-            df = spark.read.csv(path, header=True, schema=text, enforceSchema=False, mode="FAILFAST")
+            df = spark.read.csv(path, header=True, schema=text, enforceSchema=False, mode=mode)
         else:
             df = spark.read.format(fmt).load(path)
             if preview:
@@ -85,10 +99,12 @@ def write_gold(df: DataFrame, path: str, *, fmt: str = "parquet", run_id: str |
         if had:
             fs.rename(at(old), at(path))
         raise OSError(f"cannot move the new table to {path}; it is at {draft}")
-    fs.delete(at(f"{path}__staging"), True)
     if had:
         fs.delete(at(old), True)
-        fs.delete(at(old).getParent(), False)
+    # the folders of drafts and old tables go once they are empty; other runs' drafts stay
+    for folder in (at(draft).getParent(), at(old).getParent()):
+        if fs.exists(folder) and not len(fs.listStatus(folder)):
+            fs.delete(folder, False)
     return path
 
 
