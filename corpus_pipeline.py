@@ -16,7 +16,7 @@ from ledgerlens.llm.ngram_join import dedup_ngrams
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents in which no learned language is found: null texts and texts without a letter."""
+    """Rejects documents that are in none of the languages learned from the labelled ones: no letters, or too far from every profile."""
     return keep_identified(docs)
 
 
