@@ -113,3 +113,38 @@ def languages(rows, learn, ranked=400):
         best = min(off, key=lambda x: (off[x], x)) if own and off else None
         out.append((i, best or "und", 1 - off[best] / (ranked * len(own)) if best else 0.0))
     return out
+
+
+def ngram_scores(rows, learn, order, priors):
+    """(tokens, known, training tokens, unigram log10 probability, log10 probability) of each row; levels interpolated with Dirichlet priors."""
+    import math
+
+    counts, texts = Counter(), 0
+    for i, t in rows:
+        if i in learn:
+            x = ["<s>", *words(t), "</s>"]
+            texts += 1
+            for k in range(1, order + 1):
+                counts.update((tuple(x[a : a + k])) for a in range(k == 1, len(x) - k + 1))
+    follow = Counter()
+    for g, c in counts.items():
+        if len(g) > 1:
+            follow[g[:-1]] += c
+    one = [c for g, c in counts.items() if len(g) == 1]
+    n, v = sum(one), len(one)
+    out = []
+    for _, t in rows:
+        x = ["<s>", *words(t), "</s>"]
+        base = full = 0.0
+        for a in range(1, len(x)):
+            p = (counts[(x[a],)] + 1) / (n + v + 1)
+            base += math.log10(p)
+            for k in range(2, order + 1):
+                if a - k + 1 >= 0:
+                    ctx = tuple(x[a - k + 1 : a])
+                    whole = (texts if ctx == ("<s>",) else counts[ctx]) if k == 2 else follow[ctx]
+                    prior = priors[min(k - 1, 2) - 1]
+                    p = (counts[(*ctx, x[a])] + prior * p) / (whole + prior)
+            full += math.log10(p)
+        out.append((len(x) - 1, sum((w,) in counts for w in x[1:]), n, base, full))
+    return out

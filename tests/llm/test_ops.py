@@ -105,23 +105,17 @@ def test_elias_fano():
         assert ((at >= 0) == np.isin(x, v)).all() and (v[at[at >= 0]] == x[at >= 0]).all()
 
 
-def test_lm(docs, rows):
-    got = {x.doc_id: x for x in lm.score_held_out(docs).collect()}
-    c, b, texts = {}, {}, 0
-    for i, t in rows:
-        if zlib.crc32(str(i).encode()) % 7 != 2:
-            texts += 1
-            x = [0, *brute.words(t), 1]
-            for u, w in zip(x, x[1:], strict=False):
-                c[w] = c.get(w, 0) + 1
-                b[u, w] = b.get((u, w), 0) + 1
-    n, v = sum(c.values()), len(c)
-    for i, t in rows:
-        x, g = [0, *brute.words(t), 1], got[i]
-        base = [np.log10((c.get(w, 0) + 1) / (n + v + 1)) for w in x[1:]]
-        full = [np.log10((b.get((u, w), 0) + lm.PRIOR * 10**p) / ((texts if u == 0 else c.get(u, 0)) + lm.PRIOR)) for u, w, p in zip(x, x[1:], base, strict=False)]
-        assert (g.n_tokens, g.n_known, g.train_tokens, g.held_out) == (len(x) - 1, sum(w in c for w in x[1:]), n, zlib.crc32(str(i).encode()) % 7 == 2)
-        assert abs(g.base_score - sum(base)) < 1e-6 * len(x) and abs(g.score - sum(full)) < 1e-3 * len(x)
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_lm(docs, rows, order, monkeypatch):
+    monkeypatch.setattr(lm, "PART", 4000)  # several parts
+    monkeypatch.setattr(lm, "WORDS_PART", 20_000)
+    monkeypatch.setattr(lm, "HELD", 3000)
+    got = {x.doc_id: x for x in lm.score_held_out(docs, order=order).collect()}
+    learn = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 != 2}
+    for (i, _), (tokens, known, train, base, full) in zip(rows, brute.ngram_scores(rows, learn, order, lm.PRIORS), strict=True):
+        g = got[i]
+        assert (g.n_tokens, g.n_known, g.train_tokens, g.held_out) == (tokens, known, train, i not in learn)
+        assert abs(g.base_score - base) < 1e-6 * tokens and abs(g.score - full) < 1e-3 * tokens
 
 
 def test_warc(spark):

@@ -37,26 +37,16 @@ def test_near(spark, rows):
 
 
 def test_scores(spark, rows):
-    import math
-    from collections import Counter
-
-    c, b, texts = Counter(), Counter(), 0
-    for i, t in rows:
-        if zlib.crc32(str(i).encode()) % 7 != 2:
-            x = [None, *brute.words(t), "\n"]
-            c.update(x[1:]), b.update(zip(x, x[1:], strict=False))
-            texts += 1
-    n, v = c.total(), len(c)
-    out = _run(spark, "op3_lm_score").collect()
+    learn = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 != 2}
+    got = {r.doc_id: r for r in _run(spark, "op3_lm_score").collect()}
     held = base = 0.0
-    for r in out:
-        x = [None, *brute.words(dict(rows)[r.doc_id]), "\n"]
-        p = [(c[w] + 1) / (n + v + 1) for w in x[1:]]
-        full = sum(math.log10((b[u, w] + lm.PRIOR * q) / ((c[u] if u else texts) + lm.PRIOR)) for u, w, q in zip(x, x[1:], p, strict=False))
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(x) - 1, sum(c[w] > 0 for w in x[1:]), n)
-        assert abs(r.base_score - sum(map(math.log10, p))) < 1e-6 and abs(r.score - full) < 1e-3 * len(x)
+    for (i, _), (tokens, known, train, one, full) in zip(rows, brute.ngram_scores(rows, learn, lm.ORDER, lm.PRIORS), strict=True):
+        r = got[i]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (tokens, known, train)
+        assert abs(r.base_score - one) < 1e-6 * tokens and abs(r.score - full) < 1e-3 * tokens
         held, base = held + r.held_out * r.score, base + r.held_out * r.base_score
-    assert held > base  # the contexts help on texts that were not learned
+    two = sum(x[4] for (i, _), x in zip(rows, brute.ngram_scores(rows, learn, 2, lm.PRIORS), strict=True) if i not in learn)
+    assert held > two > base  # longer contexts help on texts that were not learned
 
 
 def test_tokens(spark, rows):
