@@ -47,7 +47,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents"))
+    return suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents"), short=suffix_dedup.SHORT)
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:

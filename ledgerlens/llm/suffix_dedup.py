@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import _BYTE, mix, pack, powers, small_batches, stage, text_slices, unpack
 
 LENGTH = 400
+#: Shorter strings whose repeats are counted, not removed: a passage of fifty words has about 250 bytes or more.
+SHORT = 200
 #: Anchors of one gram that are merged in one task; windows of more frequent grams are dealt out by their own hash.
 FREQUENT = 2000
 #: Anchors of one part of a counting round, and bytes of suffixes of one merging part, about.
@@ -427,7 +429,7 @@ def _merge_part(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["tid", "start", "stop"])
 
 
-def _cut_batches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+def _cut_batches(batches: Iterator[pa.RecordBatch], length: int, texts: bool) -> Iterator[pa.RecordBatch]:
     import hashlib
 
     for batch in batches:
@@ -441,7 +443,8 @@ def _cut_batches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
                 np.add.at(edge, stops[a + k].values.to_numpy(zero_copy_only=False) - 1 + length, -1)
                 gone = np.cumsum(edge[:-1]) > 0
                 spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(gone[0])
-                out.append((names[a + k], int(gone.sum()), spans, hashlib.sha256(text[~gone].tobytes()).hexdigest(), text[~gone].tobytes()))
+                rest = text[~gone].tobytes()
+                out.append((names[a + k], int(gone.sum()), spans, hashlib.sha256(rest).hexdigest(), rest if texts else None))
         types = [pa.binary(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)] if out else
                                          [pa.array([], t) for t in types], names=["tid", "n_removed", "n_spans", "kept_sha256", "kept"])
@@ -451,16 +454,19 @@ def _name(text) -> "F.Column":
     return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
 
 
-def repeated_windows(docs: DataFrame, id_col: str, text_col: str, length: int = LENGTH, frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Per row (id, tid, n, sha); texts that may have repeats (text, tid); and (tid, start, stop) of windows found twice.
+def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(docs[text_col], F.lit(""))
+    return stage(docs.select(docs[id_col].alias("id"), _name(text).alias("tid"), F.octet_length(text).cast("long").alias("n"), F.sha2(text, 256).alias("sha")), "suffix-base")
+
+
+def repeated_windows(docs: DataFrame, base: DataFrame, id_col: str, text_col: str, length: int = LENGTH, frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
+    """Of docs and their `_base`: texts that may have repeats (text, tid), and (tid, start, stop) of windows found twice.
 
     tid names a text's bytes; copies of a text are one here.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     text = F.coalesce(docs[text_col], F.lit(""))
     rows = docs.select(docs[id_col].alias("id"), text.alias("text"), _name(text).alias("tid"))
-    base = stage(rows.select("id", "tid", F.octet_length("text").cast("long").alias("n"), F.sha2("text", 256).alias("sha")), "suffix-base")
     size = base.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     slots = int(size // (length * 3 // 8) // ANCHORS + 1)
     answers = stage(rows.select("text", "tid").mapInArrow(lambda b: _ask_batches(b, slots, length), _ASK).groupBy("part")
@@ -477,33 +483,42 @@ def repeated_windows(docs: DataFrame, id_col: str, text_col: str, length: int =
     parts = int((texts.agg(F.coalesce(F.sum(F.size("want")), F.lit(0))).first()[0] * length * 11 // 8) // SUFFIXES + 1)
     found = (texts.mapInArrow(lambda b: _run_batches(b, parts, length), _RUN).groupBy("part")
              .applyInPandas(lambda x: _merge_part(x, length), "tid binary, start long, stop long"))
-    return base, texts.select("text", "tid"), found
+    return texts.select("text", "tid"), found
 
 
-def _removals(docs: DataFrame, id_col: str, text_col: str, length: int, frequent: int) -> tuple[DataFrame, DataFrame]:
-    base, texts, found = repeated_windows(docs, id_col, text_col, length, frequent)
+def cut_texts(docs: DataFrame, base: DataFrame, id_col: str, text_col: str, length: int, frequent: int, *, texts: bool = True) -> DataFrame:
+    """(tid, n_removed, n_spans, kept_sha256, kept) of each distinct text that loses bytes; `kept` is null without `texts`."""
+    seen, found = repeated_windows(docs, base, id_col, text_col, length, frequent)
     ranges = found.groupBy("tid").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
-    cut = stage(texts.join(ranges, "tid").select("text", "tid", "starts", "stops")
-                .mapInArrow(lambda b: _cut_batches(b, length), "tid binary, n_removed long, n_spans long, kept_sha256 string, kept binary"), "suffix-cut")
-    return base, cut
+    return stage(seen.join(ranges, "tid").select("text", "tid", "starts", "stops")
+                 .mapInArrow(lambda b: _cut_batches(b, length, texts), "tid binary, n_removed long, n_spans long, kept_sha256 string, kept binary"), "suffix-cut")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, frequent: int = FREQUENT) -> DataFrame:
-    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256.
-
-    A text's UTF-8 bytes (null: none) lose every byte covered by a string of `length` bytes that starts anywhere else
-    too, in this document or another; strings are judged on the input and never cross documents. Repeated rows are
-    documents of their own, so texts of `length` bytes or more that have a copy are removed whole. Texts are named by
-    128 bits of their SHA-256; anchors are found by 64-bit hashes and their suffixes compared as bytes, except that
-    windows of grams with over `frequent` places are compared by 128-bit hashes.
-    """
-    base, cut = _removals(docs, id_col, text_col, length, frequent)
+def _by_text(docs: DataFrame, base: DataFrame, id_col: str, text_col: str, length: int, frequent: int) -> DataFrame:
+    """(tid, n_removed, n_spans, kept_sha256) of each text that loses bytes; n_removed is -1 for texts that have a copy."""
+    cut = cut_texts(docs, base, id_col, text_col, length, frequent, texts=False)
     copies = base.where(F.col("n") >= length).groupBy("tid").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
     whole = copies.select("tid", F.lit(-1).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit("").cast("binary"), 256).alias("kept_sha256"))
     # staged, so that the join is of plain exchanges and a text with very many copies can be split
-    each = stage(cut.drop("kept").unionByName(whole).groupBy("tid").agg(F.min_by(F.struct("n_removed", "n_spans", "kept_sha256"), "n_removed").alias("x")), "suffix-result")
-    out = base.join(each, "tid", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_bytes"),
-                      F.when(F.col("x").isNull(), F.lit(0)).when(F.col("x.n_removed") < 0, F.col("n")).otherwise(F.col("x.n_removed")).cast("long").alias("n_removed"),
-                      F.coalesce(F.col("x.n_spans"), F.lit(0)).cast("long").alias("n_spans"),
-                      F.coalesce(F.col("x.kept_sha256"), F.col("sha")).alias("kept_sha256"))
+    return stage(cut.drop("kept").unionByName(whole).groupBy("tid").agg(F.min_by(F.struct("n_removed", "n_spans", "kept_sha256"), "n_removed").alias("x")), "suffix-result")
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, frequent: int = FREQUENT, short: int | None = None) -> DataFrame:
+    """One row per document: id, n_bytes, n_removed, n_spans, kept_sha256; with `short` also n_short.
+
+    A text's UTF-8 bytes (null: none) lose every byte covered by a string of `length` bytes that starts anywhere else
+    too, in this document or another; strings are judged on the input and never cross documents. n_short is how many
+    bytes are covered by such a string of `short` bytes. Repeated rows are documents of their own, so texts of `length`
+    bytes or more that have a copy are removed whole. Other columns are ignored, empty tables give no rows, and a text of
+    any length is read whole by one task, 4 MB at a time. Texts are named by 128 bits of their SHA-256; anchors are found
+    by 64-bit hashes and their suffixes compared as bytes, except that windows of grams with over `frequent` places are
+    compared by 128-bit hashes.
+    """
+    base = _base(docs, id_col, text_col)
+    out = base.join(_by_text(docs, base, id_col, text_col, length, frequent), "tid", "left")
+    lost = lambda x: F.when(x.isNull(), F.lit(0)).when(x["n_removed"] < 0, F.col("n")).otherwise(x["n_removed"]).cast("long")
+    out = out.select("id", "tid", "n", lost(F.col("x")).alias("n_removed"), F.coalesce(F.col("x.n_spans"), F.lit(0)).cast("long").alias("n_spans"),
+                     F.coalesce(F.col("x.kept_sha256"), F.col("sha")).alias("kept_sha256"))
+    if short:
+        out = out.join(_by_text(docs, base, id_col, text_col, short, frequent), "tid", "left").withColumn("n_short", lost(F.col("x")))
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256", *(["n_short"] if short else []))
