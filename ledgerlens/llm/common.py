@@ -43,8 +43,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the rows that one Arrow batch hands to Python; texts can be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Bound the rows that one Arrow batch hands to Python, for this session: texts can be long. A lower bound that is set stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "0") or 0)
+    if now <= 0 or now > rows:
+        spark.conf.set(name, str(rows))
 
 
 # ---------------------------------------------------------------- vectorised text kernels

@@ -66,7 +66,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Texts are equal when their normalised bytes are. Of equal texts the row with the most code points in the original
     text stays, then the smallest id. Null text counts as empty; a null id loses to any other; of rows that repeat the
-    winner's id and length, one is flagged kept. Empty tables give empty results; further columns are ignored.
+    winner's id and length, one is flagged kept. Empty tables give empty results; further columns are ignored; a text of
+    any length is hashed whole and moves once at most, combined with its copies in each task.
     """
     r = _ranked(docs, id_col, text_col, digest)
     return (r.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_same"))))

@@ -81,7 +81,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A document is taken a whole number of times: floor(target / source size) or one more, so never above `most` times
     its size for whole `most`. A source's taken words are within half of its largest single hash group of its target.
     The hash is of the id, so rows that repeat an id go together; null ids share one hash, a null source is a source of
-    its own, null text has size 0. The same rows give the same mix, in any order and partitioning.
+    its own, null text has size 0, empty tables give no rows, other columns are ignored, and a text of any length is
+    counted whole. The same rows give the same mix, in any order and partitioning.
     """
     base, cut = _plan(docs, id_col, text_col, source_col, weights, share, most)
     return base.join(cut, F.col("_source").eqNullSafe(F.col("_s"))).select(

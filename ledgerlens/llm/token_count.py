@@ -37,7 +37,12 @@ class Vocabulary:
 
 
 def read_vocabulary(path: str = MODEL) -> Vocabulary:
-    """The normal pieces of a sentencepiece model, with Zipf log probabilities by their order (the file has merge ranks only)."""
+    """The normal pieces of a sentencepiece model, with Zipf log probabilities by their order.
+
+    The public file has merge ranks only and no tokenizer is trained here, so these scores stand in for those of a fitted
+    unigram model: counts compare texts with each other and with budgets, they are not those of the file's own encoder.
+    A vocabulary with fitted scores can be given to `token_counts` instead.
+    """
     import sentencepiece
 
     p = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -105,8 +110,10 @@ def _count_batches(batches: Iterator[pa.RecordBatch], shared) -> Iterator[pa.Rec
 def token_counts(docs: DataFrame, vocabulary: Vocabulary | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_words (pre-tokens), n_tokens of the whole text.
 
-    Pre-tokens are words [^\\x20\\x09-\\x0D]+ with the word mark before them. Null and empty texts have none. Rows are
-    counted one by one: repeats, null ids and other columns do not matter.
+    Pre-tokens are words [^\\x20\\x09-\\x0D]+ with the word mark before them. Null and empty texts have none, empty tables
+    give no rows. Rows are counted one by one: repeats, null ids and other columns do not matter. About 4 MB of texts are
+    read at a time, or one longer text alone; a word's time grows with its length times that of the longest piece. A word
+    met again is told by 64 bits of hash.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary or read_vocabulary())  # at most MOST_PIECES pieces

@@ -189,6 +189,11 @@ def test_repeats(docs, rows, length, frequent):
     assert _got(suffix_dedup.remove_repeats(docs, length=length, frequent=frequent)) == sorted(brute.repeats(rows, length), key=repr)
 
 
+def test_short_repeats(docs, rows):
+    got = {x.doc_id: x.n_short for x in suffix_dedup.remove_repeats(docs, length=100, short=40).collect()}
+    assert got == {x[0]: x[2] for x in brute.repeats(rows, 40)}
+
+
 def test_repeats_in_many_parts(docs, rows, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "ANCHORS", 500)
     monkeypatch.setattr(suffix_dedup, "SUFFIXES", 20_000)
@@ -272,11 +277,60 @@ def test_near_keeps_one_of_each(spark, docs, rows):
     assert ngram_join.dedup_ngrams(_docs(spark, d)).count() == 3
 
 
-def test_empty_tables(spark, docs):
-    none = docs.limit(0)
-    for f in (exact_dedup.exact_groups, exact_dedup.exact_dedup, mixing.mix_sources, lm.score_held_out, token_count.token_counts, suffix_dedup.remove_repeats,
-              ngram_join.join_ngrams, ngram_join.dedup_ngrams):
+def test_very_long_texts(spark):
+    r = random.Random(13)
+    long = _text(r, 40_000)
+    rows = [(1, long), (2, long[:-3] + "zzz"), (3, "y" * 1_000_000), (4, None), (5, "a b c"), (6, "klm " + long[1000:1500])]
+    d = _docs(spark, rows)
+    items = [(1, " ".join(long.split()[500:515])), (2, "y")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert _got(decontaminate.contamination(d, bench)) == sorted(brute.contaminated(rows, items), key=repr)
+    assert _got(ngram_join.join_ngrams(d)) == sorted(brute.near(rows), key=repr)
+    assert {x.doc_id: x.size for x in mixing.mix_sources(d).collect()} == {i: len(brute.SPACED.findall(t or "")) for i, t in rows}
+    assert _got(exact_dedup.exact_groups(d).select("doc_id", "keep_id", "group_size", "text_sha256")) == sorted(brute.exact(rows), key=repr)
+    assert {x.doc_id: x.n_words for x in token_count.token_counts(d.where("doc_id <> 3")).collect()} == {i: len(brute.SPACED.findall(t or "")) for i, t in rows if i != 3}
+    assert {x.doc_id: x.n_tokens for x in lm.score_held_out(d).collect()} == {i: len(brute.words(t)) + 1 for i, t in rows}
+    assert {x.doc_id: x.n_bytes for x in suffix_dedup.remove_repeats(d).collect()} == {i: len((t or "").encode()) for i, t in rows}
+    assert langid.identify(d).count() == len(rows)
+
+
+def test_empty_tables(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    none, bench = docs.limit(0), spark.createDataFrame([(1, "a b")], "item_id long, text string")
+    for f in (exact_dedup.exact_groups, exact_dedup.exact_dedup, mixing.mix_sources, mixing.mix_documents, lm.score_held_out, token_count.token_counts,
+              suffix_dedup.remove_repeats, ngram_join.join_ngrams, ngram_join.dedup_ngrams, langid.identify, langid.keep_identified):
         assert f(none).count() == 0, f
+    assert decontaminate.contamination(none, bench).count() == 0 and decontaminate.decontaminate(none, bench).count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert url_filter.judge_urls(pages, [url_filter.Rule("block", "com", "/")]).count() == 0 and warc.archived(pages).count() == 0
+    none.write.parquet(str(tmp_path / "documents.parquet"))
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_columns(spark, docs, rows):
+    """Extra columns with the names that the operators use inside, or return."""
+    names = {"lang": "n_words", "source": "_id", "_row": "hit_spans", "kept": "_text"}
+    d, items = docs.withColumnsRenamed(names), [(1, rows[0][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("_item", F.lit("x"))
+    for at_once in (8_000_000, 50):
+        assert _got(decontaminate.contamination(d, bench, at_once=at_once)) == sorted(brute.contaminated(rows, items), key=repr)
+        assert decontaminate.decontaminate(d, bench, at_once=at_once).columns == d.columns
+    pages = spark.createDataFrame([(1, "http://a.com/x", "x" * 200), (2, "http://b.net/x", "x" * 200)], "page_id long, url string, html string")
+    pages = pages.withColumns({c: F.lit("?") for c in ("payload", "digest", "kind", "first", "host", "path", "_key", "_rank", "rule", "verdict")})
+    assert _got(warc.archived(pages).select("page_id", "record_type", "refers_to")) == [(1, "response", None), (2, "revisit", 1)]
+    assert _got(url_filter.judge_urls(pages, [url_filter.Rule("block", "com", "/")]).select("page_id", "rule", "verdict")) == [(1, "com/", "block"), (2, None, "allow")]
+    hidden = docs.select("doc_id", "text", "lang", F.lit("?").alias("lang_pred"), F.lit(1).alias("_best"), F.lit(1).alias("_p"))
+    assert langid.keep_identified(hidden).columns == hidden.columns
+
+
+def test_hot_payload(spark):
+    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 3 == 0, F.lit("p" * 500)).when(F.col("id") % 3 == 1, F.lit("")).otherwise(
+        F.concat(F.lit("q" * 120), F.col("id"))).alias("html")).repartition(6)
+    got = warc.archived(pages)
+    assert got.count() == 3000 and got.where("record_type = 'revisit'").count() == 999 and got.where("refers_to = 0").count() == 999
+    assert got.where("record_type = 'revisit' and payload_bytes <> 500").isEmpty()
 
 
 def test_null_ids_and_clashing_columns(spark):
