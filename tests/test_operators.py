@@ -186,3 +186,18 @@ def test_surface(spark):
     df = spark.createDataFrame([(0, 1, 1), (0, 1, 0), (1, 2, 0), (None, 1, 1)], "a int, b int, y int")
     assert _rows(R.rate_surface(df, S, F.col("a"), F.col("b"), ("a", "b"))) == [(0, 1, 2, 50.0), (1, 2, 1, 0.0)]
     assert R.rate_surface(df, S, F.col("a"), F.col("b"), ("a", "b"), wide=[1, 2]).columns == ["a", "1", "2"]
+
+
+def test_whole_row_duplicates_and_distinct_values(spark):
+    from ledgerlens.operators.clean import duplicate_count
+    from ledgerlens.operators.profile import cardinality
+    from ledgerlens.operators.schema import schema_profile
+
+    rows = [(1, "a", None, 0.0), (1, "a", None, -0.0), (1, None, "a", 0.0), (None, None, None, None), (None, None, None, None), (2, "b", "c", 1.5)]
+    df = spark.createDataFrame(rows, "i int, s string, t string, x double")
+    assert duplicate_count(df).first().duplicates == 2 and duplicate_count(df.limit(0)).first().duplicates == 0
+    got = {r.column: (r.dtype, r.missing_count, r.unique_count) for r in schema_profile(df).collect()}
+    assert got == {"i": ("int", 2, 2), "s": ("string", 3, 2), "t": ("string", 4, 2), "x": ("double", 2, 2)}
+    assert {r.column: r.unique_count for r in schema_profile(df, approx=True).collect()} == {k: v[2] for k, v in got.items()}
+    assert sorted(r.column for r in schema_profile(df.limit(0)).collect()) == ["i", "s", "t", "x"]
+    assert [(r.unique_count, r.repeated_non_missing_values) for r in cardinality(df, ["s"]).collect()] == [(2, 1)]

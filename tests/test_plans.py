@@ -42,6 +42,15 @@ def test_gold_as_csv(spark, dirty, tmp_path):
     assert verify_gold(spark, path, {"rows": back.count()}, "is_fraud", fmt="csv").first().ok
 
 
+def test_other_drafts_stay(spark, dirty, tmp_path):
+    path, rows = str(tmp_path / "g"), to_gold(dirty).limit(5)
+    other = tmp_path / "g__staging" / "another run"
+    other.mkdir(parents=True)
+    for _ in range(2):
+        write_gold(rows, path)
+        assert other.exists() and sorted(os.listdir(tmp_path)) == ["g", "g__staging"]
+
+
 def _file(tmp_path, header, rows):
     p = tmp_path / "f.csv"
     p.write_text("\n".join([",".join(header), *(",".join(r) for r in rows)]) + "\n")
@@ -66,6 +75,11 @@ def test_reading(spark, tmp_path):
         read_transactions(spark, bad, RAW_SCHEMA).collect()
     r = read_transactions(spark, bad, RAW_SCHEMA, mode="PERMISSIVE", corrupt="_corrupt_record").first()
     assert r.velocity_score is None and "70000" in r._corrupt_record
+    short = _file(tmp_path, names, [[ROW[c] for c in names[:5]], [ROW[c] for c in names]])
+    with pytest.raises(Exception, match="MALFORMED|malformed"):
+        read_transactions(spark, short, RAW_SCHEMA).collect()
+    assert [x.location for x in read_transactions(spark, short, RAW_SCHEMA, mode="PERMISSIVE").collect()] == [None, "-"]
+    bad = _file(tmp_path, names, [[ROW[c] if c != "velocity_score" else "70000" for c in names]])
     assert read_transactions(spark, bad, RAW_SCHEMA, preview=5).first().velocity_score == "70000"
     with pytest.raises(FileNotFoundError):
         read_transactions(spark, str(tmp_path / "none"), RAW_SCHEMA)
@@ -75,6 +89,7 @@ def test_profiles_run(spark, dirty):
     for d in (profile_raw(dirty), profile_gold(to_gold(dirty))):
         assert all(isinstance(v.count(), int) for v in d.values())
     assert report.findings(with_event_time(dirty), GOLD).count() == 7
+    assert report.observations(dirty, RAW).count() == 7 and report.observations(dirty.limit(0), RAW).count() == 7
     n = sum(r.row_count for r in report.series_hour_weekday(to_gold(dirty), GOLD).collect())
     assert n == to_gold(dirty).count()
 
