@@ -7,7 +7,9 @@ each task sorts the suffixes that start at its anchors and sends front-coded run
 the part of their gram; there a loser tree merges the runs, comparing from the known common prefix on, and the common
 prefixes of neighbours, to the right and to the left of the anchor, say which windows are equal.
 
-Grams with very many anchors would make one part large; their windows are dealt out by a hash of the window instead.
+Grams with very many anchors would make one part large. Their windows are split by the bytes around the gram: windows
+whose offsets are near have most of their bytes in common (their core), which names the part. Windows that are equal have
+equal cores, so they still meet, and are merged and compared as bytes like all others.
 """
 
 from __future__ import annotations
@@ -25,8 +27,10 @@ from .common import _BYTE, mix, pack, powers, small_batches, stage, text_slices,
 LENGTH = 400
 #: Shorter strings whose repeats are counted, not removed: a passage of fifty words has about 250 bytes or more.
 SHORT = 200
-#: Anchors of one gram that are merged in one task; windows of more frequent grams are dealt out by their own hash.
+#: Anchors of one gram that meet in one part; windows of more frequent grams are split by their cores.
 FREQUENT = 2000
+#: Offsets whose windows share a core: a share of the window's length.
+CORE_STEP = 1 / 16
 #: Anchors of one part of a counting round, and bytes of suffixes of one merging part, about.
 ANCHORS, SUFFIXES = 500_000, 4_000_000
 _PIECE = 1 << 22
@@ -166,7 +170,9 @@ def _answer(pdf: pd.DataFrame, frequent: int) -> pd.DataFrame:
                       pd.DataFrame({"tid": [None] * len(often), "key": often, "often": True})])
 
 
-_RUN = "part int, frequent boolean, run binary, tails binary, lefts binary, places binary, texts binary"
+_RUN = "part int, run binary, tails binary, lefts binary, places binary, texts binary"
+#: Bytes before a suffix that hold its key, so that runs are in order of keys first.
+_KEY = 8
 
 
 def _common(a: bytes, b: bytes, at: int) -> int:
@@ -184,23 +190,31 @@ def _common(a: bytes, b: bytes, at: int) -> int:
     return min(at, most)
 
 
-def _run_batches(batches: Iterator[pa.RecordBatch], parts: int, length: int) -> Iterator[pa.RecordBatch]:
-    """Front-coded sorted runs of the suffixes at wanted anchors, and hashes of the windows of frequent grams."""
-    from pyspark import TaskContext
+def _cores(text: np.ndarray, keys: np.ndarray, place: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> list[tuple[int, int, int, int]]:
+    """(key, place, first window, last window) of frequent anchors, split by offset and named by what all windows of a piece share."""
+    step = max(1, int(length * CORE_STEP))
+    low, high = place - last, place - first
+    n = high // step - low // step + 1
+    of = np.repeat(np.arange(len(place)), n)
+    c = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + (low // step)[of]
+    a, b = np.maximum(low[of], c * step), np.minimum(high[of], c * step + step - 1)
+    sums, down = _sums(text, _BYTE)
+    begin, end = place[of] - c * step, place[of] - (c * step + step - 1) + length
+    key = mix(mix((sums[end] - sums[begin]) * down[begin]) ^ mix(c.astype(np.uint64) + _OTHER) ^ keys[of])
+    return list(zip(key.tolist(), place[of].tolist(), (place[of] - b).tolist(), (place[of] - a).tolist(), strict=True))
 
-    negative = -1 - TaskContext.get().partitionId() % parts
+
+def _run_batches(batches: Iterator[pa.RecordBatch], parts: int, length: int) -> Iterator[pa.RecordBatch]:
+    """Front-coded sorted runs of the suffixes at wanted anchors, each behind its key."""
     entries: dict[tuple[int, bytes, int], list[tuple[int, int]]] = {}
     tids: list[bytes] = []
-    hot: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
     held = 0
-    other = mix(_BYTE ^ _OTHER)
 
     def flush() -> pa.RecordBatch:
         rows = []
-        table = b"".join(tids)
         by: dict[int, list] = {}
         for (key, content, left), places in entries.items():
-            by.setdefault((key * parts) >> 64, []).append((content[left:], content[:left][::-1], places))
+            by.setdefault((key * parts) >> 64, []).append((key.to_bytes(_KEY, "big") + content[left:], content[:left][::-1], places))
         for part, found in by.items():
             found.sort(key=lambda e: e[:2])
             head, tails, lefts, places, before = [], [], [], [], b""
@@ -212,27 +226,8 @@ def _run_batches(batches: Iterator[pa.RecordBatch], parts: int, length: int) ->
             p = np.array(places, np.int64)
             used, short = np.unique(p[:, 0], return_inverse=True)
             p[:, 0] = short
-            rows.append((part, False, np.array(head, np.uint32).tobytes(), b"".join(tails), b"".join(lefts), pack(p.reshape(-1)),
-                         b"".join(tids[i] for i in used)))
-        if hot:
-            h, g, w, s = (np.concatenate(x) for x in zip(*hot, strict=True))
-            order = np.lexsort((g, h))
-            h, g, w, s = h[order], g[order], w[order], s[order]
-            first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])])
-            size = np.diff(np.r_[first, len(h)])
-            twice = np.repeat(size > 1, size)
-            if twice.any():
-                rows.append((negative, True, pack(np.concatenate([w[twice], s[twice]])), None, None, None, table))
-            many = first[size > 1]
-            marks = {i: (h[many][c], g[many][c]) for i, c in _cuts(h[many], parts)}
-            one = first[size == 1]
-            for i, c in _cuts(h[one], parts):
-                used, short = np.unique(w[one[c]], return_inverse=True)
-                m = marks.pop(i, (h[:0], g[:0]))
-                rows.append((i, True, pack(np.concatenate([h[one[c]], g[one[c]]])), pack(np.concatenate(m)), None,
-                             pack(np.concatenate([short, s[one[c]]]).astype(np.int64)), b"".join(tids[k] for k in used)))
-            rows += [(i, True, b"", pack(np.concatenate(m)), None, b"", b"") for i, m in marks.items()]
-        types = [pa.int32(), pa.bool_()] + [pa.binary()] * 5
+            rows.append((part, np.array(head, np.uint32).tobytes(), b"".join(tails), b"".join(lefts), pack(p.reshape(-1)), b"".join(tids[i] for i in used)))
+        types = [pa.int32()] + [pa.binary()] * 5
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else
                                           [pa.array([], t) for t in types], names=[c.split()[0] for c in _RUN.split(", ")])
 
@@ -243,28 +238,27 @@ def _run_batches(batches: Iterator[pa.RecordBatch], parts: int, length: int) ->
                 text = data[offsets[k] : offsets[k + 1]]
                 want = np.sort(wants[a + k].values.to_numpy(zero_copy_only=False).view(np.uint64))
                 often = np.sort(oftens[a + k].values.to_numpy(zero_copy_only=False).view(np.uint64))
-                keys, place, first, last = anchors(text, length)
-                chosen = np.flatnonzero(np.isin(keys, want))
+                found = anchors(text, length)
+                chosen = np.flatnonzero(np.isin(found[0], want))
                 if not len(chosen):
                     continue
                 me = len(tids)
                 tids.append(names[a + k])
-                is_hot = np.isin(keys[chosen], often)
+                hot = np.isin(found[0][chosen], often)
                 raw = text.tobytes()
-                for i in chosen[~is_hot].tolist():
-                    lo, hi = int(first[i]), int(last[i]) + length
-                    entry = entries.setdefault((int(keys[i]), raw[lo:hi], int(place[i]) - lo), [])
+                pieces = list(zip(*(x[chosen[~hot]].tolist() for x in found), strict=True))
+                if hot.any():
+                    pieces += _cores(text, *(x[chosen[hot]] for x in found), length)
+                for key, place, lo, last in pieces:
+                    hi = last + length
+                    entry = entries.setdefault((key, raw[lo:hi], place - lo), [])
                     held += 24 if entry else hi - lo + 150
                     entry.append((me, lo))
-                if is_hot.any():
-                    lo, n = first[chosen[is_hot]], (last - first + 1)[chosen[is_hot]]
-                    s = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-                    hot.append((_window_hashes(text, s, length), _window_hashes(text, s, length, other), np.full(len(s), me, np.int64), s))
-                    held += 32 * len(s)
-        if held > 4 * SUFFIXES:
+                if held > 4 * SUFFIXES:
                     yield flush()
-                    entries, tids, hot, held = {}, [], [], 0
-    if tids:
+                    entries, held = {}, 0
+                    tids = []
+    if entries:
         yield flush()
 
 
@@ -354,44 +348,11 @@ def _ranges(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def _place_ranges(texts: np.ndarray, who: np.ndarray, starts: np.ndarray) -> list[tuple[bytes, int, int]]:
-    """Runs of consecutive window starts of each text."""
-    if not len(who):
-        return []
-    order = np.lexsort((starts, who))
-    who, starts = who[order], starts[order]
-    new = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]) | (starts[1:] != starts[:-1] + 1)])
-    end = np.r_[new[1:], len(who)] - 1
-    return [(texts[who[a]].tobytes(), int(starts[a]), int(starts[b]) + 1) for a, b in zip(new, end, strict=True)]
-
-
 def _merge_part(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
-    """(tid, start, stop): window starts that occur twice, from the runs (or window hashes) of one part."""
+    """(tid, start, stop): window starts that occur twice, from the runs of one part."""
     out: list[tuple[bytes, int, int]] = []
-    for part, g in pdf[pdf["frequent"]].groupby("part"):
-        if part < 0:
-            for r in g.itertuples():
-                w, s = np.split(unpack(r.run, np.int64), 2)
-                out += _place_ranges(_texts(r.texts), w, s)
-            continue
-        pairs, marks, who, starts, texts, n = [], [], [], [], [], 0
-        for r in g.itertuples():
-            pairs.append(unpack(r.run, np.uint64).reshape(2, -1)), marks.append(unpack(r.tails, np.uint64).reshape(2, -1))
-            t = _texts(r.texts)
-            w, s = np.split(unpack(r.places, np.int64), 2)
-            who.append(w + n), starts.append(s), texts.append(t)
-            n += len(t)
-        mine, marks = np.concatenate(pairs, axis=1), np.concatenate(marks, axis=1)
-        both = np.concatenate([mine, marks], axis=1)
-        order = np.lexsort((both[1], both[0]))
-        new = np.r_[True, (both[:, order[1:]] != both[:, order[:-1]]).any(axis=0)]
-        group = np.empty(len(order), np.int64)
-        group[order] = np.cumsum(new) - 1
-        size = np.bincount(group, np.r_[np.ones(mine.shape[1]), np.full(marks.shape[1], 2)])
-        hit = size[group[: mine.shape[1]]] > 1
-        out += _place_ranges(np.concatenate(texts), np.concatenate(who)[hit], np.concatenate(starts)[hit])
     runs = []
-    for r in pdf[~pdf["frequent"]].itertuples():
+    for r in pdf.itertuples():
         head = np.frombuffer(r.run, np.uint32).reshape(-1, 4).tolist()
         places, texts = unpack(r.places, np.int64).reshape(-1, 2), _texts(r.texts)
         run, before, t, l, p = [], b"", 0, 0, 0
@@ -400,19 +361,19 @@ def _merge_part(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
             run.append((n, right, (r.lefts[l : l + left], texts, places[p : p + count])))
             before, t, l, p = right, t + size - n, l + left, p + count
         runs.append(run)
-    group: list[tuple[int, bytes, object]] = []
+    group: list[tuple[int, int, object]] = []
 
     def close() -> None:
         # contents in order of their right sides; equal ones from several runs are one
         rights, lefts, sizes, where, same = [], [], [], [], {}
-        for n, right, (left, texts, places) in group:
-            if not rights or not n == len(right) == sizes[-1]:
+        for n, size, (left, texts, places) in group:
+            if not rights or not n == size == sizes[-1]:
                 same = {}
             if left in same:
                 where[same[left]].append((texts, places))
             else:
                 same[left] = len(lefts)
-                rights.append(n), lefts.append(left), sizes.append(len(right)), where.append([(texts, places)])
+                rights.append(n), lefts.append(left), sizes.append(size), where.append([(texts, places)])
         repeats = [sum(len(p) for _, p in w) for w in where]
         for flags, w in zip(equal_windows(rights, lefts, sizes, repeats, length), where, strict=True):
             found = _ranges(flags)
@@ -420,10 +381,10 @@ def _merge_part(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
                 out.extend((texts[i].tobytes(), lo + a, lo + b) for texts, places in w for i, lo in places.tolist() for a, b in found)
 
     for n, right, payload in LoserTree(runs) if runs else ():
-        if group and n < length // 4:
+        if group and n < _KEY + length // 4:
             close()
             group = []
-        group.append((n, right, payload))
+        group.append((n - _KEY, len(right) - _KEY, payload))
     if group:
         close()
     return pd.DataFrame(out, columns=["tid", "start", "stop"])
@@ -511,8 +472,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bytes are covered by such a string of `short` bytes. Repeated rows are documents of their own, so texts of `length`
     bytes or more that have a copy are removed whole. Other columns are ignored, empty tables give no rows, and a text of
     any length is read whole by one task, 4 MB at a time. Texts are named by 128 bits of their SHA-256; anchors are found
-    by 64-bit hashes and their suffixes compared as bytes, except that windows of grams with over `frequent` places are
-    compared by 128-bit hashes.
+    by 64-bit hashes, and their suffixes compared as bytes. Grams with over `frequent` places are split further, see above.
     """
     base = _base(docs, id_col, text_col)
     out = base.join(_by_text(docs, base, id_col, text_col, length, frequent), "tid", "left")
