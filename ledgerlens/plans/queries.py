@@ -15,7 +15,7 @@ from ..operators import profile as P
 from ..operators import risk as R
 from ..operators.schema import schema_differences, schema_profile
 from ..sources.io import read_transactions, verify_gold, work_dir, write_gold
-from ..spec import GOLD, RAW, RAW_SCHEMA, TableSpec
+from ..spec import GOLD, GOLD_SCHEMA, RAW, RAW_SCHEMA, TableSpec
 from . import fixtures as X
 from . import modeling as M
 from . import report
@@ -110,6 +110,13 @@ def published_gold(spark, sf):
     return done.gold.withColumn("event_timestamp", F.date_format("event_timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
+@_add("gold_csv", _GOLD_SQL)
+def gold_csv(spark, sf):
+    """The gold table written as CSV and read again with its types."""
+    back = read_transactions(spark, write_gold(to_gold(X.dirty(spark, sf)), work_dir(spark, "gold-csv"), fmt="csv"), GOLD_SCHEMA)
+    return back.withColumn("event_timestamp", F.date_format("event_timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
 @_add("published_checks", f"""with {_CLEANED}, x as (select count(*)::double as n, sum(is_fraud::int)::double as p, """ + " + ".join(f"(count(*) - count({c}))" for c in RAW.gold) + """ as m from k)
  select unnest(['rows', 'columns', 'missing_values_total', 'positive_rows']) as "check", unnest([n, 13.0::double, m::double, p]) as expected, unnest([n, 13.0::double, m::double, p]) as actual, unnest([true, true, true, true]) as ok from x""")
 def published_checks(spark, sf):
