@@ -70,11 +70,19 @@ def weekly_stability(df: DataFrame, spec: TableSpec, window: int = 4) -> DataFra
 
 
 def correlation(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, r) for all pairs, each over the rows that have both, in one pass of one aggregate a pair; null where a column is constant."""
+    """(a, b, r) for all pairs, each over the rows that have both, in one pass; null where a column is constant.
+
+    Size from the regression's R squared and sign from the covariance, both of which skip incomplete pairs themselves;
+    R squared is 1 by definition where one column is constant, and the covariance then 0.
+    """
     rows = df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in columns])
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-    row = rows.agg(*[F.corr(columns[i], columns[j]).alias(f"_r{i}_{j}") for i, j in pairs])
-    r = lambda i, j: F.nanvl(F.col(f"_r{min(i, j)}_{max(i, j)}"), F.lit(None))
+    row = rows.agg(*[e for i, j in pairs for e in (F.regr_r2(columns[i], columns[j]).alias(f"_s{i}_{j}"), F.covar_pop(columns[i], columns[j]).alias(f"_c{i}_{j}"))])
+
+    def r(i: int, j: int) -> Column:
+        size, cov = (F.col(f"_{x}{min(i, j)}_{max(i, j)}") for x in "sc")
+        return F.when(~((size == 1) & (cov == 0)), F.signum(cov) * F.sqrt(size))
+
     return row.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r(i, j).alias("r"))
                                          for i, a in enumerate(columns) for j, b in enumerate(columns)])))
 
