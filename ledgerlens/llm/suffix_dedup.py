@@ -49,12 +49,12 @@ def _window_hashes(data: np.ndarray, starts: np.ndarray, length: int, values: np
     return mix((sums[starts + length] - sums[starts]) * down[starts])
 
 
-def anchors(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, length: int = LENGTH, gram: int = LENGTH // 4) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(key, place, first window, last window) of each anchor of one text, windows by their starts.
 
-    The anchor of a window is the leftmost of its grams with the least hash, so it depends on the window's bytes alone.
+    The anchor of a window is the leftmost of its grams with the least hash, so it depends on the window's bytes alone,
+    and an anchor of longer windows is one of shorter windows too.
     """
-    gram = length // 4
     span = length - gram + 1
     out = []
     for at in range(0, max(0, len(data) - length + 1), _PIECE):
@@ -84,7 +84,7 @@ def _cuts(keys: np.ndarray, parts: int) -> list[tuple[int, slice]]:
 _ASK = "part int, keys binary, who binary, texts binary, many binary, counts binary"
 
 
-def _ask_batches(batches: Iterator[pa.RecordBatch], parts: int, length: int) -> Iterator[pa.RecordBatch]:
+def _ask_batches(batches: Iterator[pa.RecordBatch], parts: int, length: int, gram: int) -> Iterator[pa.RecordBatch]:
     """Anchor grams that one place of this task has, with its text, and those that several have, with their number.
 
     The texts of the latter are named at once, in rows of parts below zero.
@@ -126,7 +126,7 @@ def _ask_batches(batches: Iterator[pa.RecordBatch], parts: int, length: int) ->
                 if len(text) < length or tid in seen:
                     continue
                 seen.add(tid)
-                found = anchors(text, length)[0]
+                found = anchors(text, length, gram)[0]
                 keys.append(found)
                 who.append(np.full(len(found), len(tids), np.uint32))
                 tids.append(tid)
@@ -204,7 +204,7 @@ def _cores(text: np.ndarray, keys: np.ndarray, place: np.ndarray, first: np.ndar
     return list(zip(key.tolist(), place[of].tolist(), (place[of] - b).tolist(), (place[of] - a).tolist(), strict=True))
 
 
-def _run_batches(batches: Iterator[pa.RecordBatch], parts: int, length: int) -> Iterator[pa.RecordBatch]:
+def _run_batches(batches: Iterator[pa.RecordBatch], parts: int, length: int, gram: int) -> Iterator[pa.RecordBatch]:
     """Front-coded sorted runs of the suffixes at wanted anchors, each behind its key."""
     entries: dict[tuple[int, bytes, int], list[tuple[int, int]]] = {}
     tids: list[bytes] = []
@@ -238,7 +238,7 @@ def _run_batches(batches: Iterator[pa.RecordBatch], parts: int, length: int) ->
                 text = data[offsets[k] : offsets[k + 1]]
                 want = np.sort(wants[a + k].values.to_numpy(zero_copy_only=False).view(np.uint64))
                 often = np.sort(oftens[a + k].values.to_numpy(zero_copy_only=False).view(np.uint64))
-                found = anchors(text, length)
+                found = anchors(text, length, gram)
                 chosen = np.flatnonzero(np.isin(found[0], want))
                 if not len(chosen):
                     continue
@@ -348,7 +348,7 @@ def _ranges(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
-def _merge_part(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
+def _merge_part(pdf: pd.DataFrame, length: int, gram: int) -> pd.DataFrame:
     """(tid, start, stop): window starts that occur twice, from the runs of one part."""
     out: list[tuple[bytes, int, int]] = []
     runs = []
@@ -381,7 +381,7 @@ def _merge_part(pdf: pd.DataFrame, length: int) -> pd.DataFrame:
                 out.extend((texts[i].tobytes(), lo + a, lo + b) for texts, places in w for i, lo in places.tolist() for a, b in found)
 
     for n, right, payload in LoserTree(runs) if runs else ():
-        if group and n < _KEY + length // 4:
+        if group and n < _KEY + gram:
             close()
             group = []
         group.append((n - _KEY, len(right) - _KEY, payload))
@@ -420,17 +420,17 @@ def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return stage(docs.select(docs[id_col].alias("id"), _name(text).alias("tid"), F.octet_length(text).cast("long").alias("n"), F.sha2(text, 256).alias("sha")), "suffix-base")
 
 
-def repeated_windows(docs: DataFrame, base: DataFrame, id_col: str, text_col: str, length: int = LENGTH, frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
-    """Of docs and their `_base`: texts that may have repeats (text, tid), and (tid, start, stop) of windows found twice.
+def anchored_texts(docs: DataFrame, base: DataFrame, id_col: str, text_col: str, length: int, gram: int, frequent: int) -> DataFrame:
+    """Of docs and their `_base`: each distinct text with anchor grams that occur elsewhere: text, tid, those grams, the frequent ones.
 
-    tid names a text's bytes; copies of a text are one here.
+    tid names a text's bytes; copies of a text are one here. The anchors are those of windows of `length` bytes or more.
     """
     small_batches(docs.sparkSession)
     text = F.coalesce(docs[text_col], F.lit(""))
     rows = docs.select(docs[id_col].alias("id"), text.alias("text"), _name(text).alias("tid"))
     size = base.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     slots = int(size // (length * 3 // 8) // ANCHORS + 1)
-    answers = stage(rows.select("text", "tid").mapInArrow(lambda b: _ask_batches(b, slots, length), _ASK).groupBy("part")
+    answers = stage(rows.select("text", "tid").mapInArrow(lambda b: _ask_batches(b, slots, length, gram), _ASK).groupBy("part")
                     .applyInPandas(lambda x: _answer(x, frequent), "tid binary, key long, often boolean"), "suffix-anchors")
     often = answers.where("often").select("key").distinct().withColumn("hot", F.lit(True))
     wanted = answers.where("tid is not null").join(often, "key", "left")
@@ -440,28 +440,29 @@ def repeated_windows(docs: DataFrame, base: DataFrame, id_col: str, text_col: st
     texts = rows.join(wanted, (F.col("tid") == F.col("_tid")) & F.col("id").eqNullSafe(F.col("first"))).select("text", "tid", "want", "often")
     if not base.groupBy("tid", "id").count().where("count > 1").isEmpty():
         texts = texts.dropDuplicates(["tid"])
-    texts = stage(texts, "suffix-texts")
+    return stage(texts, "suffix-texts")
+
+
+def repeated_windows(texts: DataFrame, length: int, gram: int) -> DataFrame:
+    """(tid, start, stop) of windows of `length` bytes found twice, of anchored_texts for windows of that length or shorter ones."""
     parts = int((texts.agg(F.coalesce(F.sum(F.size("want")), F.lit(0))).first()[0] * length * 11 // 8) // SUFFIXES + 1)
-    found = (texts.mapInArrow(lambda b: _run_batches(b, parts, length), _RUN).groupBy("part")
-             .applyInPandas(lambda x: _merge_part(x, length), "tid binary, start long, stop long"))
-    return texts.select("text", "tid"), found
+    return (texts.mapInArrow(lambda b: _run_batches(b, parts, length, gram), _RUN).groupBy("part")
+            .applyInPandas(lambda x: _merge_part(x, length, gram), "tid binary, start long, stop long"))
 
 
-def cut_texts(docs: DataFrame, base: DataFrame, id_col: str, text_col: str, length: int, frequent: int, *, texts: bool = True) -> DataFrame:
+def cut_texts(anchored: DataFrame, length: int, gram: int, *, texts: bool = True) -> DataFrame:
     """(tid, n_removed, n_spans, kept_sha256, kept) of each distinct text that loses bytes; `kept` is null without `texts`."""
-    seen, found = repeated_windows(docs, base, id_col, text_col, length, frequent)
-    ranges = found.groupBy("tid").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
-    return stage(seen.join(ranges, "tid").select("text", "tid", "starts", "stops")
+    ranges = repeated_windows(anchored, length, gram).groupBy("tid").agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
+    return stage(anchored.select("text", "tid").join(ranges, "tid").select("text", "tid", "starts", "stops")
                  .mapInArrow(lambda b: _cut_batches(b, length, texts), "tid binary, n_removed long, n_spans long, kept_sha256 string, kept binary"), "suffix-cut")
 
 
-def _by_text(docs: DataFrame, base: DataFrame, id_col: str, text_col: str, length: int, frequent: int) -> DataFrame:
-    """(tid, n_removed, n_spans, kept_sha256) of each text that loses bytes; n_removed is -1 for texts that have a copy."""
-    cut = cut_texts(docs, base, id_col, text_col, length, frequent, texts=False)
+def _by_text(anchored: DataFrame, base: DataFrame, length: int, gram: int, name: str) -> DataFrame:
+    """(tid, struct `name` of n_removed, n_spans, kept_sha256) of each text that loses bytes; n_removed is -1 for texts that have a copy."""
+    cut = cut_texts(anchored, length, gram, texts=False).drop("kept")
     copies = base.where(F.col("n") >= length).groupBy("tid").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
     whole = copies.select("tid", F.lit(-1).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit("").cast("binary"), 256).alias("kept_sha256"))
-    # staged, so that the join is of plain exchanges and a text with very many copies can be split
-    return stage(cut.drop("kept").unionByName(whole).groupBy("tid").agg(F.min_by(F.struct("n_removed", "n_spans", "kept_sha256"), "n_removed").alias("x")), "suffix-result")
+    return cut.unionByName(whole).groupBy("tid").agg(F.min_by(F.struct("n_removed", "n_spans", "kept_sha256"), "n_removed").alias(name))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, frequent: int = FREQUENT, short: int | None = None) -> DataFrame:
@@ -469,16 +470,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A text's UTF-8 bytes (null: none) lose every byte covered by a string of `length` bytes that starts anywhere else
     too, in this document or another; strings are judged on the input and never cross documents. n_short is how many
-    bytes are covered by such a string of `short` bytes. Repeated rows are documents of their own, so texts of `length`
-    bytes or more that have a copy are removed whole. Other columns are ignored, empty tables give no rows, and a text of
-    any length is read whole by one task, 4 MB at a time. Texts are named by 128 bits of their SHA-256; anchors are found
-    by 64-bit hashes, and their suffixes compared as bytes. Grams with over `frequent` places are split further, see above.
+    bytes are covered by such a string of `short` bytes (at most `length`). Repeated rows are documents of their own, so
+    texts of `length` bytes or more that have a copy are removed whole. Other columns are ignored, empty tables give no
+    rows, and a text of any length is read whole by one task, 4 MB at a time. Texts are named by 128 bits of their
+    SHA-256; anchors are found by 64-bit hashes, and their suffixes compared as bytes. Grams with over `frequent` places
+    are split further, see above.
     """
-    base = _base(docs, id_col, text_col)
-    out = base.join(_by_text(docs, base, id_col, text_col, length, frequent), "tid", "left")
-    lost = lambda x: F.when(x.isNull(), F.lit(0)).when(x["n_removed"] < 0, F.col("n")).otherwise(x["n_removed"]).cast("long")
-    out = out.select("id", "tid", "n", lost(F.col("x")).alias("n_removed"), F.coalesce(F.col("x.n_spans"), F.lit(0)).cast("long").alias("n_spans"),
-                     F.coalesce(F.col("x.kept_sha256"), F.col("sha")).alias("kept_sha256"))
+    base, least = _base(docs, id_col, text_col), min(length, short or length)
+    gram = least // 4
+    anchored = anchored_texts(docs, base, id_col, text_col, least, gram, frequent)
+    by_text = _by_text(anchored, base, length, gram, "x")
     if short:
-        out = out.join(_by_text(docs, base, id_col, text_col, short, frequent), "tid", "left").withColumn("n_short", lost(F.col("x")))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256", *(["n_short"] if short else []))
+        by_text = by_text.join(_by_text(anchored, base, short, gram, "y"), "tid", "full")
+    # staged, so that the join is of plain exchanges and a text with very many copies can be split
+    out = base.join(stage(by_text, "suffix-result"), "tid", "left")
+    lost = lambda x: F.when(x.isNull(), F.lit(0)).when(x["n_removed"] < 0, F.col("n")).otherwise(x["n_removed"]).cast("long")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_bytes"), lost(F.col("x")).alias("n_removed"), F.coalesce(F.col("x.n_spans"), F.lit(0)).cast("long").alias("n_spans"),
+                      F.coalesce(F.col("x.kept_sha256"), F.col("sha")).alias("kept_sha256"), *([lost(F.col("y")).alias("n_short")] if short else []))
