@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, langid, lm, mixing, ngram_join, suffix_dedup, token_count, url_filter, warc
+from . import (decontaminate, embedding_dedup, exact_dedup, hard_negatives, langid, lm, mixing, ngram_join, suffix_dedup, token_count, url_filter,
+               vector_codes, warc)
 from .url_filter import Rule
 
 #: (verdict, host, path)
@@ -58,8 +60,61 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_ngrams(_read(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    noisy = vectors.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine_hard_negatives(noisy, noisy["vec_id"] % 50 == 0)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.encode_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_exact_dedup, op2_mix_sources, op3_lm_score, op4_warc, op5_url_filter, op6_decontaminate, op7_token_counts, op8_suffix_dedup, op9_language, op10_ngram_join)}
+    op1_exact_dedup, op2_mix_sources, op3_lm_score, op4_warc, op5_url_filter, op6_decontaminate, op7_token_counts, op8_suffix_dedup, op9_language, op10_ngram_join,
+    op11_hard_negatives, op12_vector_codes, op13_near_vectors)}
+
+#: Vectors without a null or non-finite component.
+_WHOLE = "embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
+#: floor(256 * x); products of such integers are exact in doubles.
+_INTS = "list_transform(embedding, lambda x: floor(256 * x::double))"
+
+
+def _codes_sql(rounds: int = 2, parts: int = 16, entries: int = 64) -> str:
+    """Rounds of assignment and means, one block of CTEs a round."""
+    steps = [f"""
+with v as materialized (
+ select vec_id, label, {_INTS} as q from embeddings where {_WHOLE}
+), x as materialized (
+ select vec_id, p, q[p * w + 1:(p + 1) * w] as x from (select vec_id, q, (len(q) // {parts})::bigint as w, unnest(range({parts})) as p from v)
+), b0 as materialized (
+ select p, e, x as y from x join (select vec_id, row_number() over (order by vec_id) - 1 as e from v order by vec_id limit {entries}) f using (vec_id)
+)"""]
+    for k in range(rounds + 1):
+        steps.append(f""", a{k} as materialized (
+ select vec_id, x.p as p, arg_min(e, (d, e)) as e, min(d)::bigint as d, any_value(x) as x
+ from (select vec_id, x.p, e, x, list_dot_product(x, x) - 2 * list_dot_product(x, y) + list_dot_product(y, y) as d from x join b{k} b on x.p = b.p) x group by vec_id, x.p
+)""")
+        if k < rounds:
+            steps.append(f""", b{k + 1} as materialized (
+ select b.p, b.e, coalesce(m.y, b.y) as y from b{k} b left join (
+  select p, e, list(m order by i) as y from (
+   select p, e, i, floor(sum(x[i]) / count(*)) as m from (select p, e, x, unnest(range(1, len(x) + 1)) as i from a{k}) group by p, e, i) group by p, e
+ ) m on b.p = m.p and b.e = m.e
+)""")
+    return "".join(steps) + f""", c as (
+ select vec_id, string_agg(lower(printf('%02x', e)), '' order by p) as code, sum(d)::bigint as error from a{rounds} group by vec_id
+), s as (
+ select sha256(string_agg(n::bigint::varchar, ',' order by p, e, i)) as codebooks_sha256
+ from (select p, e, unnest(y) as n, unnest(range(len(y))) as i from b{rounds})
+)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from c join v using (vec_id), s
+"""
+
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 
@@ -144,5 +199,35 @@ with d as (
 )
 select d.doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(x, '')) as items_sha256,
  coalesce(n_hit, 0) > 0 as contaminated from d left join h on d.doc_id = h.doc_id left join t on d.doc_id = t.doc_id
+""",
+    "op11_hard_negatives": rf"""
+with v as materialized (
+ select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, {_INTS} as q from embeddings where label is not null and {_WHOLE}
+), s as materialized (
+ select a.vec_id as anchor_id, v.vec_id, a.label = v.label as same, list_dot_product(a.q, v.q)::bigint as score from v a join v on a.vec_id <> v.vec_id where a.vec_id % 50 = 0
+), p as (
+ select anchor_id, vec_id as positive_id, score as positive_score from s where same
+ qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+), n as (
+ select anchor_id, positive_id, vec_id as negative_id, positive_score, score as negative_score,
+  row_number() over (partition by anchor_id, positive_id order by score desc, vec_id)::int as rank
+ from p join s using (anchor_id) where not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+)
+select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 3
+""",
+    "op12_vector_codes": _codes_sql(),
+    "op13_near_vectors": rf"""
+with recursive v as materialized (
+ select vec_id, list_transform(embedding, lambda x: x::double) as x,
+  coalesce({_WHOLE} and len(list_filter(embedding, lambda x: x <> 0)) > 0, false) as usable from embeddings
+), l as materialized (
+ select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id and a.usable and b.usable where list_cosine_similarity(a.x, b.x) >= 0.95
+), r as (
+ select vec_id as node, vec_id as root from v union select l.b, r.root from r join l on l.a = r.node
+), c as (
+ select node as vec_id, min(root) as component_id from r group by node
+)
+select vec_id, coalesce(n, 0) as n_links, component_id, vec_id = component_id as kept
+from c left join (select a as vec_id, count(*) as n from l group by a) using (vec_id)
 """,
 }
