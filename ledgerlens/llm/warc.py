@@ -16,14 +16,14 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import new_dir, small_batches, stage
 
 CHUNK = 1 << 16
 #: Bytes of a header line that are read; the rest of a longer one is passed over.
-LINE = 1 << 16
+LINE = 1 << 20
 #: Payloads of fewer bytes are always written in full.
 LEAST_REVISIT = 100
 CHUNK_SCHEMA = ("path string, record long, record_id string, record_type string, target_uri string, refers_to string, "
@@ -32,11 +32,25 @@ _ARROW = pa.schema([tuple(c.split()) for c in CHUNK_SCHEMA.replace("long", "int6
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
-def _id(key: str | None) -> str:
-    return f"<urn:x-page:{'null' if key is None else key}>"
+def _id(name: str) -> str:
+    uri = f"<urn:x-page:{name}>"
+    if len(uri) > LINE - 100:
+        raise ValueError("a page's id is too long for a header line")
+    return uri
 
 
-def _record(kind: str, key: str | None, url: str, refers: str | None, digest: str, payload: memoryview) -> Iterator[bytes]:
+def _name(key: Column) -> Column:
+    """An id as part of a header: percent-encoded, so that no letter of it ends the line or the URI; a null id is a lone %."""
+    return F.coalesce(F.url_encode(key.cast("string")), F.lit("%"))
+
+
+def _key(uri: Column) -> Column:
+    """The id as text of a header's URI; null for a null id."""
+    name = F.regexp_extract(uri, r"^<urn:x-page:([^>]*)>$", 1)
+    return F.when(name != "%", F.url_decode(name))
+
+
+def _record(kind: str, key: str, url: str, refers: str | None, digest: str, payload: memoryview) -> Iterator[bytes]:
     block = len(_HTTP) + (len(payload) if kind == "response" else 0)
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_id(key)}", f"WARC-Target-URI: {url}", "WARC-Date: 1970-01-01T00:00:00Z",
             f"WARC-Payload-Digest: sha256:{digest}", f"X-Payload-Length: {len(payload)}"]
@@ -76,7 +90,8 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     Of pages with equal payloads of LEAST_REVISIT bytes or more, that with the smallest id is a response and the others
     revisit it. A null payload is empty, a null url an empty one. A null id comes after all others and counts as equal
     to another null; rows that repeat the smallest id are all responses, those that repeat another are all revisits.
-    Other columns are ignored and empty tables give no records. Only ids and digests meet by digest, so neither a very
+    Ids go into headers percent-encoded: line breaks, brackets, any text come back; one of more than about 1 MB encoded
+    raises an error. Other columns are ignored and empty tables give no records. Only ids and digests meet by digest, so neither a very
     long nor a very frequent payload makes a task large.
     """
     payload = F.coalesce(pages[payload_col], F.lit("")).cast("binary")
@@ -88,8 +103,8 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     again = keys.join(first, F.col("d") == F.col("fd")).where(~F.col("k").eqNullSafe(F.col("first"))).select("k", "d", "first")
     again = stage(again.dropDuplicates(["k", "d"]), "warc-again")
     j = p.join(again, p["key"].eqNullSafe(again["k"]) & (p["digest"] == again["d"]), "left")
-    return j.select(F.col("key").cast("string").alias("key"), "url", "payload", "digest",
-                    F.when(F.col("d").isNotNull(), "revisit").otherwise("response").alias("kind"), F.col("first").cast("string").alias("refers"))
+    return j.select(_name(F.col("key")).alias("key"), "url", "payload", "digest",
+                    F.when(F.col("d").isNotNull(), "revisit").otherwise("response").alias("kind"), F.when(F.col("d").isNotNull(), _name(F.col("first"))).alias("refers"))
 
 
 def write_warc(records: DataFrame, folder: str | None = None) -> DataFrame:
@@ -232,7 +247,7 @@ def archived(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", pa
     Payloads of any length come back as chunks of CHUNK bytes; for other odd inputs see plan_records.
     """
     kind = pages.schema[id_col].dataType
-    name = lambda c: F.nullif(F.regexp_extract(c, r"^<urn:x-page:(.*)>$", 1), F.lit("null")).cast(kind)
+    name = lambda c: _key(c).cast(kind)
     records = record_table(read_warc(write_warc(plan_records(pages, id_col, url_col, payload_col))))
     return records.select(name(F.col("record_id")).alias(id_col), "payload_bytes", "payload_digest", "record_type",
                           name(F.col("refers_to")).alias("refers_to"))
