@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -51,9 +52,27 @@ def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
                 yield hash_runs(hashes[lo:hi], int(hi - lo)) if hi > lo else np.zeros(0, np.uint64)
 
 
-def signature(s: np.ndarray, salt: int) -> tuple[int, bytes]:
-    d = hashlib.blake2b(s.tobytes(), digest_size=24, salt=salt.to_bytes(8, "little")).digest()
-    return int.from_bytes(d[:8], "little", signed=True), d[8:]
+@dataclass(frozen=True)
+class Names:
+    """How sets are named: by the first 64 bits of a digest of 192, or by the next, or the last, where different sets share a name.
+
+    taken: names that different sets share; about n^2 / 2^65 of n sets, eleven of 2 x 10^10.
+    """
+
+    taken: frozenset[int] = frozenset()
+    bits: int = 64
+
+    def of(self, s: np.ndarray) -> tuple[int, bytes]:
+        """The name and the rest of the digest."""
+        d = hashlib.blake2b(s.tobytes(), digest_size=24).digest()
+        return self.next(int.from_bytes(d[:8], "little", signed=True) >> (64 - self.bits), d[8:]), d[8:]
+
+    def next(self, name: int, wide: bytes) -> int:
+        for i in (0, 8):
+            if name not in self.taken:
+                break
+            name = int.from_bytes(wide[i : i + 8], "little", signed=True)
+        return name
 
 
 def most_alone(n: np.ndarray) -> np.ndarray:
@@ -75,18 +94,24 @@ def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.r_[first, len(keys)])
 
 
-def _class_batches(batches: Iterator[pa.RecordBatch], salt: int) -> Iterator[pa.RecordBatch]:
+def _class_batches(batches: Iterator[pa.RecordBatch], names: Names) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [(*signature(s, salt), len(s)) for s in shingle_sets(batch.column(1))]
+        found = [(*names.of(s), len(s)) for s in shingle_sets(batch.column(1))]
         sig, wide, n = zip(*found, strict=True) if found else ((), (), ())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sig, pa.int64()), pa.array(wide, pa.binary()), pa.array(n, pa.int64())],
                                          names=["id", "th", "sig", "wide", "n"])
 
 
+def _renamed(batches: Iterator[pa.RecordBatch], names: Names) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sig = [names.next(name, wide) for name, wide in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sig, pa.int64()), b.column(3), b.column(4)], names=["id", "th", "sig", "wide", "n"])
+
+
 _FIRST = "part int, ones binary, who binary, table binary, many binary"
 
 
-def _first_batches(batches: Iterator[pa.RecordBatch], parts: int, salt: int) -> Iterator[pa.RecordBatch]:
+def _first_batches(batches: Iterator[pa.RecordBatch], parts: int, names: Names) -> Iterator[pa.RecordBatch]:
     """What this task knows of the 5-grams below FIRST: those that one of its sets has, with the set, and those that more have.
 
     Parts below zero carry the sets' own sizes. A set that several tasks see is reported by each; how many 5-grams it has
@@ -120,7 +145,7 @@ def _first_batches(batches: Iterator[pa.RecordBatch], parts: int, salt: int) ->
         for s in shingle_sets(batch.column(0)):
             if not len(s):
                 continue
-            sig, wide = signature(s, salt)
+            sig, wide = names.of(s)
             if wide in seen:
                 continue
             seen.add(wide)
@@ -154,11 +179,11 @@ def _first_part(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"sig": who, "n": 0, "asked": 0, "dup": n, "seen": 0})
 
 
-def _full_batches(batches: Iterator[pa.RecordBatch], salt: int) -> Iterator[pa.RecordBatch]:
+def _full_batches(batches: Iterator[pa.RecordBatch], names: Names) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sigs, out = batch.column(1).to_pylist(), []
         for sig, s in zip(sigs, shingle_sets(batch.column(0)), strict=True):
-            if len(s) and signature(s, salt)[0] == sig:
+            if len(s) and names.of(s)[0] == sig:
                 out.append((sig, len(s), pack(s)))
         sig, n, raw = zip(*out, strict=True) if out else ((), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(sig, pa.int64()), pa.array(n, pa.int64()), pa.array(raw, pa.binary())], names=["sig", "n", "grams"])
@@ -336,27 +361,30 @@ def _large(sets: DataFrame, prefix: DataFrame, group: int) -> DataFrame:
     return held.where("linked").select(F.col("sig").alias("a"), F.col("pivot").alias("b")).unionByName(found)
 
 
-def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """(id, th, sig, wide, n) of every row and the salt of sig; signatures of 64 bits that two sets share are salted anew."""
+def _classes(docs: DataFrame, id_col: str, text_col: str, bits: int) -> tuple[DataFrame, Names]:
+    """(id, th, sig, wide, n) of every row and how sets are named: no two sets have one sig. Texts are read once."""
     text = F.coalesce(docs[text_col], F.lit(""))
     seen = docs.select(docs[id_col].alias("id"), text.alias("text"), F.xxhash64(text).alias("th"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    for salt in range(8):
-        base = stage(seen.mapInArrow(lambda b, salt=salt: _class_batches(b, salt), f"id {kind}, th long, sig long, wide binary, n long"), "join-base")
-        if base.groupBy("sig").agg(F.min("wide").alias("x"), F.max("wide").alias("y")).where("x <> y").isEmpty():
-            return base, salt
-    raise RuntimeError("set signatures collide")
-
-
-def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> tuple[DataFrame, DataFrame]:
-    """(id, th, sig, wide, n) of every row, and (sig, root) of each set that is linked with another."""
+    schema, names = f"id {docs.schema[id_col].dataType.simpleString()}, th long, sig long, wide binary, n long", Names(bits=bits)
+    base = stage(seen.mapInArrow(lambda b, names=names: _class_batches(b, names), schema), "join-base")
+    for _ in range(3):
+        met = base.groupBy("sig").agg(F.min("wide").alias("x"), F.max("wide").alias("y")).where("x <> y").select("sig").collect()  # see Names for how many
+        if not met:
+            return base, names
+        names = Names(names.taken | {r["sig"] for r in met}, bits)
+        base = stage(base.mapInArrow(lambda b, names=names: _renamed(b, names), schema), "join-base")
+    raise RuntimeError("different sets have one digest of 192 bits")
+
+
+def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, bits: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(id, th, sig, wide, n) of every row, and (sig, root) of each set that is linked with another. bits: of a set's first name."""
     spark = docs.sparkSession
     small_batches(spark)
-    base, salt = _classes(docs, id_col, text_col)
+    base, names = _classes(docs, id_col, text_col, bits)
     total = base.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     slots = int(max(1, -(-total * FIRST // TASK)))
     text = docs.select(F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    first = (text.mapInArrow(lambda b: _first_batches(b, slots, salt), _FIRST)
+    first = (text.mapInArrow(lambda b: _first_batches(b, slots, names), _FIRST)
              .groupBy("part").applyInPandas(_first_part, "sig long, n long, asked long, dup long, seen long"))
     of = first.groupBy("sig").agg(F.sum("asked").alias("asked"), F.max("n").alias("n"), F.sum("dup").alias("dup"), F.sum("seen").alias("seen"))
     alive = of.where(F.col("asked") - F.col("dup") <= F.col("seen") * F.floor((100 - PERCENT) * F.col("n") / 100)).select("sig")
@@ -364,7 +392,7 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     want = alive.join(reps, "sig").select("sig", F.col("r.id").alias("id"), F.col("r.th").alias("th"))
     seen = docs.select(docs[id_col].alias("_id"), F.coalesce(docs[text_col], F.lit("")).alias("_text"))
     full = seen.join(want, (F.xxhash64("_text") == F.col("th")) & F.col("_id").eqNullSafe(F.col("id"))).select("_text", "sig")
-    full = stage(full.mapInArrow(lambda b: _full_batches(b, salt), "sig long, n long, grams binary"), "join-sets")
+    full = stage(full.mapInArrow(lambda b: _full_batches(b, names), "sig long, n long, grams binary"), "join-sets")
     asked = full.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = int(max(1, -(-asked // TASK)))
     blocked = full.withColumn("block", F.pmod(F.xxhash64("sig"), F.lit(parts)).cast("int"))
@@ -389,7 +417,7 @@ def link_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return base, components(links).withColumnRenamed("node", "sig")
 
 
-def join_ngrams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
+def join_ngrams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP, bits: int = 64) -> DataFrame:
     """One row per document: id, n_shingles, component_id (the smallest id that links reach, its own included).
 
     Two documents link when PERCENT * union <= 100 * intersection of their sets of distinct word 5-grams (A-Z lower-cased,
@@ -397,7 +425,7 @@ def join_ngrams(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     with nothing. Repeated rows are one class. Null ids never name a component unless all its ids are null; empty tables
     give empty results; other columns are ignored; a text of any length is read whole by one task. 5-grams are compared by 64-bit hashes, sets of equal texts by 128.
     """
-    base, roots = link_classes(docs, id_col, text_col, group)
+    base, roots = link_classes(docs, id_col, text_col, group, bits)
     of = base.where("n > 0").groupBy("sig").agg(F.min("id").alias("low")).join(roots, "sig", "left")
     # one row for each linked component, staged so that the join can be split where one component is hot
     named = stage(of.where("root is not null").groupBy("root").agg(F.min("low").alias("component_id")), "join-named")

@@ -1,3 +1,4 @@
+import os
 import random
 import zlib
 
@@ -5,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.llm import decontaminate, exact_dedup, langid, lm, mixing, ngram_join, suffix_dedup, token_count, url_filter, warc
+from ledgerlens.llm import decontaminate, elias_fano, exact_dedup, langid, lm, mixing, ngram_join, suffix_dedup, token_count, url_filter, warc
 from ledgerlens.llm.elias_fano import Sequence, encode
 
 from . import brute
@@ -118,6 +119,27 @@ def test_lm(docs, rows, order, monkeypatch):
         assert abs(g.base_score - base) < 1e-6 * tokens and abs(g.score - full) < 1e-3 * tokens
 
 
+def test_lm_of_many_files(docs, rows, monkeypatch):
+    """More model files than a worker keeps mapped: the same scores."""
+    monkeypatch.setattr(lm, "PART", 12)
+    monkeypatch.setattr(lm, "WORDS_PART", 3000)
+    files = lm.train(docs)
+    assert files.parts > 700 and files.words > 5 and files.parts > elias_fano.OPEN
+    got = {x.doc_id: x for x in lm.score(docs, files).collect()}
+    for (i, _), (tokens, _, _, base, full) in zip(rows, brute.ngram_scores(rows, {i for i, _ in rows}, lm.ORDER, lm.PRIORS), strict=True):
+        assert got[i].n_tokens == tokens and abs(got[i].base_score - base) < 1e-6 * tokens and abs(got[i].score - full) < 1e-3 * tokens
+
+
+def test_mapped_files_hold_no_descriptors(tmp_path):
+    uris = [elias_fano.write_arrays(f"file://{tmp_path}", f"f{i}", {"x": np.array([i])}) for i in range(1500)]
+    before = len(os.listdir("/proc/self/fd"))
+    kept = elias_fano.Recent(elias_fano.map_arrays)
+    assert [int(kept[u]["x"][0]) for u in uris] == list(range(1500))
+    assert len(kept.held) == elias_fano.OPEN and len(os.listdir("/proc/self/fd")) <= before + 5
+    with pytest.raises(FileNotFoundError):
+        elias_fano.map_arrays(f"file://{tmp_path}/none")
+
+
 def test_warc(spark):
     big = "<p>" + "é" * 200_000
     rows = [(3, "http://a/1", "x" * 100), (1, "u", "x" * 100), (2, None, "x" * 99), (4, "u\r\nv", "x" * 99), (5, "u", None), (6, "u", ""), (7, "u", big), (8, "u", big), (None, "u", big), (9, "u", "line\r\n\r\nWARC/1.1\r\n" * 20)]
@@ -136,6 +158,17 @@ def test_warc(spark):
     assert warc.archived(pages.limit(0)).count() == 0
 
 
+def test_warc_ids(spark):
+    """Ids that would end a header line or a URI, the text null beside a null id, and long ones."""
+    ids = ["a\r\nWARC-Type: x", "a>b", "<", "null", None, "", " ", "%", "%41", "A", "é+&/ x", "x" * 200_000]
+    body = "z" * 300
+    pages = spark.createDataFrame([(i, "u", body) for i in ids] + [(i, "u", "short") for i in ids], "page_id string, url string, html string").repartition(3)
+    got = sorted((tuple(x) for x in warc.archived(pages).select("page_id", "payload_bytes", "record_type", "refers_to").collect()), key=repr)
+    least = min(i for i in ids if i is not None)
+    want = [(i, 300, "response" if i == least else "revisit", None if i == least else least) for i in ids] + [(i, 5, "response", None) for i in ids]
+    assert got == sorted(want, key=repr)
+
+
 def test_urls(spark):
     from ledgerlens.llm.queries import RULES
 
@@ -252,6 +285,15 @@ def test_near_in_many_parts(docs, rows, monkeypatch):
     assert _got(ngram_join.join_ngrams(docs, group=20)) == sorted(brute.near(rows), key=repr)
 
 
+def test_near_names_that_meet(docs, rows):
+    """First names of 8 bits, which most sets share: the same components."""
+    want = sorted(brute.near(rows), key=repr)
+    for bits in (1, 8):
+        assert _got(ngram_join.join_ngrams(docs, bits=bits)) == want
+    _, names = ngram_join._classes(docs, "doc_id", "text", 8)
+    assert len(names.taken) > 5
+
+
 def test_near_chain(spark, monkeypatch):
     """A chain of sets, each linked with its neighbours alone, is one group; what is compared grows about as the chain does."""
     compared, plain = [], ngram_join._near
