@@ -32,7 +32,7 @@ WINDOW, BLOCK, BITS = 64, 2048, 63
 #: Probability that a pair at the threshold comes within a window in some pass, for directions drawn anew.
 RECALL = 0.97
 #: Vectors of a component that one task compares whole; rows of a block of a larger one.
-WHOLE = 2048
+WHOLE, CELL = 256, 2048
 #: Angles closer to a bound than this are not decided by the triangle inequality.
 SLACK = 1e-6
 
@@ -186,7 +186,7 @@ def _linked(members: DataFrame, width: int, threshold: float) -> DataFrame:
                                             F.count(F.lit(1)).alias("size")), "near-cores")
     sure = turned.where(core).join(inner, "root").select("node", (F.col("core") - F.col("copies")).alias("n"))
     # vectors outside the core against all: a block of the rim meets each block of the component; both sides learn of a link
-    blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / WHOLE)).cast("long")
+    blocks = lambda c: F.greatest(F.lit(1), F.ceil(F.col(c) / CELL)).cast("long")
     spread = lambda c, s: F.pmod(F.xxhash64("node", F.lit(s)), blocks(c))
     each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), blocks(c) - 1))
     both = turned.join(inner.where("rim > 0"), "root")

@@ -154,8 +154,9 @@ def test_near_vectors(spark, rows, monkeypatch):
     more += [(3000 + i, [1e-30 * (j + 1) for j in range(20)], 1) for i in range(5)] + [(3100, [1e30 * (j + 1) for j in range(20)], 1)]
     every = rows + more
     want = _linked(every, 0.95)
-    for whole in (2048, 20):  # the second way counts crowds by their cores
+    for whole, cell in ((2048, 2048), (20, 2048), (20, 30)):  # the other ways count crowds by their cores
         monkeypatch.setattr(embedding_dedup, "WHOLE", whole)
+        monkeypatch.setattr(embedding_dedup, "CELL", cell)
         out = embedding_dedup.near_vectors(_frame(spark, every))
         assert out.columns == ["vec_id", "n_links", "component_id", "kept"]
         got = [tuple(x) for x in out.collect()]
