@@ -33,15 +33,23 @@ def clean(df: DataFrame, spec: TableSpec, *, strict_iso: bool = True, out: str =
 def cleaning_stats(df: DataFrame, spec: TableSpec, *, strict_iso: bool = True) -> DataFrame:
     """One row: rows before, duplicates, then negative amounts, then unreadable timestamps removed, rows after.
 
-    One shuffle: rows are grouped by all columns, and the later steps are counted on the groups.
+    Rows are grouped by two 64-bit hashes, with what the later steps ask of them; only rows whose hashes meet are moved
+    and compared in full.
     """
-    g = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_c"))
-    bad = negative(spec)
-    lost = parse_iso(F.col(spec.timestamp), strict_iso).isNull()
+    hashes = _hashes(df, df.columns)
+    flags = {"_bad": negative(spec), "_lost": parse_iso(F.col(spec.timestamp), strict_iso).isNull()}
+    g = df.select(*[v.alias(k) for k, v in (hashes | flags).items()]).groupBy("_h1", "_h2").agg(
+        F.count(F.lit(1)).alias("_c"), F.first("_bad").alias("_bad"), F.first("_lost").alias("_lost"))
+    met = df.withColumns(hashes).join(g.where("_c > 1").select("_h1", "_h2"), ["_h1", "_h2"], "left_semi").groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_c"))
+    every = g.where("_c = 1").select("_c", "_bad", "_lost").unionByName(met.select("_c", *[v.alias(k) for k, v in flags.items()]))
     zero = F.lit(0).cast("long")
-    return g.agg(F.coalesce(F.sum("_c"), zero).alias("initial_rows"), F.coalesce(F.sum(F.col("_c") - 1), zero).alias("duplicate_rows_removed"),
-                 F.count_if(bad).alias("invalid_amount_rows"), F.count_if(~bad & lost).alias("invalid_timestamp_rows"),
-                 F.count_if(~bad & ~lost).alias("final_rows"))
+    return every.agg(F.coalesce(F.sum("_c"), zero).alias("initial_rows"), F.coalesce(F.sum(F.col("_c") - 1), zero).alias("duplicate_rows_removed"),
+                     F.count_if("_bad").alias("invalid_amount_rows"), F.count_if(~F.col("_bad") & F.col("_lost")).alias("invalid_timestamp_rows"),
+                     F.count_if(~F.col("_bad") & ~F.col("_lost")).alias("final_rows"))
+
+
+def _hashes(df: DataFrame, names: list[str]) -> dict[str, Column]:
+    return {"_h1": F.xxhash64(*[F.col(c) for c in names]), "_h2": F.xxhash64(F.lit(1), *[F.col(c) for c in reversed(names)])}
 
 
 def duplicate_count(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -52,7 +60,7 @@ def duplicate_count(df: DataFrame, keys: list[str] | None = None) -> DataFrame:
     names = keys or df.columns
     rows = df
     if len(names) > 2:
-        hashes = {"_h1": F.xxhash64(*[F.col(c) for c in names]), "_h2": F.xxhash64(F.lit(1), *[F.col(c) for c in reversed(names)])}
+        hashes = _hashes(df, names)
         met = df.select(*[v.alias(k) for k, v in hashes.items()]).groupBy("_h1", "_h2").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1")
         rows = df.withColumns(hashes).join(met, ["_h1", "_h2"], "left_semi")
     g = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_c"))

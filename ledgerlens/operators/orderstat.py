@@ -1,15 +1,18 @@
 """Order statistics without a single-task sort.
 
-The rank kernel counts equal values, cuts the value range into buckets by approximate quantiles, and adds the buckets'
-offsets to running sums inside each bucket. The bounds only balance the work: ranks are exact whatever they are.
+Single ranks (quantiles, edges of bins, cuts of samples) are selected by radix histograms, see select.py. Where every value
+gets its rank, the rank kernel counts equal values, cuts the value range into buckets by approximate quantiles, and adds the
+buckets' offsets to running sums inside each bucket. The bounds only balance the work: ranks are exact whatever they are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import hash52
+from .select import keyed, select_quantiles, select_ranks
 
 BUCKETS = 64
 
@@ -48,24 +51,57 @@ def ecdf(df: DataFrame, column: str, by: str | None = None, *, max_points: int |
 
 
 def quantiles(df: DataFrame, column: str, probabilities: list[float], by: str | None = None, *, approx: bool = False) -> DataFrame:
-    """([by], quantiles): exact quantiles with linear interpolation, one array a group; approximate ones on request."""
+    """([by], quantiles): exact quantiles with linear interpolation, one array a group; approximate ones on request.
+
+    Exact ones are selected when this is called, by a few passes over the column; of more than select.GROUPS groups by the
+    rank kernel. Null and NaN are left out; a group of nothing else has no row.
+    """
     name = [F.col("_g").alias(by)] if by else []
+    x = F.col(column).cast("double")
     if approx:
-        rows = df.select((F.col(by) if by else F.lit(0)).alias("_g"), F.col(column).cast("double").alias("_x")).where("_x is not null and not isnan(_x)")
+        rows = df.select((F.col(by) if by else F.lit(0)).alias("_g"), x.alias("_x")).where("_x is not null and not isnan(_x)")
         return rows.groupBy("_g").agg(F.percentile_approx("_x", F.array(*map(F.lit, probabilities))).alias("quantiles")).select(*name, "quantiles")
+    rows = keyed(df.select((F.col(by) if by else F.lit(0)).alias("_g"), x.alias("_x")))
+    found = select_quantiles(rows, probabilities)
+    if found is None:
+        return _ranked_quantiles(df, column, probabilities, by).select(*name, "quantiles")
+    schema = T.StructType([T.StructField("_g", rows.schema["_g"].dataType), T.StructField("quantiles", T.ArrayType(T.DoubleType()))])
+    return df.sparkSession.createDataFrame(list(found.items()), schema).select(*name, "quantiles")
+
+
+def _ranked_quantiles(df: DataFrame, column: str, probabilities: list[float], by: str | None) -> DataFrame:
     at = [(F.col("_total") - 1) * F.lit(float(p)) for p in probabilities]
     aggs = []
     for i, h in enumerate(at):
         aggs += [F.min(F.when(F.col("_upto") >= F.floor(h) + 1, F.col("_x"))).alias(f"lo{i}"),
                  F.min(F.when(F.col("_upto") >= F.ceil(h) + 1, F.col("_x"))).alias(f"hi{i}"), F.max(h - F.floor(h)).alias(f"f{i}")]
     r = ranked(df, column, by).groupBy("_g").agg(*aggs)
-    return r.select(*name, F.array(*[F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"f{i}") for i in range(len(at))]).alias("quantiles"))
+    return r.select("_g", F.array(*[F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * F.col(f"f{i}") for i in range(len(at))]).alias("quantiles"))
+
+
+def column_quantiles(df: DataFrame, columns: list[str], probabilities: list[float]) -> dict[str, list[float]]:
+    """Exact quantiles of several columns, all in the same passes; a column without values is left out."""
+    long = F.array(*[F.struct(F.lit(c).alias("_g"), F.col(c).cast("double").alias("_x")) for c in columns])
+    return select_quantiles(keyed(df.select(F.inline(long))), probabilities)
+
+
+def equal_frequency_edges(df: DataFrame, columns: list[str], q: int) -> dict[str, list[float]]:
+    """Of each column the distinct edges of q equal-frequency bins, in order; none without values."""
+    found = column_quantiles(df, columns, [i / q for i in range(q + 1)])
+    return {c: sorted(set(found.get(c, []))) for c in columns}
+
+
+def bin_of(x: Column, edges: list[float]) -> Column:
+    """Number from 0 of the right-closed bin, the lowest edge in the first; null for null, NaN, and where there are no two edges."""
+    if len(edges) < 2:
+        return F.lit(None).cast("int")
+    inner = F.array(*[F.lit(e) for e in edges[1:-1]]) if len(edges) > 2 else F.array().cast("array<double>")
+    return F.when(x.isNotNull() & ~F.isnan(x), F.size(F.filter(inner, lambda v: v < x)))
 
 
 def quantile_edges(df: DataFrame, column: str, q: int) -> DataFrame:
     """One row: the distinct edges of q equal-frequency bins, in order."""
-    e = quantiles(df, column, [i / q for i in range(q + 1)])
-    return e.agg(F.coalesce(F.array_sort(F.array_distinct(F.first("quantiles"))), F.array().cast("array<double>")).alias("edges"))
+    return df.sparkSession.createDataFrame([(equal_frequency_edges(df, [column], q)[column],)], "edges array<double>")
 
 
 def quantile_bin(df: DataFrame, column: str, q: int, out: str) -> DataFrame:
@@ -74,11 +110,7 @@ def quantile_bin(df: DataFrame, column: str, q: int, out: str) -> DataFrame:
     Bins are right-closed on interpolated edges, the lowest edge is in the first bin, equal edges are one; null stays
     null, and so does everything if the column is constant.
     """
-    e = quantile_edges(df, column, q).withColumnRenamed("edges", f"_{out}_edges")
-    edges, x = F.col(f"_{out}_edges"), F.col(column).cast("double")
-    inner = F.slice(edges, F.lit(2), F.greatest(F.size(edges) - 2, F.lit(0)))
-    bin_ = F.when((F.size(edges) > 1) & x.isNotNull() & ~F.isnan(x), F.size(F.filter(inner, lambda v: v < x)))
-    return df.crossJoin(F.broadcast(e)).withColumn(out, bin_).drop(f"_{out}_edges")  # one row of q + 1 numbers
+    return df.withColumn(out, bin_of(F.col(column).cast("double"), equal_frequency_edges(df, [column], q)[column]))
 
 
 def histogram(df: DataFrame, column: str, bins: int = 80) -> DataFrame:
@@ -101,20 +133,21 @@ def top_k(df: DataFrame, order: list, k: int) -> DataFrame:
 def sample_n(df: DataFrame, n: int, seed: int, id_col: str, *, by: str | None = None, clamp: bool = False) -> DataFrame:
     """Exactly n rows (of each group), those with the least hash of seed and id: the same rows for any partitioning.
 
-    Too few rows raise unless clamp. The cut is found by the rank kernel on the hash, so no task sorts a whole group;
+    Too few rows raise unless clamp. The cut is selected on the hash, so no task sorts a whole group and no row moves;
     rows that tie at the cut are taken by id.
     """
-    keyed = df.withColumn("_h", hash52(seed, F.col(id_col)).cast("double"))
-    r = ranked(keyed, "_h", by)
-    cut = r.where(F.col("_upto") >= F.least(F.lit(n), F.col("_total"))).groupBy("_g").agg(
-        F.min_by(F.struct("_x", (F.col("_upto") - F.col("_n")).alias("below")), "_x").alias("_c"), F.max("_total").alias("_t"))
-    cut = cut.select(F.col("_g").alias("_cg"), F.col("_c._x").alias("_cut"), F.col("_c.below").alias("_below"), "_t")
-    if not clamp:
-        short = cut.where(F.col("_t") < n).isEmpty() and not (by is None and n > 0 and cut.isEmpty())
-        if not short:
-            raise ValueError(f"fewer than {n} rows")
+    h = hash52(seed, F.col(id_col))
     g = F.col(by) if by else F.lit(0)
-    j = keyed.join(cut, g.eqNullSafe(F.col("_cg")))
+    rows = df.select(g.alias("_g"), h.alias("_k"))
+    got = select_ranks(rows, lambda total: [min(n, total) - 1])
+    if got is None:
+        raise ValueError("too many groups to sample each of them")
+    if not clamp and n > 0 and (any(total < n for total in got.total.values()) or not (got.total or by)):
+        raise ValueError(f"fewer than {n} rows")
+    cuts = [(group, *got.at[group][min(n, total) - 1][:2]) for group, total in got.total.items() if n > 0]
+    schema = T.StructType([T.StructField("_cg", rows.schema["_g"].dataType), T.StructField("_cut", T.LongType()), T.StructField("_below", T.LongType())])
+    cut = df.sparkSession.createDataFrame(cuts, schema)
+    j = df.withColumn("_h", h).join(F.broadcast(cut), g.eqNullSafe(F.col("_cg")))  # a row a group
     sure = j.where(F.col("_h") < F.col("_cut"))
     tie = Window.partitionBy("_cg").orderBy(F.col(id_col))  # rows of one hash value
     edge = j.where(F.col("_h") == F.col("_cut")).withColumn("_r", F.row_number().over(tie)).where(F.col("_r") <= n - F.col("_below")).drop("_r")

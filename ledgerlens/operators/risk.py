@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import one, percent, rate, week_start, wilson
 from ..spec import TableSpec
-from .orderstat import quantile_bin
+from .orderstat import bin_of, equal_frequency_edges, quantile_bin
 from .profile import unpivot_categories
 
 
@@ -47,8 +47,9 @@ def rate_surface(df: DataFrame, spec: TableSpec, row: Column, col: Column, names
 
 def bin_surface(df: DataFrame, spec: TableSpec, row: str, col: str, q: int = 10) -> DataFrame:
     """rate_surface over the equal-frequency bins of two columns."""
-    both = quantile_bin(quantile_bin(df, row, q, "_row"), col, q, "_col")
-    return rate_surface(both, spec, F.col("_row"), F.col("_col"), (f"{row}_bin", f"{col}_bin"))
+    edges = equal_frequency_edges(df, [row, col], q)
+    at = [bin_of(F.col(c).cast("double"), edges[c]) for c in (row, col)]
+    return rate_surface(df, spec, *at, (f"{row}_bin", f"{col}_bin"))
 
 
 def weekly_stability(df: DataFrame, spec: TableSpec, window: int = 4) -> DataFrame:

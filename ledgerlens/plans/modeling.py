@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import hash52, one, percent, rate
-from ..operators.orderstat import quantile_edges, quantiles
+from ..operators.orderstat import bin_of, equal_frequency_edges
+from ..operators.select import select_quantiles
 from ..spec import TableSpec
 
 
@@ -38,12 +39,11 @@ def time_split(df: DataFrame, spec: TableSpec, shares: tuple[float, float] = (0.
     """
     us = F.unix_micros(F.col(spec.timestamp).cast("timestamp"))
     if cuts:
-        limits = df.sparkSession.range(1).select(*[F.unix_micros(F.lit(c).cast("timestamp")).cast("double").alias(n) for c, n in zip(cuts, ("_a", "_b"), strict=True)])
+        a, b = (F.unix_micros(F.lit(c).cast("timestamp")) for c in cuts)
     else:
-        q = quantiles(df.select(us.alias("_u")), "_u", [shares[0], shares[0] + shares[1]])
-        limits = q.select(F.get("quantiles", F.lit(0)).alias("_a"), F.get("quantiles", F.lit(1)).alias("_b"))
-    split = F.when(us.isNull(), None).when(us <= F.col("_a"), "train").when(us <= F.col("_b"), "validation").otherwise("test")
-    return df.crossJoin(F.broadcast(limits)).withColumn(out, split).drop("_a", "_b")  # one row
+        found = select_quantiles(df.select(F.lit(0).alias("_g"), us.alias("_k")).where("_k is not null"), [shares[0], shares[0] + shares[1]], float)
+        a, b = (F.lit(x).cast("double") for x in found.get(0, (None, None)))
+    return df.withColumn(out, F.when(us.isNull(), None).when(us <= a, "train").when(us <= b, "validation").otherwise("test"))
 
 
 def preparation(spec: TableSpec, *, select: int | None = None) -> Pipeline:
@@ -149,14 +149,13 @@ def best_threshold(costs: DataFrame) -> DataFrame:
 
 def drift(reference: DataFrame, current: DataFrame, columns: list[str], q: int = 10) -> DataFrame:
     """(column, psi, ecdf_gap): population stability index over the reference's bins, and the largest gap of the distributions at their edges."""
-    out = None
+    edges, out = equal_frequency_edges(reference, columns, q), None
     for c in columns:
-        e = quantile_edges(reference, c, q)
 
-        def shares(df: DataFrame, name: str, c=c, e=e) -> DataFrame:
+        def shares(df: DataFrame, name: str, c=c) -> DataFrame:
             x = F.col(c).cast("double")
-            inner = F.slice(F.col("edges"), F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0)))
-            b = df.where(x.isNotNull() & ~F.isnan(x)).crossJoin(F.broadcast(e)).groupBy(F.size(F.filter(inner, lambda v: v < x)).alias("bin")).agg(F.count(F.lit(1)).alias("_n"))  # one row of edges
+            known = df.where(x.isNotNull() & ~F.isnan(x))
+            b = known.groupBy(F.coalesce(bin_of(x, edges[c]), F.lit(0)).alias("bin")).agg(F.count(F.lit(1)).alias("_n"))
             return b.select("bin", (F.col("_n") / F.sum("_n").over(Window.partitionBy())).alias(name))
 
         j = shares(reference, "r").join(shares(current, "c"), "bin", "full").select("bin", *[F.coalesce(k, F.lit(0.0)).alias(k) for k in ("r", "c")])

@@ -13,13 +13,16 @@ from ..operators import clean as C
 from ..operators import orderstat as O
 from ..operators import profile as P
 from ..operators import risk as R
+from ..operators.asof import retrieve_as_of
 from ..operators.schema import schema_differences, schema_profile
-from ..sources.io import read_transactions, verify_gold, work_dir, write_gold
+from ..sources.io import read_transactions, verify, work_dir, write_gold
+from ..sources.snapshots import Conflict, history, open_snapshot, publish
 from ..spec import GOLD, GOLD_SCHEMA, RAW, RAW_SCHEMA, TableSpec
 from . import fixtures as X
 from . import modeling as M
 from . import report
 from .pipeline import run_cleaning, to_gold, with_event_time
+from .scorecard import learn_scorecard, model_table, score_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -110,22 +113,46 @@ def published_gold(spark, sf):
     return done.gold.withColumn("event_timestamp", F.date_format("event_timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
-@_add("gold_csv", _GOLD_SQL)
+_ODD = """case when cast(substr(transaction_id, 2) as bigint) % 10 = 0 then concat('x "y", z ', device_used) when cast(substr(transaction_id, 2) as bigint) % 10 = 1 then concat(device_used, chr(10), 'two lines')
+ when cast(substr(transaction_id, 2) as bigint) % 10 = 2 then concat(device_used, chr(92)) else device_used end"""
+
+
+@_add("gold_csv", f", {_ODD.replace('device_used', 'k.device_used')} as device_used,".join(_GOLD_SQL.rsplit(", device_used,", 1)))
 def gold_csv(spark, sf):
-    """The gold table written as CSV and read again with its types."""
-    back = read_transactions(spark, write_gold(to_gold(X.dirty(spark, sf)), work_dir(spark, "gold-csv"), fmt="csv"), GOLD_SCHEMA)
+    """The gold table, with quotes, separators, line breaks and backslashes in a field, written as CSV and read again with its types."""
+    gold = to_gold(X.dirty(spark, sf)).withColumn("device_used", F.expr(_ODD.replace("chr(92)", "char(92)")))
+    back = read_transactions(spark, write_gold(gold, work_dir(spark, "gold-csv"), fmt="csv"), GOLD_SCHEMA)
     return back.withColumn("event_timestamp", F.date_format("event_timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
-@_add("published_checks", f"""with {_CLEANED}, x as (select count(*)::double as n, sum(is_fraud::int)::double as p, """ + " + ".join(f"(count(*) - count({c}))" for c in RAW.gold) + """ as m from k)
- select unnest(['rows', 'columns', 'missing_values_total', 'positive_rows']) as "check", unnest([n, 13.0::double, m::double, p]) as expected, unnest([n, 13.0::double, m::double, p]) as actual, unnest([true, true, true, true]) as ok from x""")
+@_add("published_checks", f"""with {_CLEANED}, x as (select count(*)::double as n, sum(is_fraud::int)::double as p, """ + " + ".join(f"(count(*) - count({c}))" for c in RAW.gold) + """ as m from k),
+ c as (select 'run' as version, unnest(['rows', 'columns', 'missing_values_total', 'positive_rows']) as "check", unnest([n, 13.0::double, m::double, p]) as expected, unnest([n, 13.0::double, m::double, p]) as actual from x
+  union all select 'cut short', unnest(['rows', 'columns', 'positive_rows']), unnest([n, 13.0::double, p]), unnest([(select count(*) filter (amount > 50)::double from k), 13.0::double, (select count(*) filter (amount > 50 and is_fraud)::double from k)]) from x)
+ select version, "check", expected, actual, expected = actual as ok from c""")
 def published_checks(spark, sf):
-    """A table that replaces an older one, verified against counts of what was to be written."""
-    gold, path = to_gold(X.dirty(spark, sf)), work_dir(spark, "gold")
-    write_gold(gold.limit(0), path)
-    write_gold(gold, path)
-    n = gold.agg(F.count(F.lit(1)).alias("rows"), F.sum("is_fraud").alias("positive_rows"), sum(F.count_if(F.col(c).isNull()) for c in gold.columns).alias("missing_values_total")).first()
-    return verify_gold(spark, path, {"rows": n["rows"], "columns": len(gold.columns), "missing_values_total": n["missing_values_total"], "positive_rows": n["positive_rows"]}, "is_fraud")
+    """What a run observed while writing held against what is published; and against a version that lost rows, which the checks must tell."""
+    path = work_dir(spark, "gold")
+    done = run_cleaning(spark, _raw_csv(spark, sf), path, work_dir(spark, "report"))
+    facts = done.snapshot.facts
+    publish(done.gold.where("amount > 50"), path, base=done.snapshot.version)
+    short = verify(open_snapshot(spark, path), {k: facts[k] for k in ("rows", "columns", "positive_rows")}, "is_fraud")
+    return done.checks.select(F.lit("run").alias("version"), "*").unionByName(short.select(F.lit("cut short").alias("version"), "*"))
+
+
+@_add("snapshot_history", f"""with {_CLEANED} select unnest([1, 2, 3])::bigint as version, unnest([0, (select count(*) from k), (select count(*) from k where amount > 50)])::bigint as rows, unnest([0.0::double, (select count(*)::double from k), -1.0::double]) as fact""")
+def snapshot_history(spark, sf):
+    """Three versions of a table, one writer that comes too late, and the rows that each version still shows."""
+    path, gold = work_dir(spark, "gold"), to_gold(X.dirty(spark, sf))
+    publish(gold.limit(0), path, base=0, facts={"rows": 0})
+    second = publish(gold, path, base=1, facts={"rows": gold.count()})
+    old = open_snapshot(spark, path)
+    try:
+        publish(gold.limit(1), path, base=1)
+    except Conflict:
+        publish(old.where("amount > 50"), path, base=second.version)
+    rows = [open_snapshot(spark, path, v).agg(F.lit(v).cast("long").alias("version"), F.count(F.lit(1)).alias("rows")) for v in (1, 2, 3)]
+    facts = history(spark, path).select("version", F.coalesce(F.try_element_at("facts", F.lit("rows")), F.lit(-1.0)).alias("fact"))
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).join(facts, "version")
 
 
 @_add("csv_preview", f"with {X.DIRTY_CTE} select least(5, count(*)) as rows, 18 as columns, 18 as text_columns from dirty")
@@ -435,52 +462,50 @@ def series_hours(spark, sf):
  union all select 'kind', k, unnest(['row_count', 'positive_rate']), unnest([n::double, r]) from t
  union all select 'numeric', feature, unnest(['mean', 'std', 'min', 'p50', 'max']), unnest([mean, std, min, p50, max]) from q
  union all select 'decision', 'missing kept: time_since_last_transaction', 'rows', (select count(*) - count(time_since_last_transaction) from k)::double
- union all select 'decision', unnest(['identifiers dropped: device_hash, ip_address, receiver_account, sender_account', 'label-derived dropped: fraud_type', 'features added']), 'columns', unnest([4.0::double, 1.0::double, 0.0::double])
- union all select 'decision', 'postponed: ' || unnest([""" + ", ".join(f"'{x}'" for x in report.POSTPONED) + """]), 'applied', 0.0::double)
+ union all select 'decision', unnest(['identifiers dropped: device_hash, ip_address, receiver_account, sender_account', 'label-derived dropped: fraud_type', 'columns added: event_timestamp']), 'columns', unnest([4.0::double, 1.0::double, 1.0::double]))
  select section, item, metric, round(value, 6) as value from x""")
 def quality_report(spark, sf):
     dirty = X.dirty(spark, sf)
     return _rounded(report.quality_report(dirty, to_gold(dirty), RAW), "value")
 
 
-_FACTS = """select count(*) as n, avg(is_fraud::int) * 100 as pos, avg((time_since_last_transaction is null)::int) * 100 as miss, avg(amount) as mean, median(amount) as med,
- coalesce(avg(is_fraud::int) filter (time_since_last_transaction is null) * 100, 0) as bias"""
+_EVIDENCE = """avg(is_fraud::int) * 100 as pos, avg((time_since_last_transaction is null)::int) * 100 as gap, avg(is_fraud::int) filter (time_since_last_transaction is null) * 100 as gp,
+ avg(is_fraud::int) filter (time_since_last_transaction is not null) * 100 as gn, avg(amount) as mean, median(amount) as med"""
+_TOPICS = {("size", "rows"): "n", ("label", "positive_percent"): "pos", ("gaps", "percent"): "gap", ("gaps", "positive_percent"): "gp", ("gaps", "observed_positive_percent"): "gn",
+           ("amount", "mean"): "mean", ("amount", "median"): "med", ("amount", "mean_to_median"): "mean / med", ("gaps", "positive_difference"): "abs(gp - gn)"}
+_RANGES = ORACLES["metric_ranges"].replace("round((max(r) - min(r)) / (select avg(is_fraud::int) from raw), 6)", "(max(r) - min(r)) / (select avg(is_fraud::int) from raw)").replace("round(max(r) - min(r), 6)", "max(r) - min(r)")
 
 
-def _said(column: str, rows: dict[str, str], source: str) -> str:
-    """Union of one row a sentence: name, printf of its numbers."""
-    return " union all ".join(f"select '{k}' as {column}, {v} as evidence from {source}" for k, v in rows.items())
+def _shown(topics: dict, columns: int, source: str) -> str:
+    every = {**topics, ("size", "columns"): str(columns)}
+    return " union all ".join(f"select '{t}' as topic, '{m}' as metric, ({v})::double as value from {source}" for (t, m), v in every.items())
 
 
-_SAID = {
-    "size": "printf('%d rows and %d columns', n, 19)", "class imbalance": "printf('%.4f%% of the rows are positive', pos)",
-    "missingness": "printf('%.2f%% of %s is missing, with %.4f%% positive rows', miss, 'time_since_last_transaction', bias)",
-    "amount": "printf('mean %.2f, median %.2f, lift range %.4f', mean, med, (select value from rng where metric = 'amount_lift_range'))",
-    "categories": "printf('rates range over %.4f percentage points', (select value from rng where metric = 'category_rate_range') * 100)",
-    "time": "printf('the rolling weekly rate ranges over %.4f percentage points', (select value from rng where metric = 'weekly_rate_range'))",
-    "correlation": "(select printf('strongest with the target: %s (%.6f)', a, r) from top)",
-}
-_RANGES = ORACLES["metric_ranges"].replace("round((max(r) - min(r)) / (select avg(is_fraud::int) from raw), 6)", "(max(r) - min(r)) / (select avg(is_fraud::int) from raw)").replace("round(max(r) - min(r), 6)", "max(r) - min(r)")
+_FINDINGS = f"""with {X.RAW_CTE}, rng as ({_RANGES}), top as (with {_corr_sql().removeprefix("with ")} select a, r from m where b = 'is_fraud' and a <> 'is_fraud' order by abs(m.r) desc, a limit 1),
+ f as (select count(*) as n, {_EVIDENCE} from raw), x as ({_shown(_TOPICS, 19, "f")} union all select 'risk', metric, value from rng union all select 'correlation', 'strongest ' || a, r from top)"""
 
 
-@_add("findings", f"""with {X.RAW_CTE}, rng as ({_RANGES}), top as (with {_corr_sql().removeprefix("with ")} select a, r from m where b = 'is_fraud' and a <> 'is_fraud' order by abs(m.r) desc, a limit 1),
- f as ({_FACTS} from raw), s as ({_said("topic", _SAID, "f")}), i as (""" + " union all ".join(f"select '{k}' as topic, '{v}' as implication" for k, v in report.IMPLICATIONS.items()) + """)
- select topic, evidence, implication from s join i using (topic)""")
+@_add("findings", _FINDINGS + " select topic, metric, round(value, 6) as value from x")
 def findings(spark, sf):
-    return report.findings(_ev(spark, sf), TIMED)
+    return _rounded(report.findings(_ev(spark, sf), TIMED), "value")
 
 
-@_add("observations", f"""with {X.DIRTY_CTE}, f as ({_FACTS}, count(*) filter (try_cast(timestamp as timestamp) is null) as times, count(*) filter (amount < 0) as neg, count(*) filter (amount = 0) as zero,
+_OBSERVED = f"""with {X.DIRTY_CTE}, f as (select count(*) as n, {_EVIDENCE}, count(*) filter (try_cast(timestamp as timestamp) is null) as times, count(*) filter (amount < 0) as neg, count(*) filter (amount = 0) as zero,
  count(*) filter (time_since_last_transaction is null and is_fraud) as mp, count(*) filter (fraud_type is not null and not is_fraud) as told,
- count(*) - (select count(*) from (select distinct * from dirty)) as same, count(*) - count(distinct transaction_id) as ids,
- least(""" + ", ".join(f"count(distinct {c})" for c in RAW.identifiers) + """) as least_ids from dirty)
- select unnest([printf('%d timestamps cannot be read', times), printf('%d exact duplicates, %d repeated ids, %d negative and %d zero amounts', same, ids, neg, zero), printf('the amount has mean %.2f and median %.2f', mean, med),
-  printf('%.2f%% of time_since_last_transaction is missing, %d of it on positive rows', miss, mp), printf('fraud_type is present on %d negative rows', told), printf('each identifier has %d values or more', least_ids),
-  'timestamps hold an hour and a weekday']) as observation, unnest(['parse with one explicit ISO-8601 parser and drop only what it cannot read', 'remove only what is there and keep the checks',
-  'keep it plain in the baseline and test its logarithm apart', 'keep it missing until training rows can be imputed, and test a flag apart', 'leave it out of every feature set if that is none',
-  'leave identifiers out of the first baseline', 'test time features once the plain baseline is recorded']) as action from f""")
+ count(*) - (select count(*) from (select distinct * from dirty)) as same, count(transaction_id) - count(distinct transaction_id) as ids, {", ".join(f"count(distinct {c}) as u_{c}" for c in RAW.identifiers)} from dirty), x as (""" + _shown(
+    {**_TOPICS, ("times", "unreadable"): "times", ("amount", "negative"): "neg", ("amount", "zero"): "zero", ("gaps", "on_positive"): "mp", ("leak", "fraud_type on negative"): "told", ("repeats", "rows"): "same",
+     ("repeats", "ids"): "ids", **{("identifiers", f"values of {c}"): f"u_{c}" for c in RAW.identifiers}}, 18, "f") + ")"
+
+
+@_add("observations", _OBSERVED + " select topic, metric, round(value, 6) as value from x")
 def observations(spark, sf):
-    return report.observations(X.dirty(spark, sf), RAW)
+    return _rounded(report.observations(X.dirty(spark, sf), RAW), "value")
+
+
+@_add("advice", _OBSERVED + ", rules(metric, op, bound, action) as (values " + ", ".join(f"('{m}', '{o}', {b}, '{a}')" for m, o, b, a in report.ADVICE) + """)
+ select topic || '.' || x.metric as metric, round(value, 6) as value, action from x join rules r on r.metric = topic || '.' || x.metric where case when op = '>' then value > bound else value < bound end""")
+def advice(spark, sf):
+    return _rounded(report.advice(X.dirty(spark, sf), RAW, raw=True), "value")
 
 
 _HASH = "('0x' || substr(md5('42:' || transaction_id), 1, 13))::bigint"
@@ -488,8 +513,20 @@ _HASH = "('0x' || substr(md5('42:' || transaction_id), 1, 13))::bigint"
 
 @_add("sample_n", f"with {X.RAW_CTE} select * from raw qualify row_number() over (order by {_HASH}, transaction_id) <= 2500")
 def sample_n(spark, sf):
+    return O.sample_n(X.raw(spark, sf), 2500, 42, "transaction_id", clamp=True)
+
+
+@_add("sample_guard", f"with {X.RAW_CTE} select 'enough' as asked, 100::bigint as rows, '' as error union all select 'too many', 0, 'ValueError'")
+def sample_guard(spark, sf):
+    """A sample of exactly n rows where there are as many, and the error where there are not."""
     raw = X.raw(spark, sf)
-    return O.sample_n(raw, 2500, 42, "transaction_id", clamp=True)
+    out = O.sample_n(raw, 100, 42, "transaction_id").agg(F.lit("enough").alias("asked"), F.count(F.lit(1)).alias("rows"), F.lit("").alias("error"))
+    try:
+        O.sample_n(raw, raw.count() + 1, 42, "transaction_id")
+        error = ""
+    except ValueError as e:
+        error = type(e).__name__
+    return out.unionByName(spark.range(1).select(F.lit("too many").alias("asked"), F.lit(0).cast("long").alias("rows"), F.lit(error).alias("error")))
 
 
 @_add("sample_by_class", f"with {X.RAW_CTE} select * from raw qualify row_number() over (partition by is_fraud order by {_HASH}, transaction_id) <= 300")
@@ -611,12 +648,47 @@ def oversample(spark, sf):
     return M.oversample(X.raw(spark, sf), RAW, 0.2)
 
 
-@_add("model_scores")
+_WEIGHTS = {"amount": 0.2, "time_since_last_transaction": 0.15, "spending_deviation_score": -0.05, "velocity_score": 0.1, "geo_anomaly_score": 0.3}
+
+
+def _scorecard_sql() -> str:
+    nums, cats = list(_WEIGHTS), RAW.categoricals
+    return f"""with {_CLEANED}, {_SPLIT.replace("from ev)", "from k)")}, t as (select u.* from u, q where us <= a), s as (select u.* from u, q where us > b), f as (select {", ".join(f"median({c})::double as {c}" for c in nums)} from t),
+ m as (select {", ".join(f"avg(coalesce(t.{c}, f.{c})) as m{i}, stddev_samp(coalesce(t.{c}, f.{c})) as s{i}" for i, c in enumerate(nums))}, ln((sum(is_fraud::int) + 0.5) / (count(*) - sum(is_fraud::int) + 0.5)) as o from t, f),
+ w as (select feature, category, ln((sum(y) + 0.5) / (count(*) - sum(y) + 0.5)) - any_value(o) as w from ({_each("t", cats, "'{c}' as feature, {c} as category, is_fraud::int as y")}), m where category is not null group by 1, 2)
+ select transaction_id, s.amount, s.is_fraud::tinyint as is_fraud, round(1 / (1 + exp(-(o + {" + ".join(f"(coalesce(s.{c}, f.{c}) - m{i}) / s{i} * {w}" for i, (c, w) in enumerate(_WEIGHTS.items()))}
+ + {" + ".join(f"coalesce(w{i}.w, 0)" for i in range(len(cats)))}))), 9) as score from s, f, m """ + " ".join(f"left join w w{i} on w{i}.feature = '{c}' and w{i}.category = s.{c}" for i, c in enumerate(cats)).replace("from s, f, m left", "from s, f, m left")
+
+
+@_add("model_scores", _scorecard_sql().replace("from s, f, m left", "from s cross join f cross join m left"))
 def model_scores(spark, sf):
-    gold = to_gold(X.dirty(spark, sf))
-    split = M.time_split(gold, GOLD)
+    """A scorecard learned from the earlier rows as a table, and the later rows scored by joins with it."""
+    split = M.time_split(to_gold(X.dirty(spark, sf)), GOLD)
+    card = learn_scorecard(split.where("split = 'train'"), GOLD, _WEIGHTS)
+    return _rounded(score_table(split.where("split = 'test'"), GOLD, card), "score", digits=9)
+
+
+@_add("fitted_scores")
+def fitted_scores(spark, sf):
+    """A logistic regression fitted on the earlier rows, the later rows scored by its table."""
+    split = M.time_split(to_gold(X.dirty(spark, sf)), GOLD)
     model = M.fit(split.where("split = 'train'"), GOLD)
-    return M.score(model, split.where("split = 'test'"), GOLD)
+    return score_table(split.where("split = 'test'"), GOLD, model_table(spark, model, GOLD))
+
+
+_BEFORE = "select sender_account, event_timestamp as seen_at, max_by(amount, transaction_id) as last_amount, max_by(merchant_category, transaction_id) as last_category"
+
+
+@_add("asof_features", f"""with {X.RAW_CTE}, x as ({_BEFORE.replace("max_by(merchant_category, transaction_id)", "arg_max_null(merchant_category, transaction_id)").replace("max_by(amount, transaction_id)", "arg_max_null(amount, transaction_id)")} from ev where transaction_type = (select min(transaction_type) from raw) group by 1, 2)
+ select transaction_id, ev.sender_account, last_amount, last_category, strftime(seen_at, '%Y-%m-%d %H:%M:%S.%f') as seen_at from ev asof left join x on ev.sender_account = x.sender_account and ev.event_timestamp >= x.seen_at""")
+def asof_features(spark, sf):
+    """Each transaction with the amount and category of its sender's latest one of the first type, at or before its time."""
+    ev = _ev(spark, sf)
+    first = ev.agg(F.min("transaction_type").alias("_type"))
+    seen = ev.join(F.broadcast(first), F.col("transaction_type") == F.col("_type")).select(  # one row
+        "sender_account", "transaction_id", F.col("event_timestamp").alias("seen_at"), F.col("amount").alias("last_amount"), F.col("merchant_category").alias("last_category"))
+    out = retrieve_as_of(ev.select("transaction_id", "sender_account", "event_timestamp"), seen, "sender_account", "event_timestamp", ["last_amount", "last_category"], feature_time="seen_at", tie="transaction_id")
+    return out.drop("event_timestamp").withColumn("seen_at", F.date_format("seen_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
 @_add("quality_gate", f"""with {X.RAW_CTE} select avg((merchant_category is null)::int) * 100 <= 50 and avg((time_since_last_transaction is null)::int) * 100 <= 10 as passed,

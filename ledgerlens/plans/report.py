@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import label, parse_iso, weekday
@@ -10,7 +12,9 @@ from ..operators import clean as C
 from ..operators import orderstat as O
 from ..operators import profile as P
 from ..operators import risk as R
+from ..operators.observe import CleanCounts, RawCounts
 from ..spec import TableSpec
+from .modeling import flags
 
 
 def _section(df: DataFrame, section: str, item: Column, metrics: list[str]) -> DataFrame:
@@ -18,101 +22,115 @@ def _section(df: DataFrame, section: str, item: Column, metrics: list[str]) -> D
                      F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])))
 
 
-def quality_report(raw: DataFrame, gold: DataFrame, spec: TableSpec) -> DataFrame:
-    """(section, item, metric, value) of a cleaning run: rows, removals, missing values, classes, top kinds, numeric summary."""
-    after = gold.agg(F.count(F.lit(1)).alias("rows_after"), F.coalesce(F.sum(F.col(spec.target).cast("long")), F.lit(0)).alias("positive_after"))
+def _counted(spark: SparkSession, raw: RawCounts, after: CleanCounts, spec: TableSpec) -> list[DataFrame]:
+    """The sections that observed counts hold in full: a few rows each."""
+    first = raw.rows - after.distinct_rows
+    rows = [("cleaning", "rows", m, v) for m, v in (("initial_rows", raw.rows), ("duplicate_rows_removed", first), ("invalid_amount_rows", after.negative_amounts),
+                                                    ("invalid_timestamp_rows", after.unreadable_times), ("final_rows", after.final_rows))]
+    rows += [("gold", "rows", "rows_after", after.final_rows), ("gold", "rows", "positive_after", after.positive_rows)]
+    for c, n in raw.missing.items():
+        if n:
+            rows += [("missing", c, "missing_count", n), ("missing", c, "missing_percent", n / raw.rows * 100)]
+    for y, n in raw.classes.items():
+        rows += [("target", None if y is None else str(y), "row_count", n), ("target", None if y is None else str(y), "percentage", n / raw.rows * 100)]
+    rows.append(("decision", f"missing kept: {spec.incomplete}", "rows", after.missing[spec.incomplete]))
+    return [spark.createDataFrame([(a, b, c, float(d)) for a, b, c, d in rows], "section string, item string, metric string, value double")]
+
+
+def quality_report(raw: DataFrame, gold: DataFrame, spec: TableSpec, *, counts: tuple[RawCounts, CleanCounts] | None = None) -> DataFrame:
+    """(section, item, metric, value) of a cleaning run: rows, removals, missing values, classes, top kinds, numeric summary, decisions.
+
+    With counts observed while the tables were written only the kinds and the numeric summary read a table.
+    """
+    if counts:
+        parts = _counted(raw.sparkSession, *counts, spec)
+    else:
+        after = gold.agg(F.count(F.lit(1)).alias("rows_after"), F.coalesce(F.sum(F.col(spec.target).cast("long")), F.lit(0)).alias("positive_after"),
+                         F.count_if(F.col(spec.incomplete).isNull()).alias("rows"))
+        parts = [
+            _section(C.cleaning_stats(raw, spec), "cleaning", F.lit("rows"), ["initial_rows", "duplicate_rows_removed", "invalid_amount_rows", "invalid_timestamp_rows", "final_rows"]),
+            _section(after, "gold", F.lit("rows"), ["rows_after", "positive_after"]),
+            _section(after, "decision", F.lit(f"missing kept: {spec.incomplete}"), ["rows"]),
+            _section(P.missing_summary(raw).where("missing_count > 0"), "missing", F.col("column"), ["missing_count", "missing_percent"]),
+            _section(P.class_distribution(raw, spec), "target", F.col(spec.target), ["row_count", "percentage"]),
+        ]
     top = O.top_k(P.type_summary(raw, spec, spec.kind), [F.desc("positive_rate"), F.desc("row_count"), spec.kind], 10)
-    parts = [
-        _section(C.cleaning_stats(raw, spec), "cleaning", F.lit("rows"), ["initial_rows", "duplicate_rows_removed", "invalid_amount_rows", "invalid_timestamp_rows", "final_rows"]),
-        _section(after, "gold", F.lit("rows"), ["rows_after", "positive_after"]),
-        _section(P.missing_summary(raw).where("missing_count > 0"), "missing", F.col("column"), ["missing_count", "missing_percent"]),
-        _section(P.class_distribution(raw, spec), "target", F.col(spec.target), ["row_count", "percentage"]),
-        _section(top, "kind", F.col(spec.kind), ["row_count", "positive_rate"]),
-        _section(P.describe(raw, list(spec.numerics), [0.5]), "numeric", F.col("feature"), ["mean", "std", "min", "p50", "max"]),
-        _decisions(raw, gold, spec),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    parts += [_section(top, "kind", F.col(spec.kind), ["row_count", "positive_rate"]),
+              _section(P.describe(raw, list(spec.numerics), [0.5]), "numeric", F.col("feature"), ["mean", "std", "min", "p50", "max"]), _decisions(raw, gold, spec)]
+    return reduce(DataFrame.unionByName, parts)
 
 
-#: Steps that are learned from data or change it, and so wait until training rows are split off.
-POSTPONED = ("imputation", "scaling", "category encoding", "resampling", "log amount", "time features", "missing flags", "feature selection", "threshold choice")
+def _decisions(raw: DataFrame, gold: DataFrame, spec: TableSpec) -> DataFrame:
+    """Columns that cleaning left out, by their role, and those it added beside the parsed time; read from the tables' columns."""
+    gone = [c for c in raw.columns if c not in gold.columns]
+    role = {"identifiers dropped": [c for c in gone if c in spec.identifiers], "label-derived dropped": [c for c in gone if c in spec.suspects],
+            "columns added": [c for c in gold.columns if c not in raw.columns]}
+    rows = [("decision", ": ".join([k, ", ".join(sorted(names))]) if names else k, "columns", float(len(names))) for k, names in role.items()]
+    return raw.sparkSession.createDataFrame(rows, "section string, item string, metric string, value double")
+
+
+def _evidence(df: DataFrame, spec: TableSpec, more: dict[str, Column]) -> dict[tuple[str, str], float]:
+    """(topic, metric) -> value of what one aggregate and one selection of the median say."""
+    y, gap = F.col(spec.target).cast("int"), F.col(spec.incomplete).isNull()
+    metrics = {
+        "size.rows": F.count(F.lit(1)), "label.positive_percent": F.avg(y) * 100, "gaps.percent": F.avg(gap.cast("int")) * 100,
+        "gaps.positive_percent": F.avg(F.when(gap, y)) * 100, "gaps.observed_positive_percent": F.avg(F.when(~gap, y)) * 100, "amount.mean": F.avg(spec.amount), **more,
+    }
+    row = df.agg(*[v.cast("double").alias(f"_{i}") for i, v in enumerate(metrics.values())]).first()  # one row of numbers
+    out = {tuple(k.split(".", 1)): v for k, v in zip(metrics, row)}
+    median = O.column_quantiles(df, [spec.amount], [0.5]).get(spec.amount)
+    out["amount", "median"] = median[0] if median else None
+    mean = out["amount", "mean"]
+    out["amount", "mean_to_median"] = mean / median[0] if median and median[0] and mean is not None else None
+    out["size", "columns"] = float(len(df.columns))
+    a, b = out["gaps", "positive_percent"], out["gaps", "observed_positive_percent"]
+    out["gaps", "positive_difference"] = abs(a - b) if a is not None and b is not None else None
+    return out
 
 
-def _decisions(raw: DataFrame, gold: DataFrame, spec: TableSpec) -> DataFrame:
-    """What cleaning left out, kept and put off: columns dropped as identifiers or as giving the label away, missing values kept, steps not applied."""
-    named = lambda names: ", ".join(sorted(names))
-    ids = [c for c in spec.identifiers if c in raw.columns and c not in gold.columns]
-    told = [c for c in spec.suspects if c in raw.columns and c not in gold.columns]
-    rows = [(f"identifiers dropped: {named(ids)}", "columns", float(len(ids))), (f"label-derived dropped: {named(told)}", "columns", float(len(told))),
-            ("features added", "columns", 0.0), *((f"postponed: {x}", "applied", 0.0) for x in POSTPONED)]
-    fixed = F.array(*[F.struct(F.lit(i).alias("item"), F.lit(m).alias("metric"), F.lit(v).alias("value")) for i, m, v in rows])
-    kept = gold.agg(F.count_if(F.col(spec.incomplete).isNull()).cast("double").alias("_k"))
-    more = F.array(F.struct(F.lit(f"missing kept: {spec.incomplete}").alias("item"), F.lit("rows").alias("metric"), F.col("_k").alias("value")))
-    return kept.select(F.lit("decision").alias("section"), F.inline(F.concat(fixed, more)))
-
-
-#: What a finding is a reason for.
-IMPLICATIONS = {
-    "size": "take this table, as verified, for the baseline",
-    "class imbalance": "judge by precision, recall and PR-AUC at a chosen threshold, not by accuracy",
-    "missingness": "test a missing flag on its own: it may only show how the data were made",
-    "amount": "keep the plain amount in the baseline and test its logarithm apart",
-    "categories": "read small differences with their intervals and on validation rows",
-    "time": "split by time and test time features as an experiment of their own",
-    "correlation": "choose features inside the training rows only",
-}
-
-
-def _facts(df: DataFrame, spec: TableSpec) -> DataFrame:
-    """One row: rows, share of positives, share missing, mean and median amount."""
-    a = df.agg(F.count(F.lit(1)).alias("n"), (F.avg(F.col(spec.target).cast("int")) * 100).alias("pos"), (F.avg(F.col(spec.incomplete).isNull().cast("int")) * 100).alias("miss"),
-               F.avg(spec.amount).alias("mean"))
-    m = O.quantiles(df, spec.amount, [0.5]).select(F.get("quantiles", F.lit(0)).alias("median"))
-    bias = P.missingness_bias(df, spec, spec.incomplete).agg(F.max(F.when(F.col("status") == "missing", F.col("positive_percent"))).alias("bias"))
-    return a.join(F.broadcast(m), F.lit(True), "left").crossJoin(F.broadcast(bias))  # one row each
+def _rows(df: DataFrame, found: dict[tuple[str, str], float]) -> DataFrame:
+    return df.sparkSession.createDataFrame([(t, m, v) for (t, m), v in found.items()], "topic string, metric string, value double")
 
 
 def findings(df: DataFrame, spec: TableSpec) -> DataFrame:
-    """(topic, evidence, implication): sentences with their numbers, from one-row aggregates, and what follows from them."""
-    ranges = R.metric_ranges(df, spec).groupBy().pivot("metric", ["amount_lift_range", "category_rate_range", "weekly_rate_range"]).agg(F.first("value"))
-    top = R.strongest(R.correlation(df, [*spec.numerics, spec.target]), spec.target).agg(F.first("a").alias("a"), F.first("r").alias("r"))
-    row = _facts(df, spec).crossJoin(F.broadcast(ranges)).crossJoin(F.broadcast(top))  # one row each
-    said = {
-        "size": F.format_string("%d rows and %d columns", F.col("n"), F.lit(len(df.columns))),
-        "class imbalance": F.format_string("%.4f%% of the rows are positive", F.col("pos")),
-        "missingness": F.format_string("%.2f%% of %s is missing, with %.4f%% positive rows", F.col("miss"), F.lit(spec.incomplete), F.coalesce("bias", F.lit(0.0))),
-        "amount": F.format_string("mean %.2f, median %.2f, lift range %.4f", F.col("mean"), F.col("median"), F.col("amount_lift_range")),
-        "categories": F.format_string("rates range over %.4f percentage points", F.col("category_rate_range") * 100),
-        "time": F.format_string("the rolling weekly rate ranges over %.4f percentage points", F.col("weekly_rate_range")),
-        "correlation": F.format_string("strongest with the target: %s (%.6f)", F.col("a"), F.col("r")),
-    }
-    return row.select(F.inline(F.array(*[F.struct(F.lit(k).alias("topic"), v.alias("evidence"), F.lit(IMPLICATIONS[k]).alias("implication")) for k, v in said.items()])))
+    """(topic, metric, value): what a cleaned table shows, in numbers; null where there is none."""
+    ranges = R.metric_ranges(df, spec).select(F.lit("risk").alias("topic"), "metric", "value")
+    top = R.strongest(R.correlation(df, [*spec.numerics, spec.target]), spec.target).select(F.lit("correlation").alias("topic"), F.concat(F.lit("strongest "), F.col("a")).alias("metric"), F.col("r").alias("value"))
+    return _rows(df, _evidence(df, spec, {})).unionByName(ranges).unionByName(top)
 
 
 def observations(raw: DataFrame, spec: TableSpec) -> DataFrame:
-    """(observation, action): what the first look at a raw table says, counted, and what to do about it."""
-    counts = raw.agg(F.count_if(parse_iso(F.col(spec.timestamp)).isNull()).alias("times"), F.count_if(F.col(spec.amount) < 0).alias("negative"), F.count_if(F.col(spec.amount) == 0).alias("zero"),
-                     F.count_if(F.col(spec.incomplete).isNull() & (F.col(spec.target).cast("int") == 1)).alias("missing_positive"),
-                     *[F.count_if(F.col(c).isNotNull() & (F.col(spec.target).cast("int") == 0)).alias(f"told_{i}") for i, c in enumerate(spec.suspects)])
-    same = C.duplicate_count(raw).withColumnRenamed("duplicates", "same")
-    ids = C.duplicate_count(raw, [spec.id]).withColumnRenamed("duplicates", "ids")
-    wide = P.cardinality(raw, list(spec.identifiers)).agg(F.min("unique_count").alias("least_ids"))
-    row = _facts(raw, spec)
-    for x in (counts, same, ids, wide):
-        row = row.crossJoin(F.broadcast(x))  # one row each
-    said = [
-        (F.format_string("%d timestamps cannot be read", F.col("times")), "parse with one explicit ISO-8601 parser and drop only what it cannot read"),
-        (F.format_string("%d exact duplicates, %d repeated ids, %d negative and %d zero amounts", F.col("same"), F.col("ids"), F.col("negative"), F.col("zero")), "remove only what is there and keep the checks"),
-        (F.format_string("the amount has mean %.2f and median %.2f", F.col("mean"), F.col("median")), "keep it plain in the baseline and test its logarithm apart"),
-        (F.format_string("%.2f%% of %s is missing, %d of it on positive rows", F.col("miss"), F.lit(spec.incomplete), F.col("missing_positive")), "keep it missing until training rows can be imputed, and test a flag apart"),
-        *((F.format_string("%s is present on %d negative rows", F.lit(c), F.col(f"told_{i}")), "leave it out of every feature set if that is none") for i, c in enumerate(spec.suspects)),
-        (F.format_string("each identifier has %d values or more", F.col("least_ids")), "leave identifiers out of the first baseline"),
-        (F.lit("timestamps hold an hour and a weekday"), "test time features once the plain baseline is recorded"),
-    ]
-    return row.select(F.inline(F.array(*[F.struct(o.alias("observation"), F.lit(a).alias("action")) for o, a in said])))
+    """(topic, metric, value): what a first look at a raw table counts."""
+    y = F.col(spec.target).cast("int")
+    found = _evidence(raw, spec, {
+        "times.unreadable": F.count_if(parse_iso(F.col(spec.timestamp)).isNull()), "amount.negative": F.count_if(F.col(spec.amount) < 0), "amount.zero": F.count_if(F.col(spec.amount) == 0),
+        "gaps.on_positive": F.count_if(F.col(spec.incomplete).isNull() & (y == 1)), **{f"leak.{c} on negative": F.count_if(F.col(c).isNotNull() & (y == 0)) for c in spec.suspects}})
+    same = C.duplicate_count(raw).select(F.lit("repeats").alias("topic"), F.lit("rows").alias("metric"), F.col("duplicates").cast("double").alias("value"))
+    wide = P.cardinality(raw, list(spec.identifiers))
+    ids = wide.select(F.lit("identifiers").alias("topic"), F.concat(F.lit("values of "), F.col("column")).alias("metric"), F.col("unique_count").cast("double").alias("value"))
+    twice = wide.where(F.col("column") == spec.id).select(F.lit("repeats").alias("topic"), F.lit("ids").alias("metric"), F.col("repeated_non_missing_values").cast("double").alias("value"))
+    return _rows(raw, found).unionByName(same).unionByName(twice).unionByName(ids)
+
+
+#: (metric, op, bound, action): what to do where evidence passes a bound. Callers give their own.
+ADVICE = (
+    ("label.positive_percent", "<", 10.0, "weight the classes and watch precision and recall"),
+    ("gaps.percent", ">", 0.0, "fit fill values on training rows"),
+    ("gaps.positive_difference", ">", 1.0, "check whether gaps give the label away"),
+    ("amount.mean_to_median", ">", 1.5, "try the amount on a log scale"),
+    ("amount.negative", ">", 0.0, "drop rows with a negative amount"),
+    ("repeats.rows", ">", 0.0, "drop repeated rows"),
+    ("times.unreadable", ">", 0.0, "drop rows without a readable time"),
+    ("risk.weekly_rate_range", ">", 0.5, "cut the splits by time"),
+)
+
+
+def advice(df: DataFrame, spec: TableSpec, rules: tuple[tuple[str, str, float, str], ...] = ADVICE, *, raw: bool = False) -> DataFrame:
+    """(metric, value, action) of the rules that the table's evidence (observations of a raw one, else findings) sets off."""
+    found = observations(df, spec) if raw else findings(df, spec)
+    held = found.select(F.concat_ws(".", "topic", "metric").alias("metric"), "value").where("value is not null")
+    table = df.sparkSession.createDataFrame(list(rules), "metric string, op string, bound double, reason string")
+    return flags(held, table).where("flagged").select("metric", "value", F.col("reason").alias("action"))
 
 
 def series_missing(df: DataFrame) -> DataFrame:

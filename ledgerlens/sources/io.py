@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,14 +28,28 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Quotes inside quoted fields are doubled, and such fields may hold line breaks; a backslash is a letter like others.
+_CSV = {"header": True, "quote": '"', "escape": '"'}
+
+
 def _header(spark: SparkSession, path: str) -> list[str]:
-    return spark.read.option("header", True).csv(path).columns
+    return spark.read.options(**_CSV, multiLine=True).csv(path).columns
+
+
+def _strict(name: str, kind: T.DataType) -> Column:
+    """A text as the type; a text that is none raises, in ANSI mode or not."""
+    made = F.col(name).try_cast(kind)
+    said = F.concat(F.lit(f"unreadable {kind.simpleString()} in {name}: "), F.col(name))
+    return F.when(F.col(name).isNotNull() & made.isNull(), F.raise_error(said).cast(kind)).otherwise(made)
 
 
 def read_transactions(spark: SparkSession, path: str, schema: T.StructType, *, fmt: str = "csv", mode: str = "FAILFAST",
-                      null_tokens: tuple[str, ...] = NULL_TOKENS, preview: int | None = None, corrupt: str | None = None) -> DataFrame:
+                      null_tokens: tuple[str, ...] = NULL_TOKENS, preview: int | None = None, corrupt: str | None = None, multiline: bool = True) -> DataFrame:
     """A table with exactly the schema's columns, in any order in the file.
 
+    Quoted fields may hold separators, doubled quotes and line breaks. Since a line break may be inside a field, a CSV file
+    is read by one task; multiline=False splits large files by lines, for input without such fields.
+
     CSV fields that are null tokens are null, numbers out of range or unreadable fail (PERMISSIVE: are null, and the row
     is kept as text in `corrupt` if that is named); lines with too many or too few fields fail too (PERMISSIVE: what is
     there is read, the rest is null). NaN is null. preview: that many rows, all as text, unchecked.
@@ -46,9 +60,9 @@ def read_transactions(spark: SparkSession, path: str, schema: T.StructType, *, f
             header = _header(spark, path)
             text = T.StructType([T.StructField(c, T.StringType()) for c in header])
             if preview:
-                return spark.read.csv(path, header=True, schema=text).limit(preview)
+                return spark.read.options(**_CSV, multiLine=multiline).csv(path, schema=text).limit(preview)
             check_schema(header, schema.names)
-            df = spark.read.csv(path, header=True, schema=text, enforceSchema=False, mode=mode)
+            df = spark.read.options(**_CSV, multiLine=multiline, enforceSchema=False, mode=mode).csv(path, schema=text)
         else:
             df = spark.read.format(fmt).load(path)
             if preview:
@@ -60,7 +74,7 @@ def read_transactions(spark: SparkSession, path: str, schema: T.StructType, *, f
         raise
     if fmt == "csv":
         clean = df.select(*[no_token(F.col(c), null_tokens).alias(c) for c in df.columns])
-        get = (lambda c, t: F.col(c).cast(t)) if mode == "FAILFAST" else (lambda c, t: F.col(c).try_cast(t))
+        get = _strict if mode == "FAILFAST" else (lambda c, t: F.col(c).try_cast(t))
         typed = {f.name: F.col(f.name) if isinstance(f.dataType, T.StringType) else get(f.name, f.dataType) for f in schema}
         bad = F.lit(False)
         for f in schema:
@@ -76,7 +90,7 @@ def write_gold(df: DataFrame, path: str, *, fmt: str = "parquet", run_id: str |
     """Publish a table: write beside the target, move the old one away, move the new one in, drop the old one.
 
     A failed write leaves the old table as it was and the draft beside it. Between the two renames there is no table
-    for a moment; readers that cannot bear that should read a versioned folder. Returns the path.
+    for a moment; where that matters, publish versions (see snapshots.py). Returns the path.
     """
     spark = df.sparkSession
     run_id = run_id or uuid.uuid4().hex
@@ -84,7 +98,7 @@ def write_gold(df: DataFrame, path: str, *, fmt: str = "parquet", run_id: str |
     draft, old = f"{path}__staging/{run_id}", f"{path}__old/{run_id}"
     w = df.write.mode("error")
     if fmt == "csv":
-        w.option("timestampNTZFormat", _NTZ).csv(draft, header=True)
+        w.options(**_CSV, timestampNTZFormat=_NTZ).csv(draft)
     else:
         w.format(fmt).save(draft)
     jvm = spark.sparkContext._jvm
@@ -109,8 +123,13 @@ def write_gold(df: DataFrame, path: str, *, fmt: str = "parquet", run_id: str |
 
 
 def verify_gold(spark: SparkSession, path: str, expected: dict[str, float], target: str, *, fmt: str = "parquet") -> DataFrame:
-    """(check, expected, actual, ok) of a written table: rows, columns, missing_values_total, positive_rows as far as expected names them."""
-    df = spark.read.csv(path, header=True) if fmt == "csv" else spark.read.format(fmt).load(path)
+    """(check, expected, actual, ok) of a written table, see verify."""
+    df = spark.read.options(**_CSV, multiLine=True).csv(path) if fmt == "csv" else spark.read.format(fmt).load(path)
+    return verify(df, expected, target)
+
+
+def verify(df: DataFrame, expected: dict[str, float], target: str) -> DataFrame:
+    """(check, expected, actual, ok): rows, columns, missing_values_total, positive_rows as far as expected names them."""
     missing = sum((F.count_if(F.col(c).isNull()) for c in df.columns[1:]), F.count_if(F.col(df.columns[0]).isNull()))
     row = df.agg(F.count(F.lit(1)).alias("rows"), F.lit(len(df.columns)).cast("long").alias("columns"), missing.alias("missing_values_total"),
                  F.coalesce(F.sum(F.col(target).cast("long")), F.lit(0)).alias("positive_rows"))

@@ -25,9 +25,9 @@ def csv(spark, dirty, tmp_path_factory):
 
 def test_cleaning_end_to_end(spark, dirty, csv, tmp_path):
     gold, rep = str(tmp_path / "gold"), str(tmp_path / "report")
-    for _ in range(2):  # the second run replaces the first
+    for run in (1, 2):  # the second run's versions follow the first's
         p = run_cleaning(spark, csv, gold, rep)
-        assert {r.ok for r in p.checks.collect()} == {True}
+        assert [r.ok for r in p.checks.collect()] == [True] * 4 and p.snapshot.version == run
     assert p.gold.columns == list(RAW.gold)
     assert sorted(map(tuple, p.gold.collect()), key=repr) == sorted(map(tuple, to_gold(dirty).collect()), key=repr)
     stats = {r.metric: r.value for r in p.report.where("section = 'cleaning'").collect()}
@@ -51,6 +51,19 @@ def test_other_drafts_stay(spark, dirty, tmp_path):
         assert other.exists() and sorted(os.listdir(tmp_path)) == ["g", "g__staging"]
 
 
+def test_difficult_csv(spark, dirty, tmp_path):
+    """Separators, quotes, line breaks and backslashes in fields, written and read; a reader by lines for files without them."""
+    odd = ['x "y", z', "one\ntwo\r\nthree", "ends in \\", '"', '""', ",", "\\\"", " spaces "]
+    gold = to_gold(dirty).limit(400).withColumn("device_used", F.element_at(F.array(*[F.lit(x) for x in odd]), (F.pmod(F.hash("transaction_id"), F.lit(len(odd))) + 1).cast("int")))
+    gold = spark.createDataFrame(gold.collect(), gold.schema)
+    path = write_gold(gold, str(tmp_path / "odd"), fmt="csv")
+    want = sorted(map(tuple, gold.collect()), key=repr)
+    assert sorted(map(tuple, read_transactions(spark, path, GOLD_SCHEMA).collect()), key=repr) == want and len({r[5] for r in want}) == len(odd)
+    plain = write_gold(gold.withColumn("device_used", F.lit('a "b", c\\')), str(tmp_path / "plain"), fmt="csv")
+    assert {r.device_used for r in read_transactions(spark, plain, GOLD_SCHEMA, multiline=False).collect()} == {'a "b", c\\'}
+    assert verify_gold(spark, path, {"rows": len(want), "columns": 13}, "is_fraud", fmt="csv").where("not ok").isEmpty()
+
+
 def _file(tmp_path, header, rows):
     p = tmp_path / "f.csv"
     p.write_text("\n".join([",".join(header), *(",".join(r) for r in rows)]) + "\n")
@@ -71,8 +84,13 @@ def test_reading(spark, tmp_path):
         with pytest.raises(ValueError, match="columns"):
             read_transactions(spark, _file(tmp_path, header, []), RAW_SCHEMA)
     bad = _file(tmp_path, names, [[ROW[c] if c != "velocity_score" else "70000" for c in names]])
-    with pytest.raises(Exception, match="CAST"):
-        read_transactions(spark, bad, RAW_SCHEMA).collect()
+    for ansi in ("true", "false"):  # strict in either mode
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+        try:
+            with pytest.raises(Exception, match="unreadable smallint in velocity_score: 70000"):
+                read_transactions(spark, bad, RAW_SCHEMA).collect()
+        finally:
+            spark.conf.unset("spark.sql.ansi.enabled")
     r = read_transactions(spark, bad, RAW_SCHEMA, mode="PERMISSIVE", corrupt="_corrupt_record").first()
     assert r.velocity_score is None and "70000" in r._corrupt_record
     short = _file(tmp_path, names, [[ROW[c] for c in names[:5]], [ROW[c] for c in names]])
@@ -88,8 +106,13 @@ def test_reading(spark, tmp_path):
 def test_profiles_run(spark, dirty):
     for d in (profile_raw(dirty), profile_gold(to_gold(dirty))):
         assert all(isinstance(v.count(), int) for v in d.values())
-    assert report.findings(with_event_time(dirty), GOLD).count() == 7
-    assert report.observations(dirty, RAW).count() == 7 and report.observations(dirty.limit(0), RAW).count() == 7
+    assert report.findings(with_event_time(dirty), GOLD).where("value is not null").count() == 14
+    assert report.observations(dirty, RAW).count() == 22 and report.observations(dirty.limit(0), RAW).count() == 22
+    told = {r.metric: r.action for r in report.advice(dirty, RAW, raw=True).collect()}
+    assert "repeats.rows" in told and "amount.negative" in told
+    clean = to_gold(dirty).withColumn("fraud_type", F.lit(None).cast("string"))
+    assert "amount.negative" not in {r.metric for r in report.advice(clean, GOLD).collect()}
+    assert report.advice(dirty, RAW, (("size.rows", "<", 1.0, "never"),), raw=True).isEmpty()
     n = sum(r.row_count for r in report.series_hour_weekday(to_gold(dirty), GOLD).collect())
     assert n == to_gold(dirty).count()
 
