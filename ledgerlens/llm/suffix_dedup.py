@@ -9,12 +9,15 @@ prefixes of neighbours, to the right and to the left of the anchor, say which wi
 
 Grams with very many anchors would make one part large. Their windows are split by the bytes around the gram: windows
 whose offsets are near have most of their bytes in common (their core), which names the part. Windows that are equal have
-equal cores, so they still meet, and are merged and compared as bytes like all others.
+equal cores, so they still meet, and are merged and compared as bytes like all others. Equal contents are one entry of a
+task's run, with a count: places stay in rows of their own and learn by a join with the content's name what was found. So
+a passage that very many texts share costs a part the contents at its edges, which differ, and not each text's places.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pandas as pd
@@ -170,7 +173,9 @@ def _answer(pdf: pd.DataFrame, frequent: int) -> pd.DataFrame:
                       pd.DataFrame({"tid": [None] * len(often), "key": often, "often": True})])
 
 
-_RUN = "part int, run binary, tails binary, lefts binary, places binary, texts binary"
+#: Runs (part 0 and up: their contents' names joined), and rows of one content's places in one task (part -1).
+_RUN = "part int, run binary, tails binary, lefts binary, names binary, content binary, texts binary, starts binary"
+_NAME = 16
 #: Bytes before a suffix that hold its key, so that runs are in order of keys first.
 _KEY = 8
 
@@ -214,20 +219,19 @@ def _run_batches(batches: Iterator[pa.RecordBatch], parts: int, length: int, gra
         rows = []
         by: dict[int, list] = {}
         for (key, content, left), places in entries.items():
-            by.setdefault((key * parts) >> 64, []).append((key.to_bytes(_KEY, "big") + content[left:], content[:left][::-1], places))
+            name = blake2b(key.to_bytes(_KEY, "big") + left.to_bytes(8, "big") + content, digest_size=_NAME).digest()
+            by.setdefault((key * parts) >> 64, []).append((key.to_bytes(_KEY, "big") + content[left:], content[:left][::-1], name, len(places)))
+            rows.append((-1, None, None, None, None, name, b"".join(tids[i] for i, _ in places), np.array([lo for _, lo in places], np.int64).tobytes()))
         for part, found in by.items():
             found.sort(key=lambda e: e[:2])
-            head, tails, lefts, places, before = [], [], [], [], b""
-            for right, left, where in found:
+            head, tails, before = [], [], b""
+            for right, left, _, count in found:
                 n = _common(before, right, 0)
-                head.append((n, len(right), len(left), len(where)))
-                tails.append(right[n:]), lefts.append(left), places.extend(where)
+                head.append((n, len(right), len(left), count))
+                tails.append(right[n:])
                 before = right
-            p = np.array(places, np.int64)
-            used, short = np.unique(p[:, 0], return_inverse=True)
-            p[:, 0] = short
-            rows.append((part, np.array(head, np.uint32).tobytes(), b"".join(tails), b"".join(lefts), pack(p.reshape(-1)), b"".join(tids[i] for i in used)))
-        types = [pa.int32()] + [pa.binary()] * 5
+            rows.append((part, np.array(head, np.uint32).tobytes(), b"".join(tails), b"".join(e[1] for e in found), b"".join(e[2] for e in found), None, None, None))
+        types = [pa.int32()] + [pa.binary()] * 7
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else
                                           [pa.array([], t) for t in types], names=[c.split()[0] for c in _RUN.split(", ")])
 
@@ -349,36 +353,34 @@ def _ranges(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _merge_part(pdf: pd.DataFrame, length: int, gram: int) -> pd.DataFrame:
-    """(tid, start, stop): window starts that occur twice, from the runs of one part."""
-    out: list[tuple[bytes, int, int]] = []
+    """(content, starts, stops): of each content the window starts in it that occur twice, from the runs of one part."""
+    out: list[tuple[bytes, bytes, bytes]] = []
     runs = []
     for r in pdf.itertuples():
         head = np.frombuffer(r.run, np.uint32).reshape(-1, 4).tolist()
-        places, texts = unpack(r.places, np.int64).reshape(-1, 2), _texts(r.texts)
-        run, before, t, l, p = [], b"", 0, 0, 0
-        for n, size, left, count in head:
+        run, before, t, l = [], b"", 0, 0
+        for i, (n, size, left, count) in enumerate(head):
             right = before[:n] + r.tails[t : t + size - n]
-            run.append((n, right, (r.lefts[l : l + left], texts, places[p : p + count])))
-            before, t, l, p = right, t + size - n, l + left, p + count
+            run.append((n, right, (r.lefts[l : l + left], r.names[i * _NAME : (i + 1) * _NAME], count)))
+            before, t, l = right, t + size - n, l + left
         runs.append(run)
     group: list[tuple[int, int, object]] = []
 
     def close() -> None:
         # contents in order of their right sides; equal ones from several runs are one
-        rights, lefts, sizes, where, same = [], [], [], [], {}
-        for n, size, (left, texts, places) in group:
+        rights, lefts, sizes, names, repeats, same = [], [], [], [], [], {}
+        for n, size, (left, name, count) in group:
             if not rights or not n == size == sizes[-1]:
                 same = {}
             if left in same:
-                where[same[left]].append((texts, places))
+                repeats[same[left]] += count
             else:
                 same[left] = len(lefts)
-                rights.append(n), lefts.append(left), sizes.append(size), where.append([(texts, places)])
-        repeats = [sum(len(p) for _, p in w) for w in where]
-        for flags, w in zip(equal_windows(rights, lefts, sizes, repeats, length), where, strict=True):
-            found = _ranges(flags)
-            if found:
-                out.extend((texts[i].tobytes(), lo + a, lo + b) for texts, places in w for i, lo in places.tolist() for a, b in found)
+                rights.append(n), lefts.append(left), sizes.append(size), names.append(name), repeats.append(count)
+        for flags, name in zip(equal_windows(rights, lefts, sizes, repeats, length), names, strict=True):
+            if found := _ranges(flags):
+                a, b = np.array(found, np.int64).T
+                out.append((name, a.tobytes(), b.tobytes()))
 
     for n, right, payload in LoserTree(runs) if runs else ():
         if group and n < _KEY + gram:
@@ -387,7 +389,18 @@ def _merge_part(pdf: pd.DataFrame, length: int, gram: int) -> pd.DataFrame:
         group.append((n - _KEY, len(right) - _KEY, payload))
     if group:
         close()
-    return pd.DataFrame(out, columns=["tid", "start", "stop"])
+    return pd.DataFrame(out, columns=["content", "from_", "to_"])
+
+
+def _placed_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(tid, start, stop) of what was found in a content, for each of its places."""
+    for b in batches:
+        tids, starts, stops = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for texts, at, low, high in zip(*(b.column(n).to_pylist() for n in ("texts", "starts", "from_", "to_")), strict=True):
+            at, low, high = (np.frombuffer(x, np.int64) for x in (at, low, high))
+            tids += [texts[i * 16 : i * 16 + 16] for i in range(len(at)) for _ in range(len(low))]
+            starts.append((at[:, None] + low).reshape(-1)), stops.append((at[:, None] + high).reshape(-1))
+        yield pa.RecordBatch.from_arrays([pa.array(tids, pa.binary()), pa.array(np.concatenate(starts)), pa.array(np.concatenate(stops))], names=["tid", "start", "stop"])
 
 
 def _cut_batches(batches: Iterator[pa.RecordBatch], length: int, texts: bool) -> Iterator[pa.RecordBatch]:
@@ -446,8 +459,12 @@ def anchored_texts(docs: DataFrame, base: DataFrame, id_col: str, text_col: str,
 def repeated_windows(texts: DataFrame, length: int, gram: int) -> DataFrame:
     """(tid, start, stop) of windows of `length` bytes found twice, of anchored_texts for windows of that length or shorter ones."""
     parts = int((texts.agg(F.coalesce(F.sum(F.size("want")), F.lit(0))).first()[0] * length * 11 // 8) // SUFFIXES + 1)
-    return (texts.mapInArrow(lambda b: _run_batches(b, parts, length, gram), _RUN).groupBy("part")
-            .applyInPandas(lambda x: _merge_part(x, length, gram), "tid binary, start long, stop long"))
+    runs = stage(texts.mapInArrow(lambda b: _run_batches(b, parts, length, gram), _RUN), "suffix-runs")
+    # staged, so that the join with the places of a very frequent content can be split
+    found = stage(runs.where("part >= 0").select("part", "run", "tails", "lefts", "names").groupBy("part")
+                  .applyInPandas(lambda x: _merge_part(x, length, gram), "content binary, from_ binary, to_ binary"), "suffix-found")
+    places = runs.where("part < 0").select("content", "texts", "starts")
+    return places.join(found, "content").select("texts", "starts", "from_", "to_").mapInArrow(_placed_batches, "tid binary, start long, stop long")
 
 
 def cut_texts(anchored: DataFrame, length: int, gram: int, *, texts: bool = True) -> DataFrame:

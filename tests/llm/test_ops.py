@@ -234,6 +234,23 @@ def test_repeats_in_many_parts(docs, rows, monkeypatch):
         assert _got(suffix_dedup.remove_repeats(docs, length=40, frequent=frequent)) == sorted(brute.repeats(rows, 40), key=repr)
 
 
+def test_a_passage_of_very_many_texts(spark):
+    """Equal contents of a task are one entry of its run, and all places learn what was found."""
+    licence, entries = _text(random.Random(1), 300)[:1200], []
+    for n in (150, 600):
+        r = random.Random(n)
+        # the passage between surroundings that texts share in groups of ten, so that edges repeat too
+        docs = spark.createDataFrame([(i, f"{_text(random.Random(i // 10), 60)} {licence} {_text(random.Random(-i // 10), 60)}" + _text(r, 90), None, None, 1, "x") for i in range(n)], SCHEMA).coalesce(1)
+        base = suffix_dedup._base(docs, "doc_id", "text")
+        texts = suffix_dedup.anchored_texts(docs, base, "doc_id", "text", 400, 100, 50)
+        runs = texts.coalesce(1).mapInArrow(lambda b: suffix_dedup._run_batches(b, 64, 400, 100), suffix_dedup._RUN)
+        found = runs.agg(F.sum(F.when(F.col("part") >= 0, F.octet_length("names") / 16)).alias("n"), F.sum(F.when(F.col("part") < 0, F.octet_length("starts") / 8)).alias("places")).first()
+        entries.append(found.n / found.places)
+        out = suffix_dedup.remove_repeats(docs, frequent=50)
+        assert out.where("n_removed < 1200").isEmpty() and out.count() == n
+    assert entries[1] < entries[0] < 0.5  # the more texts, the fewer entries a place
+
+
 def test_repeats_of_repeated_rows(spark):
     d = [(1, "ab" * 300), (1, "ab" * 300), (None, "q" * 50), (2, None)]
     assert _got(suffix_dedup.remove_repeats(_docs(spark, d), length=40)) == sorted(brute.repeats(d, 40), key=repr)
