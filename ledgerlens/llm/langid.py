@@ -188,7 +188,9 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     languages: tuple[str, ...] | None = None) -> DataFrame:
     """The documents in a learned language (one of `languages` if given) with score `least` or more, columns as they were.
 
-    A text in a language that was not learned shares few n-grams with any profile and is far from all of them.
+    A text in a language that was not learned shares few n-grams with any profile and is far from all of them, in the same
+    letters too. Null and empty texts and texts without letters go; repeated rows and ids are judged row by row; columns
+    may have any names; an empty table, or one without labels to learn from, keeps nothing.
     """
     profiles = stage(train_profiles(docs.where(~held_out(docs[id_col])), text_col, lang_col), "lang-profiles")
     found = predict(docs.select(F.struct("*").alias("_row"), docs[text_col].alias("_doc")), profiles, "_doc")

@@ -116,6 +116,42 @@ def test_pipeline(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language ID", "exact dedup", "n-gram Jaccard join", "benchmark decontamination", "mixing sources"]
 
 
+OTHERS = {  # the first article of the declaration of human rights, in languages that share letters with those that are learned
+    "fi": "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. ",
+    "tr": "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı kardeşlik zihniyeti ile hareket etmelidirler. ",
+    "cy": "Genir pawb yn rhydd ac yn gydradd a'i gilydd mewn urddas a hawliau. Fe'u cynysgaeddir a rheswm a chydwybod, a dylai pawb ymddwyn y naill at y llall mewn ysbryd cymodlon. "}
+
+
+def test_pipeline_rejects_languages_in_the_same_letters(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    row = docs.limit(1)
+    strange = [row.withColumns({"doc_id": F.lit(1_000_000 + i).cast(docs.schema["doc_id"].dataType), "text": F.lit(t * 6), "lang": F.lit(None).cast("string")}) for i, t in enumerate(OTHERS.values())]
+    every = docs.unionByName(strange[0]).unionByName(strange[1]).unionByName(strange[2])
+    kept = {r.doc_id for r in corpus_pipeline.identify_language(spark, every, SF).collect()}
+    assert kept == {r.doc_id for r in docs.collect()}  # these go, and no others
+    monkeypatch.setattr(corpus_pipeline, "LANGUAGES", ("fr", "es"))
+    some = corpus_pipeline.identify_language(spark, every, SF)
+    found = {r.lang: r["count"] for r in some.groupBy("lang").count().collect()}
+    have = {r.lang: r["count"] for r in docs.groupBy("lang").count().collect()}
+    assert some.columns == docs.columns and found["fr"] >= 0.95 * have["fr"] and found["es"] >= 0.95 * have["es"] and found.get("en", 0) <= 0.02 * have["en"]
+
+
+def test_pipeline_with_odd_rows(spark, tmp_path):
+    """Nulls in every column, empty and repeated rows, clashing names, and an empty table."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    none = docs.limit(1).select(*[F.lit(None).cast(t).alias(c) for c, t in docs.dtypes])
+    odd = docs.limit(2).withColumn("text", F.lit("")).unionByName(none).unionByName(docs.limit(3)).unionByName(docs)
+    odd = odd.withColumns({"score": F.lit(1), "lang_pred": F.lit("x"), "kept": F.lit(True), "_row": F.lit(2)})
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / "a" / "benchmark.parquet"))
+    odd.coalesce(3).write.parquet(str(tmp_path / "a" / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path / "a")).collect()
+    assert len({r.doc_id for r in out}) == len(out) > 20 and all(r.text for r in out)
+    (tmp_path / "b").mkdir()
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / "b" / "benchmark.parquet"))
+    odd.limit(0).write.parquet(str(tmp_path / "b" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "b")).count() == 0
+
+
 def test_pipeline_rejects_other_languages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(120)
     strange = docs.limit(3).withColumns({"doc_id": docs.doc_id + 1_000_000, "text": F.lit("съешь ещё этих мягких французских булок да выпей чаю " * 20), "lang": F.lit(None).cast("string")})
