@@ -1,6 +1,8 @@
 """Documents to training mix: language, exact copies, near copies, benchmark passages, source weights.
 
-Each stage works on all rows that the one before kept, written as Parquet in the shared folder and read again.
+Each stage works on all rows that the one before kept, written as Parquet in the shared folder and read again. Rows with a
+null or empty text go at the first stage, as texts without letters do; of repeated rows one stays; a null id is an id like
+others; further columns travel along, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,9 +17,13 @@ from ledgerlens.llm.mixing import mix_documents
 from ledgerlens.llm.ngram_join import dedup_ngrams
 
 
+#: Languages that stay, of those learned from the labels; None: all of them.
+LANGUAGES: tuple[str, ...] | None = None
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that are in none of the languages learned from the labelled ones: no letters, or too far from every profile."""
-    return keep_identified(docs)
+    """Rejects documents that are in none of LANGUAGES: no letters, predicted as another one, or too far from every profile."""
+    return keep_identified(docs, languages=LANGUAGES)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

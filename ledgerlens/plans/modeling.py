@@ -89,7 +89,11 @@ def fit(train: DataFrame, spec: TableSpec, kind: str = "logistic", *, select: in
     rows = class_weights(model_rows(train, spec), spec)
     features = "selected" if select else "features"
     make = {"logistic": LogisticRegression(featuresCol=features, weightCol="weight", maxIter=30), "boosted": GBTClassifier(featuresCol=features, weightCol="weight", maxIter=20, seed=42)}[kind]
-    return Pipeline(stages=[*preparation(spec, select=select).getStages(), make]).fit(rows)
+    model = Pipeline(stages=[*preparation(spec, select=select).getStages(), make]).fit(rows)
+    if kind == "logistic":
+        # the training summary holds the session, which cannot go to tasks once it has observed a write
+        model.stages[-1]._java_obj.setSummary(train.sparkSession._jvm.scala.Option.empty())
+    return model
 
 
 def score(model: PipelineModel, df: DataFrame, spec: TableSpec) -> DataFrame:
