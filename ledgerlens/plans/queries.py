@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -10,17 +11,21 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import parse_iso
 from ..operators import clean as C
+from ..operators import expectations as E
 from ..operators import orderstat as O
 from ..operators import profile as P
 from ..operators import risk as R
+from ..operators import sketches as K
 from ..operators.asof import retrieve_as_of
 from ..operators.schema import schema_differences, schema_profile
 from ..sources.io import read_transactions, verify, work_dir, write_gold
+from ..sources.known import KnownKeys
 from ..sources.snapshots import Conflict, history, open_snapshot, publish
 from ..spec import GOLD, GOLD_SCHEMA, RAW, RAW_SCHEMA, TableSpec
 from . import fixtures as X
 from . import modeling as M
 from . import report
+from .folds import block_statistics, fold_selection, rolling_folds
 from .pipeline import run_cleaning, to_gold, with_event_time
 from .scorecard import learn_scorecard, model_table, score_table
 
@@ -705,3 +710,99 @@ def feature_retrieval(spark, sf):
     raw = X.raw(spark, sf)
     feats = M.add_features(raw, RAW, ["amount_log"])
     return _rounded(M.retrieve(raw.select("transaction_id", "is_fraud"), feats, "transaction_id", ["amount_log1p"]), "amount_log1p", digits=9)
+
+
+# ---------------------------------------------------------------- expectations, folds, sketches, batches
+
+_RULES = [
+    E.in_domain("transaction_type", ("click", "purchase", "signup", "view")), E.in_range("amount", 0.0, 90.0), E.in_range("velocity_score", 1, 19), E.present("merchant_category"),
+    E.matches("timestamp", r"^\d{4}-\d{2}-\d{2}T"), E.in_order("geo_anomaly_score", "spending_deviation_score"), E.nulls_at_most("time_since_last_transaction", 10.0), E.nulls_at_most("location", 0.0),
+    E.unique("transaction_id"), E.unique("sender_account", "timestamp", name="one at a time")]
+_BREAKS = {"transaction_type in domain": "transaction_type not in ('click', 'purchase', 'signup', 'view')", "amount in range": "amount < 0 or amount > 90", "velocity_score in range": "velocity_score < 1 or velocity_score > 19",
+           "merchant_category present": "merchant_category is null", "timestamp matches": "not starts_with(timestamp, '2')", "geo_anomaly_score up to spending_deviation_score": "geo_anomaly_score > spending_deviation_score"}
+
+
+def _judged(rule: str, broken: str, most: float) -> str:
+    return f"select '{rule}' as rule, count(*) as rows, {broken} as broken, round({broken} * 100.0::double / count(*), 9) as value, {broken} * 100.0::double / count(*) <= {most} as passed from dirty"
+
+
+@_add("expectations", f"with {X.DIRTY_CTE} " + " union all ".join([
+    *(_judged(r, f"count(*) filter ({c})", 0.0) for r, c in _BREAKS.items()), _judged("time_since_last_transaction nulls", "count(*) filter (time_since_last_transaction is null)", 10.0),
+    _judged("location nulls", "count(*) filter (location is null)", 0.0), _judged("transaction_id unique", "(count(*) - count(distinct transaction_id))", 0.0),
+    _judged("one at a time", "(count(*) - (select count(*) from (select distinct sender_account, timestamp from dirty)))", 0.0)]))
+def expectations(spark, sf):
+    return _rounded(E.judge(X.dirty(spark, sf), _RULES), "value", digits=9)
+
+
+@_add("quarantined_rows", f"with {X.DIRTY_CTE}, m as (select transaction_id, amount, list_filter([" + ", ".join(f"case when {c} then '{r}' end" for r, c in _BREAKS.items()) + """], lambda x: x is not null) as b from dirty)
+ select transaction_id, amount, array_to_string(b, '; ') as broken_rules from m where len(b) > 0""")
+def quarantined_rows(spark, sf):
+    return E.quarantine(X.dirty(spark, sf), _RULES)[1].select("transaction_id", "amount", F.array_join("broken_rules", "; ").alias("broken_rules"))
+
+
+def _fold_features() -> str:
+    return _each("ev", RAW.numerics, "event_timestamp::date as b, is_fraud::int as y, '{c}' as feature, {c}::double - (select avg({c}::double) from ev where event_timestamp is not null) as x")
+
+
+_FOLDS = f"""with {X.RAW_CTE}, l as ({_fold_features()}), s as (select b, feature, count(x) filter (y = 0) as n0, coalesce(sum(x) filter (y = 0), 0) as s0, coalesce(sum(x * x) filter (y = 0), 0) as q0, count(x) filter (y = 1) as n1,
+ coalesce(sum(x) filter (y = 1), 0) as s1, coalesce(sum(x * x) filter (y = 1), 0) as q1 from l where b is not null group by 1, 2),
+ f as (select b, feature, n0 + n1 as test_rows, n1 as test_positive, """ + ", ".join(f"coalesce(sum({c}) over w, 0) as {c}" for c in ("n0", "s0", "q0", "n1", "s1", "q1")) + """, count(*) over w as blocks from s window w as (partition by feature order by b rows between unbounded preceding and 1 preceding)),
+ v as (select *, case when n0 > 0 and n1 > 0 then (s0 * s0 / n0 + s1 * s1 / n1 - (s0 + s1) * (s0 + s1) / (n0 + n1)) * (n0 + n1 - 2) / (q0 + q1 - s0 * s0 / n0 - s1 * s1 / n1) end as fv from f where blocks >= 3)"""
+
+
+def _folds(spark, sf):
+    return rolling_folds(block_statistics(_ev(spark, sf), TIMED, F.to_date("event_timestamp")), 3)
+
+
+@_add("rolling_folds", _FOLDS + " select b::varchar as origin, blocks, feature, n0::bigint as n0, n1::bigint as n1, round(s0, 4) as s0, round(q1, 4) as q1, test_rows, test_positive from v")
+def rolling_fold_table(spark, sf):
+    f = _folds(spark, sf).withColumn("origin", F.col("origin").cast("string"))
+    return _rounded(f.select("origin", "blocks", "feature", "n0", "n1", "s0", "q1", "test_rows", "test_positive"), "s0", "q1", digits=4)
+
+
+@_add("fold_selection", _FOLDS + " select b::varchar as origin, feature, round(fv, 6) as f_value, (row_number() over (partition by b order by fv desc nulls last, feature))::int as place, row_number() over (partition by b order by fv desc nulls last, feature) <= 2 and fv is not null as selected from v")
+def fold_selection_table(spark, sf):
+    return _rounded(fold_selection(_folds(spark, sf), 2).withColumn("origin", F.col("origin").cast("string")), "f_value")
+
+
+@_add("sketch_periods", f"with {X.RAW_CTE}, p as (select date_trunc('week', event_timestamp)::date::varchar as period, * from ev) " + " union all ".join(
+    f"select period, '{c}' as column, count(distinct {c}) as exact, true as within from p group by 1 union all select 'all', '{c}', count(distinct {c}), true from p" for c in ("sender_account", "transaction_id")))
+def sketch_periods(spark, sf):
+    """Distinct values by week and over all weeks from the weeks' stored sketches: the exact count beside each, and whether the estimate is within 5 %."""
+    ev = _ev(spark, sf).withColumn("_week", F.date_trunc("week", "event_timestamp").cast("date").cast("string"))
+    names, path = ["sender_account", "transaction_id"], work_dir(spark, "sketches")
+    K.sketch_by(ev, F.col("_week"), names, ["amount"]).write.parquet(path)
+    kept = spark.read.parquet(path)
+    told = K.distinct_estimates(kept, names).unionByName(K.distinct_estimates(K.united(kept, names, ["amount"]).withColumn("period", F.lit("all")), names))
+    exact = lambda df, period: df.groupBy(period.alias("period")).agg(*[F.count_distinct(c).alias(c) for c in names]).select("period", F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("exact")) for c in names])))
+    right = exact(ev, F.col("_week")).unionByName(exact(ev, F.lit("all")))
+    return told.join(right, ["period", "column"]).select("period", "column", "exact", (F.abs(F.col("estimate") - F.col("exact")) <= F.greatest(F.col("exact") * 0.05, F.lit(2.0))).alias("within"))
+
+
+@_add("sketch_drift", "with d as (" + ORACLES["psi_drift"] + """) select "column", true as psi_near, true as gap_near from d""")
+def sketch_drift(spark, sf):
+    """Drift of two halves by stored sketches, beside the exact figures: near within the sketches' rank error."""
+    names, sides = ["amount", "geo_anomaly_score"], []
+    for half in _halves(spark, sf):
+        path = work_dir(spark, "sketches")
+        K.united(K.sketch_by(half, F.date_trunc("week", "event_timestamp"), [], names), [], names).write.parquet(path)
+        sides.append(spark.read.parquet(path))
+    right = M.drift(*_halves(spark, sf), names).withColumnsRenamed({"psi": "_p", "ecdf_gap": "_g"})
+    return K.sketch_drift(*sides, names).join(right, "column").select("column", (F.abs(F.col("psi") - F.col("_p")) <= 0.02).alias("psi_near"), (F.abs(F.col("ecdf_gap") - F.col("_g")) <= 0.02).alias("gap_near"))
+
+
+@_add("batches_dedup", f"with {X.DIRTY_CTE} select transaction_id, min(case when cast(substr(transaction_id, 2) as bigint) % 3 = 0 then 1 else 2 end)::int as batch, 1::bigint as kept from dirty group by 1")
+def batches_dedup(spark, sf):
+    """Two batches that share keys, the second met with the published keys only: each key once, from the first batch that has it."""
+    dirty = X.dirty(spark, sf)
+    first = F.pmod(F.substring("transaction_id", 2, 20).cast("long"), F.lit(3)) == 0
+    known = KnownKeys(spark, f"known_{uuid.uuid4().hex}", "transaction_id", buckets=8, path=work_dir(spark, "known"))
+    kept = []
+    for n, batch in ((1, dirty.where(first)), (2, dirty)):
+        path = work_dir(spark, "batch")
+        known.fresh(batch, [F.col("timestamp"), F.col("amount")]).write.parquet(path)
+        fresh = spark.read.parquet(path)
+        known.add(fresh)
+        kept.append(fresh.select("transaction_id", F.lit(n).alias("batch")))
+    known.drop()
+    return kept[0].unionByName(kept[1]).groupBy("transaction_id").agg(F.min("batch").alias("batch"), F.count(F.lit(1)).alias("kept"))
