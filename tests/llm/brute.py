@@ -153,8 +153,9 @@ def ngram_scores(rows, learn, order, priors):
 def token_count(word, scores, unknown):
     """Tokens of the best segmentation of a word: of equal scores the one whose last piece is the longest, at every place."""
     best = [(0.0, 0)]
+    longest = max(map(len, scores))
     for end in range(1, len(word) + 1):
-        ways = [(best[a][0] + scores[word[a:end]], best[a][1] + 1) for a in range(end) if word[a:end] in scores]
+        ways = [(best[a][0] + scores[word[a:end]], best[a][1] + 1) for a in range(max(0, end - longest), end) if word[a:end] in scores]
         if word[end - 1] not in scores:
             ways.append((best[end - 1][0] + unknown, best[end - 1][1] + len(word[end - 1].encode())))
         top = max(w[0] for w in ways)

@@ -1,3 +1,4 @@
+import hashlib
 import os
 import random
 import zlib
@@ -145,8 +146,6 @@ def test_warc(spark):
     rows = [(3, "http://a/1", "x" * 100), (1, "u", "x" * 100), (2, None, "x" * 99), (4, "u\r\nv", "x" * 99), (5, "u", None), (6, "u", ""), (7, "u", big), (8, "u", big), (None, "u", big), (9, "u", "line\r\n\r\nWARC/1.1\r\n" * 20)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
     got = {x.page_id: tuple(x)[1:] for x in warc.archived(pages).collect()}
-    import hashlib
-
     want = {}
     for i, _, h in rows:
         raw = (h or "").encode()
@@ -347,10 +346,22 @@ def test_very_long_texts(spark):
     assert _got(ngram_join.join_ngrams(d)) == sorted(brute.near(rows), key=repr)
     assert {x.doc_id: x.size for x in mixing.mix_sources(d).collect()} == {i: len(brute.SPACED.findall(t or "")) for i, t in rows}
     assert _got(exact_dedup.exact_groups(d).select("doc_id", "keep_id", "group_size", "text_sha256")) == sorted(brute.exact(rows), key=repr)
-    assert {x.doc_id: x.n_words for x in token_count.token_counts(d.where("doc_id <> 3")).collect()} == {i: len(brute.SPACED.findall(t or "")) for i, t in rows if i != 3}
-    assert {x.doc_id: x.n_tokens for x in lm.score_held_out(d).collect()} == {i: len(brute.words(t)) + 1 for i, t in rows}
-    assert {x.doc_id: x.n_bytes for x in suffix_dedup.remove_repeats(d).collect()} == {i: len((t or "").encode()) for i, t in rows}
-    assert langid.identify(d).count() == len(rows)
+    v = token_count.read_vocabulary()
+    counts = {x.doc_id: (x.n_words, x.n_tokens) for x in token_count.token_counts(d, v).collect()}
+    one = {k: x for k, x in v.scores.items() if set(k) <= {"y", token_count.MARK}}  # the pieces that a word of one letter can have
+    assert counts.pop(3) == (1, brute.token_count(token_count.MARK + "y" * 1_000_000, one, v.unknown))
+    known = {x: brute.token_count(token_count.MARK + x, v.scores, v.unknown) for x in {w for i, t in rows if i != 3 for w in brute.SPACED.findall(t or "")}}
+    assert counts == {i: (len(w), sum(map(known.get, w))) for i, w in ((i, brute.SPACED.findall(t or "")) for i, t in rows if i != 3)}
+    learn = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 != 2}
+    scores = {x.doc_id: x for x in lm.score_held_out(d).collect()}
+    for (i, _), (tokens, known, _, base, full) in zip(rows, brute.ngram_scores(rows, learn, lm.ORDER, lm.PRIORS), strict=True):
+        assert (scores[i].n_tokens, scores[i].n_known) == (tokens, known)
+        assert abs(scores[i].base_score - base) < 1e-6 * tokens and abs(scores[i].score - full) < 1e-3 * tokens
+    same = [x for x in brute.repeats([x for x in rows if x[0] != 3], 400)] + [(3, 1_000_000, 1_000_000, 1, hashlib.sha256(b"").hexdigest())]
+    assert _got(suffix_dedup.remove_repeats(d)) == sorted(same, key=repr)
+    found = {x.doc_id: (x.lang_pred, x.score) for x in langid.identify(d).collect()}
+    for i, lang, score in brute.languages([(i, t, "en" if i % 2 else None) for i, t in rows], {i for i, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1}):
+        assert found[i][0] == lang and abs(found[i][1] - score) < 1e-9
 
 
 def test_empty_tables(spark, docs, tmp_path):
