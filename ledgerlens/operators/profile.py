@@ -68,8 +68,10 @@ def missing_total(df: DataFrame) -> DataFrame:
 def cardinality(df: DataFrame, columns: list[str], *, approx: bool = False) -> DataFrame:
     """(column, unique_count, cardinality_ratio, repeated_non_missing_values); nulls are no value."""
     if not approx:
-        return value_counts(df, columns).select("column", F.col("distinct").alias("unique_count"), rate(F.col("distinct"), F.col("rows")).alias("cardinality_ratio"),
-                                                (F.col("rows") - F.col("missing") - F.col("distinct")).alias("repeated_non_missing_values"))
+        every = df.sparkSession.createDataFrame([(c,) for c in columns], "column string").join(value_counts(df, columns), "column", "left")  # an empty table has its columns too
+        none = F.lit(0).cast("long")
+        return every.select("column", F.coalesce("distinct", none).alias("unique_count"), rate(F.col("distinct"), F.col("rows")).alias("cardinality_ratio"),
+                            F.coalesce(F.col("rows") - F.col("missing") - F.col("distinct"), none).alias("repeated_non_missing_values"))
     a = df.agg(F.count(F.lit(1)).alias("_n"), *[e for i, c in enumerate(columns) for e in (F.approx_count_distinct(F.col(c)).alias(f"_u{i}"), F.count(F.col(c)).alias(f"_c{i}"))])
     return a.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_u{i}").alias("unique_count"), rate(F.col(f"_u{i}"), F.col("_n")).alias("cardinality_ratio"),
                                                 (F.col(f"_c{i}") - F.col(f"_u{i}")).alias("repeated_non_missing_values")) for i, c in enumerate(columns)])))

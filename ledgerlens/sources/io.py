@@ -28,8 +28,8 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-#: Quotes inside quoted fields are doubled, and such fields may hold line breaks; a backslash is a letter like others.
-_CSV = {"header": True, "quote": '"', "escape": '"'}
+#: Quotes inside quoted fields are doubled, and such fields may hold line breaks; a backslash is a letter like others, spaces stay.
+_CSV = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
 def _header(spark: SparkSession, path: str) -> list[str]:
