@@ -101,6 +101,8 @@ def test_elias_fano():
         v = np.sort(r.integers(0, top, n, dtype=np.uint64))
         s = Sequence(encode(v, top))
         assert (s.access(np.arange(n)) == v).all()
+        before, after = s.pairs(np.arange(n - 1))
+        assert (before == v[:-1]).all() and (after == v[1:]).all()
         x = np.concatenate([v, r.integers(0, top, 500, dtype=np.uint64)])
         assert (s.successor(x) == np.searchsorted(v, x)).all()
         at = s.find(x)
