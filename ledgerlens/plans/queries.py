@@ -625,7 +625,7 @@ def run_log(spark, sf):
 
 @_add("threshold_cost", f"""with {X.RAW_CTE}, g as (select geo_anomaly_score as s, sum(is_fraud::int) as p, count(*) as n, sum(case when is_fraud then amount else 0 end) as v from raw group by 1),
  w as (select s, sum(p) over o as tp, sum(n) over o - sum(p) over o as fp, (select sum(case when is_fraud then amount else 0 end) from raw) - sum(v) over o as fn from g window o as (order by s desc))
- select s as threshold, tp::bigint as tp, fp::bigint as fp, round(fn, 4) as missed_value, round(fn + fp * 5.0, 4) as cost from w""")
+ select s as threshold, tp::bigint as tp, fp::bigint as fp, round(fn, 4) + 0.0::double as missed_value, round(fn + fp * 5.0, 4) + 0.0::double as cost from w""")
 def threshold_cost(spark, sf):
     return _rounded(M.threshold_cost(X.raw(spark, sf), "is_fraud", "amount", 5.0, "geo_anomaly_score"), "missed_value", "cost", digits=4)
 
