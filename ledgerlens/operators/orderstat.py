@@ -2,7 +2,9 @@
 
 Single ranks (quantiles, edges of bins, cuts of samples) are selected by radix histograms, see select.py. Where every value
 gets its rank, the rank kernel counts equal values, cuts the value range into buckets by approximate quantiles, and adds the
-buckets' offsets to running sums inside each bucket. The bounds only balance the work: ranks are exact whatever they are.
+buckets' offsets to running sums inside each bucket. The bounds only balance the work: ranks are exact whatever they are, but
+they must be the same ones for offsets and running sums. Approximate quantiles depend on the order in which partitions meet, so
+they are computed once, when the kernel is called, and kept.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import hash52
+from ..sources.io import staged
 from .select import keyed, select_quantiles, select_ranks
 
 BUCKETS = 64
@@ -20,13 +23,14 @@ BUCKETS = 64
 def ranked(df: DataFrame, column: str, by: str | None = None) -> DataFrame:
     """(_g, _x, _n, _upto, _total): each distinct non-null value of a group, its rows, those up to it, those in all.
 
-    NaN counts as missing. Groups are few (classes, categories): one row of bounds for each is broadcast where small.
+    NaN counts as missing. Groups are few (classes, categories): one row of bounds for each is staged at the call, and
+    broadcast where small.
     """
     x = F.col(column).cast("double")
     rows = df.select((F.col(by) if by else F.lit(0)).alias("_g"), F.when(~F.isnan(x), x).alias("_x")).where("_x is not null")
     counts = rows.groupBy("_g", "_x").agg(F.count(F.lit(1)).alias("_n"))
     cuts = F.array(*[F.lit(i / BUCKETS) for i in range(1, BUCKETS)])
-    bounds = rows.groupBy("_g").agg(F.percentile_approx("_x", cuts, F.lit(1000)).alias("_b"), F.count(F.lit(1)).alias("_total"))
+    bounds = staged(rows.groupBy("_g").agg(F.percentile_approx("_x", cuts, F.lit(1000)).alias("_b"), F.count(F.lit(1)).alias("_total")), "rank-bounds")
     placed = counts.join(bounds.withColumnRenamed("_g", "_h"), F.col("_g").eqNullSafe(F.col("_h"))).select(
         "_g", "_x", "_n", "_total", F.size(F.filter("_b", lambda b: b < F.col("_x"))).alias("_k"))
     sums = placed.groupBy("_g", "_k").agg(F.sum("_n").alias("_s"))

@@ -68,3 +68,25 @@ def test_unclamped_sample_raises(spark):
     assert O.sample_n(df.limit(0), 3, 1, "id", clamp=True).count() == 0
     first, again = ({r.id for r in O.sample_n(d, 4, 1, "id").collect()} for d in (df, df.repartition(3)))
     assert first == again and len(first) == 4
+
+
+@pytest.fixture(scope="module")
+def restless(spark):
+    """240,000 rows whose order inside their partitions is another one each time they are computed."""
+
+    def shuffled(batches):
+        for pdf in batches:
+            yield pdf.sample(frac=1.0, random_state=np.random.default_rng())
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000000")
+    rows = spark.range(240_000, numPartitions=1).select((F.pmod(F.col("id") * 48271, F.lit(239_977)) / 7.0).alias("x"), (F.col("id") % 2).alias("g"))
+    yield rows.mapInPandas(shuffled, rows.schema)
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_bounds_are_the_same_in_a_whole_plan(restless):
+    """Approximate quantiles depend on the order of rows; offsets and running sums need the same ones."""
+    pdf = restless.toPandas().sort_values(["g", "x"])
+    want = {(g, x): c for g, x, c in zip(pdf["g"], pdf["x"], pdf.groupby("g")["x"].rank(method="max", pct=True), strict=True)}
+    got = O.ecdf(restless, "x", "g").collect()
+    assert len(got) == len(want) and all(abs(r.cumulative - want[r.g, r.value]) < 1e-9 for r in got)
