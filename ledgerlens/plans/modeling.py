@@ -105,14 +105,16 @@ def score(model: PipelineModel, df: DataFrame, spec: TableSpec) -> DataFrame:
 def ranked_outcomes(scored: DataFrame, target: str, score_col: str = "score", amount: str | None = None) -> DataFrame:
     """(threshold, tp, fp, fn_value): what flagging all scores of `threshold` or more does, for each distinct score.
 
-    Running sums come from the rank kernel's buckets, so no task sorts all scores; equal scores are one threshold.
+    Running sums come from the rank kernel's buckets, so no task sorts all scores; equal scores are one threshold. The
+    buckets' bounds are taken when this is called: computed again, they could be others.
     """
     value = F.coalesce(F.col(amount), F.lit(0.0)) if amount else F.lit(0.0)
     rows = scored.where(F.col(target).isNotNull() & F.col(score_col).isNotNull()).select(
         F.col(score_col).cast("double").alias("_x"), one(F.col(target)).alias("_y"), value.alias("_v"))
     g = rows.groupBy("_x").agg(F.sum("_y").alias("_p"), F.count(F.lit(1)).alias("_n"), F.sum(F.when(F.col("_y") == 1, F.col("_v")).otherwise(0.0)).alias("_pv"))
-    bounds = rows.agg(F.percentile_approx("_x", F.array(*[F.lit(i / 64) for i in range(1, 64)]), F.lit(1000)).alias("_b"))
-    g = g.crossJoin(F.broadcast(bounds)).withColumn("_k", F.size(F.filter("_b", lambda b: b < F.col("_x")))).drop("_b")  # one row of 63 bounds
+    bounds = rows.agg(F.percentile_approx("_x", F.array(*[F.lit(i / 64) for i in range(1, 64)]), F.lit(1000))).first()[0] or []  # 63 numbers
+    below = F.filter(F.array(*[F.lit(b) for b in bounds]).cast("array<double>"), lambda b: b < F.col("_x"))
+    g = g.withColumn("_k", F.size(below))
     down = Window.orderBy(F.desc("_k")).rowsBetween(Window.unboundedPreceding, -1)  # at most 64 rows
     sums = g.groupBy("_k").agg(F.sum("_p").alias("sp"), F.sum("_n").alias("sn"), F.sum("_pv").alias("sv"))
     sums = sums.select(F.col("_k").alias("_l"), *[F.coalesce(F.sum(c).over(down), F.lit(0)).alias(f"o{c}") for c in ("sp", "sn", "sv")], F.sum("sv").over(Window.partitionBy()).alias("_all"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators import orderstat as O
 from ledgerlens.operators import select as S
+from ledgerlens.plans.modeling import ranked_outcomes
 
 ODD = [0.0, -0.0, 1.0, -1.0, 0.1, 1 / 3, math.pi, 5e-324, -5e-324, 2.0**-1074 * 12345, 2.0**-1022, 2.2250738585072011e-308, 1.7976931348623157e308, -1.7976931348623157e308,
        float("inf"), float("-inf"), 2.0**52, 2.0**53 - 1, 1e-300, 8.0, 7.999999999999999, 1 - 2**-53, 1e22, 1e23]
@@ -90,3 +91,13 @@ def test_bounds_are_the_same_in_a_whole_plan(restless):
     want = {(g, x): c for g, x, c in zip(pdf["g"], pdf["x"], pdf.groupby("g")["x"].rank(method="max", pct=True), strict=True)}
     got = O.ecdf(restless, "x", "g").collect()
     assert len(got) == len(want) and all(abs(r.cumulative - want[r.g, r.value]) < 1e-9 for r in got)
+    thin = O.ecdf(restless, "x", "g", max_points=1000).collect()
+    assert 1990 <= len(thin) <= 2010 and all(abs(r.cumulative - want[r.g, r.value]) < 1e-9 for r in thin)
+
+
+def test_bounds_of_outcomes_are_the_same(restless):
+    pdf = restless.toPandas()
+    pdf = pdf.groupby("x")["g"].agg(["sum", "count"]).sort_index(ascending=False).cumsum()
+    got = ranked_outcomes(restless, "g", "x", "x").collect()
+    assert len(got) == len(pdf) and all((r.tp, r.tp + r.fp) == tuple(pdf.loc[r.threshold]) for r in got)
+    assert ranked_outcomes(restless.limit(0), "g", "x").isEmpty()
