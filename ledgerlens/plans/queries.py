@@ -18,7 +18,7 @@ from ..operators import risk as R
 from ..operators import sketches as K
 from ..operators.asof import retrieve_as_of
 from ..operators.schema import schema_differences, schema_profile
-from ..sources.io import read_transactions, verify, work_dir, write_gold
+from ..sources.io import read_transactions, staged, verify, work_dir, write_gold
 from ..sources.known import KnownKeys
 from ..sources.snapshots import Conflict, history, open_snapshot, publish
 from ..spec import GOLD, GOLD_SCHEMA, RAW, RAW_SCHEMA, TableSpec
@@ -665,10 +665,15 @@ def _scorecard_sql() -> str:
  + {" + ".join(f"coalesce(w{i}.w, 0)" for i in range(len(cats)))}))), 9) as score from s, f, m """ + " ".join(f"left join w w{i} on w{i}.feature = '{c}' and w{i}.category = s.{c}" for i, c in enumerate(cats)).replace("from s, f, m left", "from s, f, m left")
 
 
+def _split_gold(spark, sf):
+    """Cleaned rows with their split. They are cleaned once, into a staged table: learning reads them many times."""
+    return M.time_split(staged(to_gold(X.dirty(spark, sf)), "gold"), GOLD)
+
+
 @_add("model_scores", _scorecard_sql().replace("from s, f, m left", "from s cross join f cross join m left"))
 def model_scores(spark, sf):
     """A scorecard learned from the earlier rows as a table, and the later rows scored by joins with it."""
-    split = M.time_split(to_gold(X.dirty(spark, sf)), GOLD)
+    split = _split_gold(spark, sf)
     card = learn_scorecard(split.where("split = 'train'"), GOLD, _WEIGHTS)
     return _rounded(score_table(split.where("split = 'test'"), GOLD, card), "score", digits=9)
 

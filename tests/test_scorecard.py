@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.asof import retrieve_as_of
-from ledgerlens.plans import fixtures, modeling
+from ledgerlens.plans import fixtures, modeling, queries
 from ledgerlens.plans.pipeline import to_gold
 from ledgerlens.plans.scorecard import learn_scorecard, model_table, score_table
 from ledgerlens.spec import GOLD
@@ -64,3 +64,10 @@ def test_a_model_with_gaps(spark, split):
     empty = learn_scorecard(split.limit(0), GOLD, {"amount": 2.0})
     assert {r.score for r in score_table(split, GOLD, empty).collect()} == {0.5}
     assert score_table(split.limit(0), GOLD, card).count() == 0
+
+
+@pytest.mark.parametrize("name", ["model_scores"])
+def test_rows_are_cleaned_once(spark, name):
+    """Learning and scoring read the staged rows; no plan goes back to the raw table."""
+    files = queries.QUERIES[name](spark, SF).inputFiles()
+    assert files and all("/gold-" in f for f in files)
