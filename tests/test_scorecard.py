@@ -66,7 +66,7 @@ def test_a_model_with_gaps(spark, split):
     assert score_table(split.limit(0), GOLD, card).count() == 0
 
 
-@pytest.mark.parametrize("name", ["model_scores"])
+@pytest.mark.parametrize("name", ["model_scores", "fitted_scores"])
 def test_rows_are_cleaned_once(spark, name):
     """Learning and scoring read the staged rows; no plan goes back to the raw table."""
     files = queries.QUERIES[name](spark, SF).inputFiles()
