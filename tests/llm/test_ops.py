@@ -1,9 +1,11 @@
 import hashlib
 import os
 import random
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +135,55 @@ def test_lm_of_many_files(docs, rows, monkeypatch):
         assert got[i].n_tokens == tokens and abs(got[i].base_score - base) < 1e-6 * tokens and abs(got[i].score - full) < 1e-3 * tokens
 
 
+def test_lm_files_are_opened_by_one_task(spark, docs, monkeypatch):
+    """Look-ups go to the files of the model: no two workers map the same one, however many texts they score."""
+    monkeypatch.setattr(lm, "PART", 500)
+    monkeypatch.setattr(lm, "HELD", 3000)
+    files = lm.train(docs)
+    assert lm.score(docs, files).count() == docs.count()
+    name = files.folder.rsplit("/", 1)[1]
+
+    def mapped(batches):
+        time.sleep(0.2)  # all workers take part
+        with open("/proc/self/maps") as f:
+            found = sorted({x.split("/")[-1].strip() for x in f if f"/{name}/grams-" in x})
+        for _ in batches:
+            yield pa.RecordBatch.from_pydict({"pid": pa.array([os.getpid()] * len(found), pa.int64()), "file": pa.array(found, pa.string())})
+
+    seen = {(x.pid, x.file) for x in spark.range(64).repartition(64).mapInArrow(mapped, "pid long, file string").collect()}
+    assert files.parts > 20 and len(seen) > files.parts / 2 and len({f for _, f in seen}) == len(seen)
+
+
+def test_lm_of_shared_words(spark):
+    """Chunks of texts with nothing to learn, without a known word, and with the same n-grams at their edges."""
+    rows = [(i, ("a b c d " * (i % 4)).strip() if i % 3 else f"w{i}") for i in range(90)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    for folds, fold in ((7, 2), (1, 0), (2, 0)):
+        learn = {i for i, _ in rows if zlib.crc32(str(i).encode()) % folds != fold}
+        got = {x.doc_id: x for x in lm.score_held_out(d, folds=folds, fold=fold).collect()}
+        for (i, _), (tokens, known, train, base, full) in zip(rows, brute.ngram_scores(rows, learn, lm.ORDER, lm.PRIORS), strict=True):
+            assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (tokens, known, train)
+            assert abs(got[i].base_score - base) < 1e-6 * tokens and abs(got[i].score - full) < 1e-6 * tokens
+
+
+def test_lm_answers_of_few_and_many():
+    """Look-ups one by one and by one scan of the trie give the same counts."""
+    r = np.random.default_rng(3)
+    files = lm.Files("", 1, 1, 1, 10**6, 400, 10, 3, lm.PRIORS)
+    rows = np.unique(r.integers(0, 400, (6000, 3)) // r.integers(1, 60, (6000, 1)), axis=0).T
+    n = r.integers(1, 9, rows.shape[1])
+    part = lm.Part(lm._gram_arrays(list(rows), n, files), files)
+    want = {}
+    for row, c in zip(rows.T.tolist(), n.tolist(), strict=True):
+        for k in (2, 3):
+            want[tuple(row[:k])] = want.get(tuple(row[:k]), 0) + c
+    ask = np.unique(np.c_[rows[:, ::2], r.integers(0, 400, (3, 500))], axis=1)
+    for some in (ask, ask[:, 7:19]):
+        two, three = part.counts(list(some))
+        assert two.tolist() == [want.get(tuple(x[:2]), 0) for x in some.T.tolist()]
+        assert three.tolist() == [want.get(tuple(x), 0) for x in some.T.tolist()]
+
+
 def test_mapped_files_hold_no_descriptors(tmp_path):
     uris = [elias_fano.write_arrays(f"file://{tmp_path}", f"f{i}", {"x": np.array([i])}) for i in range(1500)]
     before = len(os.listdir("/proc/self/fd"))
